@@ -3,17 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ngram_join import ngram_join
+from .substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup(_table(spark, sf_dir, "documents"), window=50)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), n=5, threshold=0.75)
 
 
-QUERIES = {"op8_ngram_jaccard_join": op8_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op6_substring_dedup": op6_substring_dedup,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op6_substring_dedup": rf"""
+        WITH docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM docs WHERE len(ws) >= 50),
+        windows AS (SELECT doc_id, s, array_to_string(ws[s:s + 49], ' ') AS k FROM starts),
+        owners AS (SELECT k, min(doc_id) AS owner FROM windows GROUP BY k),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM windows JOIN owners USING (k) WHERE doc_id > owner),
+        words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM docs),
+        kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM docs d LEFT JOIN kept USING (doc_id)""",
+    "op8_ngram_jaccard_join": rf"""
+        WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        grams AS (SELECT DISTINCT doc_id, array_to_string(ws[s:s + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS s FROM docs WHERE len(ws) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        often AS (SELECT g FROM grams GROUP BY g HAVING count(*) > 1),
+        shared AS (SELECT doc_id, g FROM grams SEMI JOIN often USING (g)),
+        both_have AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM shared a JOIN shared b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT x, y FROM both_have JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * o >= 75 * (p.n + q.n - o)),
+        reach(x, y) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id
+        FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)""",
+}
