@@ -6,9 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngram_join import ngram_join
+from .packing import pieces, place
 from .substring_dedup import substring_dedup
 
 
+def word_tokenizer() -> str:
+    """The vocabulary file that the packing query names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,9 +30,15 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), n=5, threshold=0.75)
 
 
+def op10_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = pieces(_table(spark, sf_dir, "documents"), word_tokenizer(), width=2048, end_id=1)
+    return place(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), width=2048)
+
+
 QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op10_shortest_pack_first": op10_shortest_pack_first,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
