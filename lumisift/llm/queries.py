@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .ngram_join import ngram_join
 from .packing import pieces, place
 from .substring_dedup import substring_dedup
+from .toxicity import toxicity
 
 
 def word_tokenizer() -> str:
@@ -26,6 +27,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def held_out(doc_id: str = "doc_id"):
+    """The fold that no label may be learnt from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_restored")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), n=5, threshold=0.75)
 
@@ -37,6 +48,7 @@ def op10_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_shortest_pack_first": op10_shortest_pack_first,
 }
