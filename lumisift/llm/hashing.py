@@ -22,6 +22,8 @@ _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_MARK = _SEPARATOR.copy()
+_MARK[[b for b in range(128) if not chr(b).isalnum()]] = True
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BYTE[_SEPARATOR] = 0
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -79,8 +81,8 @@ class Words:
         return self.data[self.starts[begin] : self.ends[end - 1]].tobytes() if end > begin else b""
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text; a null text has none. lower: A-Z become a-z."""
+def split(texts: pa.Array, lower: bool = False, marks: bool = False) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text; a null text has none. lower: A-Z become a-z. marks: ASCII marks separate words, too."""
     texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
@@ -91,7 +93,7 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     if lower:
         data = _FOLD[data]
     n = len(data)
-    gap = _SEPARATOR[data]
+    gap = (_MARK if marks else _SEPARATOR)[data]
     before, after = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
     before[1:], after[:-1] = gap[:-1], gap[1:]
     inner = offsets[(offsets > 0) & (offsets < n)]
@@ -100,7 +102,7 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
     up, down = _BYTES.get(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
+    np.cumsum((np.where(gap, _U(0), _BYTE[data]) if marks else _BYTE[data]) * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts])
     up, _ = _WORDS.get(len(hashes) + 1)
     run = np.zeros(len(hashes) + 1, dtype=np.uint64)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import decontaminate
 from .ngram_join import ngram_join
 from .packing import pieces, place
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts
 from .toxicity import toxicity
 
 
@@ -18,10 +20,26 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model() -> str:
+    """The vocabulary file that the token counts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=4, threshold=0.5)
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), piece_model())
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup(_table(spark, sf_dir, "documents"), window=50)
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -47,6 +65,8 @@ def op10_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op3_token_counts": op3_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
