@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import rotate_perspectives
 from .decontamination import decontaminate
+from .fingerprints import fingerprints
 from .ngram_join import ngram_join
 from .packing import pieces, place
 from .substring_dedup import substring_dedup
@@ -40,6 +42,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup(_table(spark, sf_dir, "documents"), window=50)
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -67,6 +77,8 @@ def op10_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
@@ -76,6 +88,15 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op4_chat_formatting": """
+        WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+        speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
+        seen AS (SELECT t.*, perspective, CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user ' || replace(role, '<|', '< |') || '|>' END || chr(10) AS head,
+            replace(text, '<|', '< |') || '<|end|>' || chr(10) AS body FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+        placed AS (SELECT *, row_number() OVER w - 1 AS position, (sum(length(head) + length(body)) OVER w)::BIGINT AS upto FROM seen
+            WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+        SELECT conv_id, perspective, position, turn, role, head || body AS segment, upto - length(head) - length(body) AS begin, upto AS "end",
+            CASE WHEN role = perspective THEN upto - length(body) END AS loss_begin, CASE WHEN role = perspective THEN upto - 1 END AS loss_end FROM placed""",
     "op6_substring_dedup": rf"""
         WITH docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM docs WHERE len(ws) >= 50),
