@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .chat_format import rotate_perspectives
 from .decontamination import decontaminate
 from .fingerprints import fingerprints
+from .license_scan import scan_licenses
 from .ngram_join import ngram_join
 from .packing import pieces, place
+from .quality import quality
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
@@ -33,6 +35,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def license_tree(documents: DataFrame) -> DataFrame:
+    """Documents as files of a tree: /source/lang/block of 1024/block of 64/doc_id."""
+    slash = F.lit("/")
+    path = F.concat(slash, F.col("source"), slash, F.col("lang"), slash, F.shiftright("doc_id", 10), slash, F.shiftright("doc_id", 6), slash, F.col("doc_id"))
+    return documents.select("doc_id", path.alias("path"), "text")
+
+
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(license_tree(_table(spark, sf_dir, "documents")), threshold=0.6, carry=("doc_id",), any_header=True)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=4, threshold=0.5)
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
@@ -69,12 +82,18 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), n=5, threshold=0.75)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=~held_out())
+    return scored.withColumn("held_out", held_out()).withColumn("keep", (F.col("score") >= 0.5).cast("int"))
+
+
 def op10_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = pieces(_table(spark, sf_dir, "documents"), word_tokenizer(), width=2048, end_id=1)
     return place(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), width=2048)
 
 
 QUERIES = {
+    "op1_license_scans": op1_license_scans,
     "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_chat_formatting": op4_chat_formatting,
@@ -82,6 +101,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_shortest_pack_first": op10_shortest_pack_first,
 }
 
