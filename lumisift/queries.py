@@ -5,6 +5,412 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import matching as M
+from .functions import paths as P
+from .functions.positions import highlight
+from .operators import ranking, search, series, usage, web
+from .plans import fixtures as X
+from .plans import store
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query, with its SQL if that can be written."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+_TOP = "SELECT (row_number() OVER (ORDER BY class, is_dir DESC, path_len, numkey, path))::BIGINT AS rank, path, name, is_dir, class::INT AS class, 0 AS align FROM hits QUALIFY rank <= 50"
+
+
+def _hits(where: str, cls: str) -> str:
+    return f"WITH {X.SQL_ENTRIES}, hits AS (SELECT *, {cls} AS class FROM ready WHERE {where}) {_TOP}"
+
+
+def _search(pattern: str, fuzzy: bool = False) -> Query:
+    return lambda spark, sf: search.search(X.entries(spark, sf), pattern, 50, fuzzy)
+
+
+_NAME = "CASE WHEN name_fold = '{0}' THEN 0 WHEN starts_with(name_fold, '{0}') THEN 1 ELSE 2 END"
+query(_hits("contains(name_fold, 'bolt_1')", _NAME.format("bolt_1")), "search_name")(_search("Bolt_1"))
+query(_hits("contains(name_fold, 're')", _NAME.format("re")), "search_prefix")(_search("re"))
+query(_hits("contains(name_fold, 'a')", _NAME.format("a")), "search_single_character")(_search("a", True))
+query(_hits("contains(name_fold, 'qqqqzz')", _NAME.format("qqqqzz")), "search_no_match")(_search("qqqqzz"))
+query(_hits("contains(name_fold, 'red') AND contains(name_fold, '.md')", "2"), "search_terms")(_search("red .MD"))
+_PATH = "CASE WHEN path_fold = '{0}' THEN 0 WHEN ends_with(path_fold, '{0}') THEN 1 WHEN starts_with(path_fold, '{0}') THEN 2 ELSE 3 END"
+query(_hits("contains(path_fold, '/brand#2/economy')", _PATH.format("/brand#2/economy")), "search_path")(_search("/Brand#2/ECONOMY"))
+query(None, "search_fuzzy")(_search("rdblt9", True))
+query(None, "search_fuzzy_terms")(_search("bl wdg txt", True))
+
+
+@query(f"""WITH {X.SQL_ENTRIES} SELECT path, CASE WHEN contains(name_fold, 'bolt') THEN 2 ELSE 3 END AS class FROM ready WHERE regexp_matches(name_fold, '(?s)^[^b]*b[^o]*o[^l]*l[^t]*t')""")
+def fuzzy_classes(spark, sf):
+    rows = search.matches(X.entries(spark, sf), "bolt", True)
+    return rows.select("path", F.when(F.col("class") < 3, 2).otherwise(3).alias("class"))
+
+
+@query(f"WITH {X.SQL_ENTRIES} SELECT parent_dir, name FROM entries WHERE NOT (regexp_matches(name, '^[^/]*\\.log$') OR regexp_matches(path, '^/catalog/Brand#1[^/]*/[^/]*/[^/]*$'))")
+def exclude_globs(spark, sf):
+    return search.exclude(X.entries(spark, sf), ["*.log", "/catalog/Brand#1*/*/*"]).select("parent_dir", "name")
+
+
+@query(f"""WITH {X.SQL_ENTRIES} SELECT name, CASE WHEN name_fold = 'medium' THEN 1 WHEN starts_with(name_fold, 'medium') THEN 2 WHEN regexp_matches(name_fold, '(^|[^\\p{{L}}\\p{{Nd}}])gizmo') THEN 3 WHEN contains(name_fold, 'gizmo') THEN 4
+    WHEN regexp_matches(name_fold, '^[^g]*g[^i]*i[^z]*z[^m]*m[^o]*o') THEN 5 ELSE 6 END AS tier FROM entries WHERE name_fold <> 'medium'""")
+def match_tiers(spark, sf):
+    return X.entries(spark, sf).where("lower(name) <> 'medium'").select("name", M.tier(F.col("name"), M.term("Gizmo")).cast("int").alias("tier"))
+
+
+@query("""SELECT c_custkey, 3 AS tier, 1 AS field FROM customer WHERE starts_with(lower(c_mktsegment), 'build') AND contains(c_name, '#00')""")
+def match_two_fields(spark, sf):
+    rows = X.table(spark, sf, "customer").withColumn("m", M.match_fields([F.col("c_name"), F.col("c_mktsegment")], M.terms("build 00"), False)).where("m is not null")
+    return rows.select("c_custkey", F.col("m.tier").alias("tier"), F.col("m.field").alias("field"))
+
+
+def _customers(spark, sf):
+    return X.table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("display"), F.col("c_mktsegment").alias("segment"), F.round("c_acctbal").cast("long").alias("tie_break"), F.col("c_custkey").cast("string").alias("sort_key"), (F.col("c_custkey") % 101).cast("double").alias("hint"), F.col("c_custkey").cast("int").alias("ord"))
+
+
+@query("""WITH c AS (SELECT *, round(c_acctbal)::BIGINT AS tie, (c_custkey % 101)::DOUBLE AS hint FROM customer WHERE contains(lower(c_mktsegment), 'mach')),
+    r AS (SELECT c_custkey, 73.0 + 2.0 * (hint - 50) / 50 AS score, row_number() OVER (ORDER BY 73.0 + 2.0 * (hint - 50) / 50 DESC, tie DESC, lower(c_name), c_name, c_custkey::VARCHAR, c_custkey) AS rank FROM c)
+    SELECT c_custkey, round(score, 6) AS score, rank::BIGINT AS rank FROM r WHERE rank <= 40""")
+def rank_matched(spark, sf):
+    rows = _customers(spark, sf)
+    return ranking.rank_matched(rows, [F.col("segment"), F.col("display")], "mach", limit=40).select("c_custkey", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""SELECT c_custkey, round(86.0 + 14.0 * (c_custkey % 101) / 100, 6) AS score, (row_number() OVER (ORDER BY 86.0 + 14.0 * (c_custkey % 101) / 100 DESC, c_custkey))::BIGINT AS rank FROM customer QUALIFY rank <= 30""")
+def rank_claimed(spark, sf):
+    return ranking.rank_claimed(_customers(spark, sf), 30).select("c_custkey", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT c_custkey, greatest(86.0, 101.0 - rank)::DOUBLE AS score, rank FROM (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey))::BIGINT AS rank FROM customer) WHERE rank <= 25")
+def rank_given(spark, sf):
+    return ranking.rank_given(_customers(spark, sf), 25).select("c_custkey", "score", "rank")
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS source, (c_nationkey % 2)::INT AS priority, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal / 100 END AS score, c_custkey AS ord FROM customer),
+    s AS (SELECT source, row_number() OVER (ORDER BY max(priority) DESC, greatest(0.0, max(coalesce(score, 50.0))) DESC, source) AS section_rank FROM c GROUP BY source)
+    SELECT source, ord, section_rank::BIGINT AS section_rank, (row_number() OVER (PARTITION BY source ORDER BY coalesce(score, 50.0) DESC, ord))::BIGINT AS row_rank FROM c JOIN s USING (source)""")
+def result_sections(spark, sf):
+    rows = X.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("source"), (F.col("c_nationkey") % 2).alias("priority"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") / 100).alias("score"), F.col("c_custkey").alias("ord"))
+    return ranking.sections(rows).select("source", "ord", "section_rank", "row_rank")
+
+
+_NOW = "(SELECT max(ts) FROM events)"
+_AGE = f"(epoch_us({_NOW}) - epoch_us(ts)) / 1e6"
+
+
+@query(f"WITH {X.SQL_OPENS} SELECT path, round(sum(pow(2.0, -{_AGE} / (14 * 86400.0))), 6) AS boost, max(epoch_us(ts)) AS touched FROM opens GROUP BY path")
+def open_counts(spark, sf):
+    opens = X.opens(spark, sf)
+    now = opens.agg(F.max("ts")).head()[0]
+    return usage.open_counts(opens, F.lit(now)).select("path", F.round("boost", 6).alias("boost"), F.unix_micros("touched").alias("touched"))
+
+
+@query(f"WITH {X.SQL_OPENS} SELECT path FROM (SELECT path, sum(pow(2.0, -{_AGE} / (14 * 86400.0))) AS b, max(ts) AS t FROM opens GROUP BY path) ORDER BY b DESC, t DESC, path LIMIT 20")
+def most_opened(spark, sf):
+    opens = X.opens(spark, sf)
+    return usage.keep_most_opened(usage.open_counts(opens, F.lit(opens.agg(F.max("ts")).head()[0])), 20).select("path")
+
+
+_PARTS = "list_filter(regexp_split_to_array(path, '[/\\\\]'), lambda x: x <> '')"
+_PENALTY = f"""least(1.0, list_sum(list_transform(list_slice({_PARTS}, 1, greatest(len({_PARTS}) - 1, 0)), lambda x: CASE WHEN lower(x) IN ('.cache', 'cache', '.git', 'node_modules', 'tmp', '.tmp', 'temp', '.temp') THEN 0.3::DOUBLE WHEN starts_with(x, '.') AND x NOT IN ('.', '..') THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END))
+    + least(greatest(len({_PARTS}) - 6, 0) * 0.05::DOUBLE, 0.25::DOUBLE))"""
+
+
+@query(f"WITH {X.SQL_OPENS} SELECT DISTINCT path, round({_PENALTY}, 6) AS penalty, len({_PARTS})::INT AS depth FROM opens")
+def path_penalties(spark, sf):
+    return X.opens(spark, sf).select("path").distinct().select("path", F.round(P.path_penalty(F.col("path")), 6).alias("penalty"), P.depth(F.col("path")).alias("depth"))
+
+
+@query(f"WITH {X.SQL_ENTRIES} SELECT path, CASE WHEN starts_with(path || '/', '/catalog/Brand#2/') THEN 10.0 * pow(0.5, greatest(len({_PARTS}) - 3, 0)) ELSE 0.0 END AS boost FROM entries")
+def directory_boosts(spark, sf):
+    rows = X.entries(spark, sf).select(P.entry_path(F.col("parent_dir"), F.col("name")).alias("path"))
+    return rows.select("path", P.cwd_boost(F.col("path"), "/catalog/Brand#2", 10.0).alias("boost"))
+
+
+@query("SELECT event_id, round(CASE WHEN h <= 0 THEN 1.0 ELSE greatest(0.0, 1 - ln(1 + h) / ln(721.0)) END, 6) AS recency FROM (SELECT event_id, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 3.6e9 AS h FROM events)")
+def recency_scores(spark, sf):
+    ev = X.events(spark, sf)
+    now = ev.agg(F.max("ts")).head()[0]
+    return ev.select("event_id", F.round(P.recency_score((F.unix_micros(F.lit(now)) - F.unix_micros("ts")) / 3.6e9), 6).alias("recency"))
+
+
+@query(f"""WITH {X.SQL_ENTRIES}, boosts AS (SELECT '/catalog/' || p_brand || '/' || p_type || '/' || replace(p_name, ' ', '_') || '_' || p_partkey || (['.txt', '.log', '.csv', '.md'])[p_size % 4 + 1] AS path, (p_size % 6)::DOUBLE AS value FROM part WHERE p_size % 3 = 0),
+    hits AS (SELECT *, CASE WHEN starts_with(name_fold, 'bolt') THEN 1 ELSE 2 END AS class FROM ready WHERE contains(name_fold, 'bolt')),
+    top AS (SELECT * FROM hits ORDER BY class, is_dir DESC, path_len, numkey, path LIMIT 50),
+    joined AS (SELECT top.*, coalesce(value, 0.0) AS boost FROM top LEFT JOIN boosts USING (path)),
+    scored AS (SELECT *, CASE WHEN boost > 3.0 AND class > 0 THEN class - 1 ELSE class END AS eff_class, 1.0 * boost + CASE WHEN starts_with(path, '/catalog/Brand#4/') THEN 2.0 * pow(0.5, greatest(len({_PARTS}) - 3, 0)) ELSE 0.0 END - {_PENALTY} AS blended FROM joined)
+    SELECT (row_number() OVER (ORDER BY eff_class, blended DESC, class, is_dir DESC, path_len, numkey, path))::BIGINT AS rank, path, class::INT AS class, eff_class::INT AS eff_class, boost, round(blended, 6) AS blended FROM scored""")
+def search_blended(spark, sf):
+    part = X.table(spark, sf, "part")
+    ext = F.element_at(F.array(*(F.lit(x) for x in (".txt", ".log", ".csv", ".md"))), F.col("p_size") % 4 + 1)
+    path = F.concat(F.lit("/catalog/"), "p_brand", F.lit("/"), "p_type", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), "p_partkey", ext)
+    boost = part.where("p_size % 3 = 0").select(path.alias("path"), (F.col("p_size") % 6).cast("double").alias("value"))
+    out = search.search(X.entries(spark, sf), "bolt", 50, False, search.Blend(boost=boost, cwd="/catalog/Brand#4", cwd_weight=2.0))
+    return out.select("rank", "path", "class", "eff_class", "boost", F.round("blended", 6).alias("blended"))
+
+
+_RATES = """keyed AS (SELECT {key} AS key, 0.0 AS picks, 1.0 AS impressions FROM paths UNION ALL SELECT {key}, 1.0, 0.0 FROM paths WHERE picked)
+    SELECT key, sum(picks) AS picks, sum(impressions) AS impressions, round(0.2 * greatest(-1.5, least(1.5, ln((sum(picks) + 1) / (sum(impressions) + 20) * 20))), 6) AS term FROM keyed GROUP BY key"""
+_PICKED = f"WITH {X.SQL_IMPRESSIONS}, paths AS (SELECT picked, '/home/u/d' || k % 7 || '/' || plugin || '/f' || k || CASE WHEN k % 2 = 0 THEN '.TXT' ELSE '.md' END AS path FROM imps), "
+
+
+def _paths(spark, sf):
+    rows = X.impressions(spark, sf)
+    return rows.withColumn("path", F.concat(F.lit("/home/u/d"), F.col("k") % 7, F.lit("/"), "plugin", F.lit("/f"), "k", F.when(F.col("k") % 2 == 0, ".TXT").otherwise(".md")))
+
+
+def _rates(key) -> Query:
+    def run(spark, sf):
+        rows = _paths(spark, sf)
+        out = usage.rate_tables(rows.select("path"), rows.where("picked").select("path"), key(F.col("path")), 4096)
+        return out.select("key", "picks", "impressions", F.round(P.rate_term(F.col("picks"), F.col("impressions")), 6).alias("term"))
+
+    return run
+
+
+query(_PICKED + _RATES.format(key="lower(regexp_extract(path, '(\\.[^./]*)$', 1))"), "extension_rates")(_rates(P.extension_key))
+query(_PICKED + _RATES.format(key="'/' || array_to_string(list_slice(string_split(path, '/'), 2, 4), '/')"), "directory_rates")(_rates(P.directory_key))
+
+
+@query(f"""WITH {X.SQL_OPENS}, w AS (SELECT 'q' || user_id % 20 AS query, path, sum(pow(2.0, -{_AGE} / (14 * 86400.0))) AS weight FROM opens GROUP BY ALL)
+    SELECT query, path, round(weight, 6) AS weight FROM w QUALIFY row_number() OVER (PARTITION BY query ORDER BY weight DESC, path) <= 4""")
+def exact_picks(spark, sf):
+    opens = X.opens(spark, sf).withColumn("query", F.concat(F.lit(" Q"), F.col("user_id") % 20))
+    return usage.exact_picks(opens, F.lit(opens.agg(F.max("ts")).head()[0])).select("query", "path", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {X.SQL_IMPRESSIONS} SELECT imp, pos, (row_number() OVER (PARTITION BY imp, plugin ORDER BY pos) - 1)::BIGINT AS source_rank FROM imps")
+def source_ranks(spark, sf):
+    return usage.source_ranks(X.impressions(spark, sf)).select("imp", "pos", "source_rank")
+
+
+@query(f"""WITH {X.SQL_IMPRESSIONS}, p AS (SELECT * FROM imps WHERE picked), pairs AS (SELECT p.pos AS pp, i.pos AS ip, p.k AS ps, i.k AS s FROM imps i JOIN p USING (imp) WHERE NOT i.picked)
+    SELECT count(*) AS pairs, round(avg(CASE WHEN ps > s THEN 1.0 ELSE 0.0 END), 6) AS model, round(avg(CASE WHEN pp < ip THEN 1.0 ELSE 0.0 END), 6) AS baseline FROM pairs""")
+def pair_accuracy(spark, sf):
+    out = usage.pair_accuracy(usage.pairs(X.impressions(spark, sf).withColumn("score", F.col("k"))))
+    return out.select("pairs", F.round("model", 6).alias("model"), F.round("baseline", 6).alias("baseline"))
+
+
+@query("SELECT event_id AS imp, row_number() OVER (ORDER BY ts DESC, event_id DESC) <= ceil(count(*) OVER () * 0.2) AS holdout FROM events")
+def newest_holdout(spark, sf):
+    return usage.holdout(X.events(spark, sf).select(F.col("event_id").alias("imp"), "ts")).select("imp", "holdout")
+
+
+@query(f"""WITH {X.SQL_EVENTS}, f AS (SELECT event_id, least(k % 5, 3) AS cls, k % 5 AS raw, k AS align, value AS boost, k % 12 AS depth FROM ev),
+    x AS (SELECT event_id, 0 AS idx, 1.0 AS value FROM f UNION ALL SELECT event_id, 1, 1.0 FROM f UNION ALL SELECT event_id, 3 + cls, 1.0 FROM f UNION ALL SELECT event_id, 7, 1.0 FROM f WHERE raw > 1
+        UNION ALL SELECT event_id, 8, least(align / 256.0, 1.0) FROM f WHERE align > 0 UNION ALL SELECT event_id, 9, boost / (1 + boost) FROM f WHERE boost > 0
+        UNION ALL SELECT event_id, 14 + CASE WHEN depth <= 3 THEN 0 WHEN depth <= 6 THEN 1 WHEN depth <= 9 THEN 2 ELSE 3 END, 1.0 FROM f)
+    SELECT event_id, idx::INT AS idx, round(value, 6) AS value FROM x""")
+def file_features(spark, sf):
+    k = F.col("k")
+    rows = X.events(spark, sf).select("event_id", (k % 5).alias("class"), F.least(k % 5, F.lit(1)).alias("eff_class"), k.alias("align"), F.col("value").alias("boost"), F.lit(0.0).alias("recency"), F.lit(0.0).alias("cwd"), F.lit(0.0).alias("penalty"), F.lit(False).alias("is_dir"), (k % 12).alias("depth"), F.lit("").alias("ext"))
+    return usage.file_features(rows).select("event_id", F.inline("x")).select("event_id", "idx", F.round("value", 6).alias("value"))
+
+
+@query("SELECT DISTINCT c_mktsegment AS text, (CASE c_mktsegment WHEN 'BUILDING' THEN {BUILDING} WHEN 'AUTOMOBILE' THEN {AUTOMOBILE} WHEN 'MACHINERY' THEN {MACHINERY} WHEN 'HOUSEHOLD' THEN {HOUSEHOLD} ELSE {FURNITURE} END)::BIGINT AS bucket FROM customer".format(
+    **{w: __import__("functools").reduce(lambda h, b: ((h ^ b) * 16777619) % 2**32, w.encode(), 2166136261) % 16 for w in ("BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE")}))
+def hash_buckets(spark, sf):
+    return X.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("text")).distinct().select("text", P.fnv_bucket(F.col("text"), 16).alias("bucket"))
+
+
+@query("""WITH v AS (SELECT e.event_id % (SELECT count(*) FROM pages) AS place, ts, CASE WHEN event_type = 'error' THEN 4 ELSE 1 END AS visit_type FROM events e),
+    c AS (SELECT place, count(*) AS c30, sum(CASE WHEN ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS THEN 1 ELSE 0 END)::BIGINT AS c7 FROM v WHERE visit_type NOT IN (4, 8) AND ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAYS GROUP BY place HAVING c30 >= 11 AND c7 >= 1)
+    SELECT page_id AS id, url, c30, c7 FROM pages JOIN c ON page_id = place WHERE starts_with(url, 'http') ORDER BY c30 DESC, c7 DESC, url LIMIT 50""")
+def frequent_sites(spark, sf):
+    pages = X.table(spark, sf, "pages")
+    n, ev = pages.count(), X.events(spark, sf)
+    places = pages.select(F.col("page_id").alias("id"), "url", F.lit(None).cast("string").alias("title"), F.lit(0).alias("hidden"))
+    visits = ev.select((F.col("event_id") % n).alias("place_id"), "ts", F.when(F.col("event_type") == "error", 4).otherwise(1).alias("visit_type"))
+    return web.frequent_sites(places, visits, F.lit(ev.agg(F.max("ts")).head()[0])).select("id", "url", "c30", "c7")
+
+
+@query("""SELECT p_brand, p_partkey FROM part WHERE p_retailprice > 0 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size >= 32 DESC, CASE WHEN p_size >= 32 THEN p_size ELSE -p_size END, p_partkey) = 1""")
+def best_icons(spark, sf):
+    icons = X.table(spark, sf, "part").select("p_brand", "p_partkey", F.col("p_size").alias("width"), F.col("p_partkey").alias("ord"), F.col("p_retailprice").cast("long").alias("size"))
+    return web.best_icons(icons, 32, ["p_brand"]).select("p_brand", "p_partkey")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations)
+    SELECT conv_id, 'http://h' || conv_id % 9 || '.example.org/' || conv_id || '/' || turn AS url FROM t WHERE n = least(3, c) AND conv_id % 4 <> 0""")
+def open_tabs(spark, sf):
+    url = F.concat(F.lit("http://h"), F.col("conv_id") % 9, F.lit(".example.org/"), F.col("conv_id"), F.lit("/"), F.col("turn"))
+    entries = X.table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", url.alias("url")))), lambda e: F.struct(e["url"].alias("url"), F.lit("").alias("title"))).alias("entries"))
+    tab = F.struct("entries", F.lit(3).alias("index"), (F.col("conv_id") % 4 == 0).alias("hidden"))
+    windows = entries.select("conv_id", F.array(F.struct(F.array(tab).alias("tabs"))).alias("windows"))
+    found = web.open_tabs(windows, most=1 << 30)
+    return found.select(F.regexp_extract("url", "/([0-9]+)/[0-9]+$", 1).cast("long").alias("conv_id"), "url")
+
+
+@query("SELECT place, entry FROM (SELECT (row_number() OVER (ORDER BY o))::BIGINT AS place, entry FROM (SELECT trim(event_type || ' ' || (props->>'k')) AS entry, max(event_id) AS o FROM events GROUP BY 1 ORDER BY o DESC LIMIT 100))")
+def query_history(spark, sf):
+    rows = X.events(spark, sf).select(F.col("event_id").alias("ord"), F.concat(F.lit(" "), "event_type", F.lit(" "), F.col("k"), F.lit("\t")).alias("entry"))
+    return usage.history(rows)
+
+
+@query(f"WITH {X.SQL_ENTRIES} SELECT name, CASE WHEN ends_with(name_fold, '9.txt') THEN 'text/nine' WHEN ends_with(name_fold, '.txt') THEN 'text/plain' WHEN ends_with(name_fold, '.csv') THEN 'text/csv' END AS type FROM entries WHERE NOT is_dir")
+def types_of_names(spark, sf):
+    suffixes = spark.createDataFrame([(".txt", "text/plain", 50), (".csv", "text/csv", 50), ("9.txt", "text/nine", 10), (".txt", "text/other", 40)], "suffix string, type string, weight int")
+    return web.types_of_names(X.entries(spark, sf).where("not is_dir").select("name"), suffixes)
+
+
+@query("""SELECT event_id, '!' AS sigil, event_type AS name, CASE WHEN event_id % 2 = 0 THEN 'k ' || (props->>'k') ELSE '' END AS rest, event_id % 2 = 0 AS complete FROM events WHERE event_id % 3 <> 0""")
+def parsed_commands(spark, sf):
+    text = F.concat(F.when(F.col("event_id") % 3 == 0, "no ").otherwise("!"), F.initcap("event_type"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" k "), F.col("k"))).otherwise(""))
+    return X.events(spark, sf).select("event_id", web.parse_command(text).alias("c")).where("c is not null").select("event_id", "c.*")
+
+
+@query("""SELECT DISTINCT event_type AS name, CASE event_type WHEN 'view' THEN 'viewer' WHEN 'click' THEN 'mouse' WHEN 'signup' THEN 'forms' END AS provider FROM events""")
+def resolved_commands(spark, sf):
+    names = X.events(spark, sf).select(F.col("event_type").alias("name")).distinct()
+    commands = spark.createDataFrame([("view", "viewer", ["v"]), ("viewer", "other", []), ("mouse", "mouse", ["click"]), ("signup_form", "forms", []), ("error_a", "a", []), ("error_b", "b", [])], "command string, provider string, aliases array<string>")
+    return web.resolve_commands(names, commands).select("name", "provider")
+
+
+@query("SELECT page_id, ord, url FROM (SELECT page_id, 0 AS ord, 'https://find.example.org/?q=' || page_id AS url FROM pages UNION ALL SELECT page_id, 1, 'https://' || regexp_extract(url, '^https?://([^/:]+)', 1) || '/top' FROM pages)")
+def rewritten_queries(spark, sf):
+    pages = X.table(spark, sf, "pages").select("page_id", F.concat(F.lit("page "), F.col("page_id"), F.lit(" at "), F.regexp_extract("url", "^https?://([^/:]+)", 1)).alias("query"))
+    rules = [(r"^page (\d+) at", "https://find.example.org/?q=$1"), (r"page \d+ at (\S+)", "https://$1/top"), ("never", "https://x.example.org")]
+    return pages.join(web.rewrites(pages, rules), "query").select("page_id", "ord", "url")
+
+
+@query(f"WITH {X.SQL_ENTRIES} SELECT name, CASE WHEN is_dir THEN 'file' WHEN regexp_matches(name_fold, '^red_') THEN 'red' WHEN ends_with(name_fold, '.md') THEN 'note' ELSE 'file' END AS icon FROM entries WHERE NOT is_dir")
+def icons_of_names(spark, sf):
+    return web.first_rules(X.entries(spark, sf).where("not is_dir"), [("^red_", "red"), (r"\.md$", "note")], "file")
+
+
+def _log(spark, sf):
+    """A log of changes: every file is added by its order line, some directories are removed in between."""
+    ev = X.events(spark, sf)
+    path = F.concat(F.lit("/r/u"), F.col("user_id") % 30, F.lit("/k"), F.col("k") % 10)
+    adds = ev.where("event_type <> 'error'").select(F.col("event_id").alias("seq"), F.lit("add").alias("op"), F.concat(path, F.lit("/f"), F.col("k"), F.lit("_"), F.col("user_id")).alias("path"), F.lit(False).alias("is_dir"))
+    gone = ev.where("event_type = 'error'").select(F.col("event_id").alias("seq"), F.lit("remove").alias("op"), F.when(F.col("event_id") % 2 == 0, path).otherwise(F.concat(F.lit("/r/u"), F.col("user_id") % 30)).alias("path"), F.lit(False).alias("is_dir"))
+    return adds.union(gone)
+
+
+_LOG = f"""{X.SQL_EVENTS}, places AS (SELECT *, '/r/u' || user_id % 30 || '/k' || k % 10 AS dir FROM ev),
+    adds AS (SELECT dir || '/f' || k || '_' || user_id AS path, dir, '/r/u' || user_id % 30 AS top, min(event_id) AS id, max(event_id) AS seq FROM places WHERE event_type <> 'error' GROUP BY ALL),
+    gone AS (SELECT CASE WHEN event_id % 2 = 0 THEN dir ELSE '/r/u' || user_id % 30 END AS path, max(event_id) AS gone FROM places WHERE event_type = 'error' GROUP BY ALL),
+    snap AS (SELECT id, a.dir AS parent_dir, a.path, coalesce(greatest(g.gone, h.gone) > seq, false) AS tombstone FROM adds a LEFT JOIN gone g ON g.path = a.dir LEFT JOIN gone h ON h.path = a.top)"""
+
+
+@query(f"WITH {_LOG} SELECT id, parent_dir, regexp_extract(path, '([^/]*)$', 1) AS name, tombstone FROM snap")
+def entry_snapshot(spark, sf):
+    return store.snapshot(_log(spark, sf)).select("id", "parent_dir", "name", "tombstone")
+
+
+@query(f"WITH {_LOG} SELECT round(coalesce(avg(tombstone::INT), 0), 6) AS ratio FROM snap")
+def tombstone_ratio(spark, sf):
+    return store.tombstone_ratio(store.snapshot(_log(spark, sf))).select(F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"WITH {X.SQL_ENTRIES} SELECT parent_dir, name FROM entries WHERE NOT (path = '/catalog/Brand#3' OR starts_with(path, '/catalog/Brand#3/') OR path = '/catalog/Brand#1/SMALL' OR starts_with(path, '/catalog/Brand#1/SMALL/'))")
+def subtree_delete(spark, sf):
+    roots = spark.createDataFrame([("/catalog/Brand#3",), ("/catalog/Brand#1/SMALL",)], "path string")
+    return store.remove_subtrees(X.entries(spark, sf), roots).select("parent_dir", "name")
+
+
+@query(f"WITH {X.SQL_ENTRIES}, roots AS (SELECT DISTINCT parent_dir AS p FROM entries WHERE parent_dir LIKE '/catalog/%' AND (parent_dir LIKE '%#1' OR parent_dir LIKE '%#1/%' OR parent_dir LIKE '%#2/P%')) SELECT p AS path FROM roots a WHERE NOT EXISTS (SELECT 1 FROM roots b WHERE starts_with(a.p, b.p || '/'))")
+def outermost_roots(spark, sf):
+    roots = X.entries(spark, sf).where("parent_dir like '/catalog/%' and (parent_dir like '%#1' or parent_dir like '%#1/%' or parent_dir like '%#2/P%')").select(F.col("parent_dir").alias("path"))
+    return store.outermost(roots)
+
+
+@query(f"""WITH {X.SQL_ENTRIES}, a AS (SELECT parent_dir, name, is_dir FROM entries WHERE NOT contains(name, '7')), b AS (SELECT parent_dir, name, CASE WHEN contains(name, '55') THEN NOT is_dir ELSE is_dir END AS is_dir FROM entries WHERE NOT contains(name, '8'))
+    SELECT parent_dir, name, CASE WHEN a.is_dir IS NULL THEN 'add' WHEN b.is_dir IS NULL THEN 'remove' ELSE 'flip' END AS change FROM a FULL JOIN b USING (parent_dir, name) WHERE a.is_dir IS DISTINCT FROM b.is_dir""")
+def directory_difference(spark, sf):
+    rows = X.entries(spark, sf)
+    flipped = rows.where(~F.col("name").contains("8")).withColumn("is_dir", F.when(F.col("name").contains("55"), ~F.col("is_dir")).otherwise(F.col("is_dir")))
+    return store.difference(rows.where(~F.col("name").contains("7")), flipped)
+
+
+@query("SELECT user_id FROM ((SELECT DISTINCT user_id FROM events WHERE value > 40) UNION ALL (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND value < 3)) GROUP BY user_id HAVING count(*) = 1")
+def symmetric_difference(spark, sf):
+    ev = X.events(spark, sf)
+    return store.symmetric_difference(ev.where("value > 40").select("user_id"), ev.where("event_type = 'signup' and value < 3").select("user_id"))
+
+
+@query(f"WITH {X.SQL_ENTRIES} SELECT count(*) AS entries, (sum(strlen(name)) + count(*))::BIGINT AS name_bytes, 4 * (count(*) + 1) AS offset_bytes, 4 * count(*) AS parent_bytes, count(*) AS flag_bytes, round((sum(strlen(name)) + count(*) + 4 * (count(*) + 1) + 4 * count(*) + count(*)) / count(*), 6) AS bytes_per_entry FROM entries")
+def footprint(spark, sf):
+    return store.footprint(X.entries(spark, sf)).withColumn("bytes_per_entry", F.round("bytes_per_entry", 6))
+
+
+@query("SELECT id, path, CASE WHEN n > 100 THEN last ELSE -1 END::BIGINT AS next_id FROM (SELECT c_custkey AS id, '/c/' || c_name AS path, row_number() OVER (ORDER BY c_custkey) AS r, count(*) OVER () AS n, max(c_custkey) OVER () AS last FROM (SELECT * FROM customer WHERE c_custkey >= 50 AND c_custkey % 2 = 0 AND c_custkey % 3 <> 0 ORDER BY c_custkey LIMIT 101)) WHERE r <= 100")
+def live_dirs_page(spark, sf):
+    rows = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("/c").alias("parent_dir"), F.col("c_name").alias("name"), (F.col("c_custkey") % 2 == 0).alias("is_dir"), (F.col("c_custkey") % 3 == 0).alias("tombstone"))
+    return store.live_dirs_page(rows, 50, 100)
+
+
+@query("SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, max(l_shipdate) AS m FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL) WHERE m >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 10 DAYS - INTERVAL 2 SECONDS")
+def changed_directories(spark, sf):
+    ship = X.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max(F.col("l_shipdate").cast("timestamp")).alias("mtime"))
+    rows = X.table(spark, sf, "part").join(ship, "p_partkey")
+    last = ship.agg(F.max("mtime")).head()[0]
+    return store.changed_since(rows, F.lit(last) - F.expr("INTERVAL 10 DAYS")).select("p_brand", "p_partkey")
+
+
+@query("""WITH s AS (SELECT user_id, event_id, sum(value) OVER w + event_id AS total, sum(CASE WHEN event_type = 'error' THEN -value ELSE value / 2 END) OVER w AS busy FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+    d AS (SELECT user_id, event_id, total - lag(total) OVER w AS dt, busy - lag(busy) OVER w AS db FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT event_id, round(CASE WHEN dt > 0 AND db >= 0 THEN least(100.0, 100.0 * db / dt) END, 4) AS pct FROM d""")
+def busy_rates(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = X.events(spark, sf).select("user_id", "event_id", F.col("event_id").alias("ts"), (F.sum("value").over(w) + F.col("event_id")).alias("total"), F.sum(F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value") / 2)).over(w).alias("busy"))
+    return series.busy_rates(rows, ["user_id"]).select("event_id", F.round("pct", 4).alias("pct"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, (props->>'k')::INT AS b FROM events), d AS (SELECT *, t - lag(t) OVER w AS dt, b - lag(b) OVER w AS db FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+    r AS (SELECT *, CASE WHEN dt > 0 AND dt <= 90000 AND db >= 0 THEN db / dt END AS rate FROM d)
+    SELECT event_id, round(rate, 8) AS rate, round(last_value(rate IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING), 8) AS shown_rate FROM r""")
+def counter_rates(spark, sf):
+    rows = X.events(spark, sf).select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("ts"), F.col("k").alias("bytes"))
+    return series.counter_rates(rows, ["user_id"], 30000.0).select("event_id", F.round("rate", 8).alias("rate"), F.round("shown_rate", 8).alias("shown_rate"))
+
+
+@query("WITH RECURSIVE t(pid, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT c_custkey, depth + 1 FROM t JOIN customer ON c_custkey // 3 = pid AND c_custkey > 1 WHERE depth < 5) SELECT pid, depth FROM t")
+def process_tree(spark, sf):
+    edges = X.table(spark, sf, "customer").where("c_custkey > 1").select(F.col("c_custkey").alias("pid"), F.expr("c_custkey div 3").alias("ppid"))
+    return series.descendants(edges, 1, 5)
+
+
+@query("""WITH s AS (SELECT o_orderkey AS key, (o_totalprice)::BIGINT AS size, o_orderdate AS used FROM orders), n AS (SELECT * FROM s WHERE size + 256 <= 2000000 ORDER BY used DESC, key LIMIT 64)
+    SELECT key, upto FROM (SELECT key, (sum(size + 256) OVER (ORDER BY used DESC, key ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM n) WHERE upto <= 2000000""")
+def cache_budget(spark, sf):
+    rows = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.round("o_totalprice").cast("long").alias("size"), F.col("o_orderdate").alias("used"))
+    return usage.cache_budget(rows, 2_000_000).select("key", "upto")
+
+
+@query("""SELECT p_partkey, r::VARCHAR AS ranges FROM (SELECT p_partkey, list_transform(range(0, 1), lambda i: [0, 4]) AS r FROM part WHERE starts_with(p_name, 'blue') AND NOT contains(p_name, 'gear'))
+    UNION ALL SELECT p_partkey, [[0, 4], [5, 9]]::VARCHAR FROM part WHERE p_name = 'blue gear'""")
+def highlights(spark, sf):
+    rows = X.table(spark, sf, "part").where(F.col("p_name").startswith("blue"))
+    found = rows.select("p_partkey", highlight(F.col("p_name"), M.terms("blue gear"), False).alias("r"))
+    return found.select("p_partkey", F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: F.concat(F.lit("["), F.array_join(x.cast("array<string>"), ", "), F.lit("]"))), ", "), F.lit("]")).alias("ranges"))
+
+
+@query("SELECT p_partkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN regexp_replace(printf('%.1f', n / 1024.0), '\\.0$', '') || ' KB' ELSE regexp_replace(printf('%.1f', n / 1048576.0), '\\.0$', '') || ' MB' END AS size FROM (SELECT p_partkey, p_partkey * p_size * 40 AS n FROM part)")
+def human_sizes(spark, sf):
+    return X.table(spark, sf, "part").select("p_partkey", P.human_size(F.col("p_partkey") * F.col("p_size") * 40).alias("size"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, true AS web FROM pages")
+def url_parts(spark, sf):
+    return X.table(spark, sf, "pages").select("page_id", P.url_host(F.col("url")).alias("host"), P.is_web_url(F.col("url")).alias("web"))
+
+
+@query(f"WITH {X.SQL_EVENTS}, b AS (SELECT k, list_sort(list_distinct(list(event_id % 40))) AS p FROM ev GROUP BY k), g AS (SELECT k, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS i FROM b) SELECT k, min(x)::INT AS lo, (max(x) + 1)::INT AS hi FROM g GROUP BY k, x - i")
+def merged_positions(spark, sf):
+    rows = X.events(spark, sf).groupBy("k").agg(F.collect_set((F.col("event_id") % 40).cast("int")).alias("p"))
+    return rows.select("k", F.explode(P.merge_positions(F.col("p"))).alias("r")).select("k", F.col("r")[0].alias("lo"), F.col("r")[1].alias("hi"))
