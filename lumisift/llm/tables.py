@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a Python worker gets at once, at most.
+BATCH_ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
@@ -31,6 +35,46 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hand_back() -> None:
+    """Gives memory that Python and Arrow no longer use back to the system: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass  # another C library
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow that takes batches in small slices and hands memory back when its task ends."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, batch.num_rows, BATCH_ROWS))
+        finally:
+            _hand_back()
+
+    return inner
+
+
+def lean_group(run: Callable) -> Callable:
+    """The same for applyInArrow."""
+
+    def inner(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            _hand_back()
+
+    return inner
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows that go to a Python worker at once, for texts are long. It lowers the session's setting and never raises it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
