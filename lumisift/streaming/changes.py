@@ -17,6 +17,10 @@ from ..plans import store
 QUIET_MS, OLDEST_MS, MOST_PENDING = 250, 1000, 4096
 
 
+def _likes(pattern: str):
+    return lambda a: a.rlike(pattern)
+
+
 def wanted(events: DataFrame, globs: list[str]) -> DataFrame:
     """Events (path, op, ts) that create, remove or rename and aren't excluded, at or above their path."""
     from ..functions import matching as M
@@ -26,7 +30,8 @@ def wanted(events: DataFrame, globs: list[str]) -> DataFrame:
     out = F.lit(False)
     for g in globs:
         pattern = M.glob_pattern(g)
-        out = out | F.exists(chain, lambda a, p=pattern, whole="/" in g: (a if whole else F.regexp_extract(a, "([^/]*)$", 1)).rlike(p))
+        held = chain if "/" in g else F.transform(chain, lambda a: F.regexp_extract(a, "([^/]*)$", 1))
+        out = out | F.exists(held, _likes(pattern))
     return events.where(F.col("op").isin("create", "remove", "rename") & ~out)
 
 
