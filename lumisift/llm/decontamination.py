@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import lean, small_batches
+
 from . import hashing as H
 
 #: Words of the benchmark that are broadcast at once.
@@ -145,6 +147,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 4, thresho
     benchmark: (item_id, text). A row without leaks has an empty list.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.length("text"))).head()[0] or 0
     blocks = max(1, -(-size // (2 * BLOCK_WORDS)))  # a word and its separator are two characters or more
@@ -165,5 +168,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 4, thresho
                     found = [a + b for a, b in zip(batch.column("leaks").to_pylist(), found)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, _LEAKS)], [*names, "leaks"])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(lean(run), schema)
     return out

@@ -38,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .tables import components, key_runs, partitions, stored
+from .tables import components, key_runs, lean, lean_group, partitions, small_batches, stored
 
 #: Tokens and documents in a block, at most (a longer document stands alone).
-BLOCK_TOKENS, BLOCK_DOCS = 1_500_000, 50_000
+BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 50_000
 #: Tokens that one range of the hash space receives, about.
-RANGE_TOKENS = 3_000_000
+RANGE_TOKENS = 1_000_000
 #: Sets in one trie, at most; a larger group is dealt out into parts.
 GROUP = 2048
 #: Smallest-hash keys under which sets meet first.
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 twos.append(s2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], ["doc_id", "n_shingles", "s1", "s2"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_shingles long, s1 long, s2 long")
 
 
 # --- blobs: sorted hashes as differences of as few bytes as they need ---------------------------
@@ -203,9 +203,9 @@ def _survivors(share: float):
 def shared_sets(docs: DataFrame, n: int, threshold: float, total: int) -> DataFrame:
     """(sid, n, s1, s2, tokens): one document of each set that may link with another, tokens rarest first."""
     ranges = max(1, math.ceil(total / RANGE_TOKENS), partitions(docs.sparkSession))
-    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_send(n, ranges), "range int, block long, head boolean, blob binary")
-    answers = sent.groupBy("range").applyInArrow(_answer, "block long, head boolean, blob binary")
-    found = answers.groupBy("block").applyInArrow(_survivors(threshold), "sid long, n long, s1 long, s2 long, tokens array<long>")
+    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_send(n, ranges)), "range int, block long, head boolean, blob binary")
+    answers = sent.groupBy("range").applyInArrow(lean_group(_answer), "block long, head boolean, blob binary")
+    found = answers.groupBy("block").applyInArrow(lean_group(_survivors(threshold)), "sid long, n long, s1 long, s2 long, tokens array<long>")
     return found.dropDuplicates(["n", "s1", "s2"])
 
 
@@ -398,14 +398,14 @@ def _prefix(threshold: float):
 def links(sets: DataFrame, threshold: float) -> DataFrame:
     """(node, root) for every set that links with another: components of all links of ``sets``."""
     spark = sets.sparkSession
-    keys = sets.select("sid", "tokens").mapInArrow(_min_keys, "key long, sid long")
+    keys = sets.select("sid", "tokens").mapInArrow(lean(_min_keys), "key long, sid long")
     sizes = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     meet = keys.join(sizes, "key").select("key", "sid", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / GROUP)).alias("part"))
-    found = _dealt(meet.join(sets, "sid"), "sid", "n", "tokens").mapInArrow(_join_groups(threshold, False), "a long, b long")
+    found = _dealt(meet.join(sets, "sid"), "sid", "n", "tokens").mapInArrow(lean(_join_groups(threshold, False)), "a long, b long")
     edges = stored(found)
     roots = stored(components(edges))
     labelled = sets.join(roots, sets.sid == roots.node, "left").select("sid", "n", "tokens", F.coalesce("root", "sid").alias("root"))
-    prefixes = labelled.mapInArrow(_prefix(threshold), "key long, sid long, root long")
+    prefixes = labelled.mapInArrow(lean(_prefix(threshold)), "key long, sid long, root long")
     mixed = prefixes.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi")
     more = _compare_open(prefixes.join(mixed, "key").select("key", "sid", "m"), labelled, threshold)
     return components(edges.union(stored(more)))
@@ -426,11 +426,12 @@ def _compare_open(rows: DataFrame, labelled: DataFrame, threshold: float) -> Dat
     parts = rows.join(cluster.where(F.col("size") > GROUP), "sid").withColumn("parts", F.ceil(F.col("m") / (GROUP / 2)).cast("int")).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     large = parts.select("key", "sid", "own", other).select("key", "sid", (F.least("own", "other") * F.lit(1 << 31).cast("long") + F.greatest("own", "other")).alias("part")).distinct()
-    return _dealt(small.union(large.select("key", "sid", "part")).join(labelled, "sid"), "sid", "n", "tokens", "root").mapInArrow(_join_groups(threshold, True), "a long, b long")
+    return _dealt(small.union(large.select("key", "sid", "part")).join(labelled, "sid"), "sid", "n", "tokens", "root").mapInArrow(lean(_join_groups(threshold, True)), "a long, b long")
 
 
 def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    small_batches(docs.sparkSession)
     signs = stored(signatures(docs, n))
     total = signs.agg(F.sum("n_shingles")).head()[0] or 0
     classes = signs.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("least"))

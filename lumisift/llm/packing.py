@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import stored
+from .tables import lean, small_batches, stored
 
 #: Words whose ids a worker remembers; beyond, it starts anew.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 300_000
 #: Parts into which each length's pieces are dealt out to be ranked.
 RANK_PARTS = 64
 
@@ -83,9 +83,9 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         for at in range(0, len(texts), 64):
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-                self.parts.clear()
+            for cache in (self.known, self.parts):
+                if len(cache) > CACHED_WORDS:
+                    cache.clear()
             split = [text if "<|" in text or not self.plain(text) else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split() for text in texts[at : at + 64]]
             self._learn(list({w for words in split if not isinstance(words, str) for w in words}.difference(self.known)))
             get = self.known.__getitem__
@@ -98,6 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int = 1)
 
     ids is binary: little-endian unsigned 32-bit ids. tokenizer: a path that all executors can read.
     """
+    small_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
@@ -114,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int = 1)
                     rows += [(doc, at, min(width, tokens - at), tokens, body[4 * at : 4 * (at + width)]) for at in range(0, tokens, width)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -182,7 +183,7 @@ def place(cut: DataFrame, width: int = 2048, order: tuple[str, ...] = ("doc_id",
     ranked = cut.withColumn("_within", within).join(F.broadcast(before), ["length", "_part"])  # at most width * RANK_PARTS rows
     ranked = ranked.withColumn("_rank", F.col("_within") + F.col("_before")).drop("_part", "_within", "_before")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(run, schema + ", sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run), schema + ", sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int = 1) -> DataFrame:

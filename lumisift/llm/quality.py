@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import lean, small_batches
+
 from .toxicity import _fit
 
 #: Labelled and unlabelled rows to learn from, at most.
@@ -125,6 +127,7 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
     docs: (doc_id, text, lang, source, n_chars); labels: (doc_id, quality). learn: a condition on doc_id, which labelled rows may be learnt from.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")), F.col("n_chars").cast("double").alias("n_chars"))
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     if learn is not None:
@@ -138,7 +141,7 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
             text, page = _features(batch)
             yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("y"), pa.array(list(np.hstack([text, page])), pa.list_(pa.float64())), batch.column("doc_id")], ["kind", "y", "x", "doc_id"])
 
-    held = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(see, "kind int, y int, x array<double>, doc_id long").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").toPandas()
+    held = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(lean(see), "kind int, y int, x array<double>, doc_id long").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").toPandas()
     x = np.vstack([np.zeros((0, TEXT_FEATURES + PAGE_FEATURES)), *held["x"]])
     known, y = (held["kind"] == 1).to_numpy(), held["y"].to_numpy(dtype=np.float64)
     text, page = x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:]
@@ -157,4 +160,4 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
                 scores = [1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (a, b, a + b - constant)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, scores)], ["doc_id", "text_score", "page_score", "score"])
 
-    return rows.mapInArrow(score, "doc_id long, text_score double, page_score double, score double")
+    return rows.mapInArrow(lean(score), "doc_id long, text_score double, page_score double, score double")

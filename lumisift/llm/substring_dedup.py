@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .tables import key_runs, partitions, stored
+from .tables import key_runs, lean, partitions, small_batches, stored
 
 #: Words of the run whose smallest hash is a window's key.
 ANCHOR = 8
@@ -206,7 +206,7 @@ def _remove(batches):
 def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, a, b): word spans to remove; they may overlap."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    segments = stored(docs.mapInArrow(_segments(window, anchor), "key long, content long, doc_id long, begin int, last int"))
+    segments = stored(docs.mapInArrow(lean(_segments(window, anchor)), "key long, content long, doc_id long, begin int, last int"))
     common = segments.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     shared = stored(segments.join(common, "key"))
     contents = shared.groupBy("key", "content").agg(F.min(F.struct("doc_id", "begin", "last")).alias("own"))
@@ -215,9 +215,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = ANCHOR) -> D
     kinds = contents.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     contested = contents.join(kinds, "key").select("key", (F.col("kinds") > HOT).alias("hot"), "own.*")
     lists = contested.groupBy("doc_id").agg(F.collect_list(F.struct("key", "hot", "begin", "last")).alias("segments"))
-    bodies = stored(docs.join(lists, "doc_id").select("doc_id", "text", "segments").mapInArrow(_cut(window), "key long, hot boolean, doc_id long, begin int, words binary"))
+    bodies = stored(docs.join(lists, "doc_id").select("doc_id", "text", "segments").mapInArrow(lean(_cut(window)), "key long, hot boolean, doc_id long, begin int, words binary"))
     cold = bodies.where("not hot").select("key", "doc_id", "begin", "words").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc_id")
-    streamed = cold.mapInArrow(_stream(window), "doc_id long, a int, b int")
+    streamed = cold.mapInArrow(lean(_stream(window)), "doc_id long, a int, b int")
     hot = bodies.where("hot").select("key", "doc_id", "begin")
     first = hot.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     windows = hot.join(first, "key").where("doc_id > lo").select("doc_id", F.col("begin").alias("a"), (F.col("begin") + window).alias("b"))
@@ -226,8 +226,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = ANCHOR) -> D
 
 def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of carry, text, kept (kept words joined by one space), n_words and n_removed of each row."""
+    small_batches(docs.sparkSession)
     spans = repeated_spans(docs, window, anchor).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {k}" for c, k in (kinds | {"kept": "string", "n_words": "long", "n_removed": "long"}).items())
-    return rows.join(spans, "doc_id", "left").mapInArrow(_remove, schema)
+    return rows.join(spans, "doc_id", "left").mapInArrow(lean(_remove), schema)

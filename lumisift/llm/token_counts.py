@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import lean, small_batches
+
 #: Words whose counts a worker remembers; beyond, it starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 
 class LongestMatch:
@@ -96,6 +98,8 @@ class LongestMatch:
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_words, n_tokens) of each text. model: the path of a sentencepiece file that all executors can read."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         automaton = LongestMatch.of(model)
         for batch in batches:
@@ -107,4 +111,4 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
                     tokens.append(automaton.counts(split))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_words long, n_tokens long")
