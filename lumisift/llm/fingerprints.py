@@ -2,8 +2,7 @@
 
 A text's terms are its lower-cased words. The lexicon holds the terms whose document frequency lies in a band; of the lexicon, randomised
 subsets of several sizes are taken, so that a short and a long text each meet some in a few terms. A fingerprint has one
-hash for each subset: that of the text's distinct terms in it, in canonical order. Sums of term
-hashes have no order, so the terms needn't be sorted to be hashed; distinct terms, the order of which can't matter, give equal sums.
+hash for each subset: that of the text's distinct terms in it, sorted (by their 64-bit hashes, which stand for the terms).
 The likeness of two fingerprints is the share of equal hashes among the subsets that either text meets.
 
 The lexicon has at most (mean distinct terms of a text) / LOW terms, however large the corpus, so it's broadcast.
@@ -17,6 +16,7 @@ result.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,8 @@ SUBSETS = [1] + [4] * 6 + [12] * 10 + [36] * 11 + [108] * 12
 BUCKET = 256
 
 _SPACE = r"[\x20\x09-\x0D]+"
+#: The term of the row that every text has; it lies in no subset.
+_NONE = 0
 
 
 def terms(text: Column) -> Column:
@@ -40,11 +42,12 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term): hashes of the terms in the band, counted over all documents."""
+    """(term, subsets): hashes of the terms in the band, counted over all documents, each with a bit for every subset that has it."""
     n = docs.count()
     counts = docs.select(F.explode(terms(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     least = max(2, math.ceil(n * low))
-    return counts.where(F.col("df").between(least, max(least, math.floor(n * high)))).select("term")
+    within = [F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(m)) == 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, m in enumerate(SUBSETS)]
+    return counts.where(F.col("df").between(least, max(least, math.floor(n * high)))).select("term", reduce(lambda a, b: a.bitwiseOR(b), within).alias("subsets"))
 
 
 def _low(x: Column) -> Column:
@@ -52,21 +55,25 @@ def _low(x: Column) -> Column:
     return (F.pmod(x, F.lit(1 << 32)) - (1 << 31)).cast("int")
 
 
+def _in_subset(k: int):
+    return lambda x: x["subsets"].bitwiseAND(F.lit(1 << k).cast("long")) != 0
+
+
 def fingerprint_rows(rows: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
     """keys, terms (array of hashes) -> keys, subsets: an array with the hash of each subset, null where the text doesn't meet it.
 
+    Only lexicon terms go on from the broadcast join; a row of no subset, which every text is given, keeps texts without any.
     Rows are told apart by keys. If they're partitioned by some of keys, nothing is shuffled.
     """
-    spread = rows.select(*keys, F.explode_outer("terms").alias("term"))
-    known = F.broadcast(words.select(F.col("term").alias("word")))
-    met = spread.join(known, F.col("term") == F.col("word"), "left")
-    inside = F.col("word").isNotNull()
-    every = F.bit_xor(F.xxhash64("term", F.lit(-1)))
-    parts = [F.sum(F.when(inside & (F.pmod(F.xxhash64("term", F.lit(k)), F.lit(m)) == 0), F.xxhash64("term", F.lit(k)).bitwiseAND(0xFFFFFFFF))).alias(f"h{k}") for k, m in enumerate(SUBSETS)]
-    summed = met.groupBy(*keys).agg(F.when(F.count("term") > 0, every).alias("every"), *parts)
-    none = F.col("h0").isNull()
-    subsets = F.array(*(_low(F.when(none, F.col("every")).otherwise(F.col(f"h{k}"))) for k in range(len(SUBSETS))))
-    return summed.select(*keys, subsets.alias("subsets"))
+    every = F.when(F.size("terms") > 0, F.xxhash64(F.sort_array("terms")))
+    spread = rows.select(*keys, every.alias("every"), F.explode(F.concat(F.array(F.lit(_NONE).cast("long")), F.col("terms"))).alias("term"))
+    none = words.sparkSession.range(1).select(F.lit(_NONE).cast("long").alias("word"), F.lit(0).cast("long").alias("subsets"))
+    known = words.where(F.col("term") != _NONE).select(F.col("term").alias("word"), "subsets").union(none)
+    met = spread.join(F.broadcast(known), F.col("term") == F.col("word"))
+    held = met.groupBy(*keys, "every").agg(F.sort_array(F.collect_list(F.when(F.col("subsets") != 0, F.struct("word", "subsets")))).alias("met"))
+    inside = [F.filter("met", _in_subset(k)) for k in range(len(SUBSETS))]
+    hashes = [F.when(F.size("met") == 0, F.col("every")).when(F.size(x) > 0, F.xxhash64(x)) for x in inside]
+    return held.select(*keys, F.array(*map(_low, hashes)).alias("subsets"))
 
 
 def likeness(a: Column, b: Column) -> Column:
