@@ -75,3 +75,24 @@ def footprint(entries: DataFrame) -> DataFrame:
 def changed_since(dirs: DataFrame, watermark: Column, slack_seconds: float = 2.0) -> DataFrame:
     """Directories (path, mtime) to be listed again: those touched since the watermark, less the slack for late times."""
     return dirs.where(F.col("mtime") >= watermark - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(slack_seconds)))
+
+
+def watch_set(dirs: DataFrame, budget: int) -> DataFrame:
+    """Directories (path, is_root, is_home, ord) to be watched: all roots, the home tree up to three quarters of the budget, others up to the whole.
+
+    Only numbers come to the driver; each part is a bounded top-k.
+    """
+    roots = dirs.where("is_root").count()
+    home = dirs.where("not is_root and is_home").orderBy("ord", "path").limit(max(0, budget - budget // 4 - roots))
+    rest = dirs.where("not is_root and not is_home").orderBy("ord", "path").limit(max(0, budget - roots - home.count()))
+    return dirs.where("is_root").union(home).union(rest)
+
+
+def newest_generation(rows: DataFrame, by: list[str], generation: str = "gen") -> DataFrame:
+    """Rows of the newest generation of each key; results of older ones have come too late."""
+    return rows.join(rows.groupBy(*by).agg(F.max(generation).alias(generation)), [*by, generation], "left_semi")
+
+
+def children(entries: DataFrame, directory: str) -> DataFrame:
+    """Entries directly in a directory."""
+    return entries.where(F.col("parent_dir") == directory)

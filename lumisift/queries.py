@@ -10,10 +10,12 @@ from pyspark.sql.window import Window
 
 from .functions import matching as M
 from .functions import paths as P
+from .functions import values as V
 from .functions.positions import highlight
-from .operators import ranking, search, series, usage, web
+from .operators import arbiter, ranking, search, series, usage, web
 from .plans import fixtures as X
 from .plans import store
+from .sources import system
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -414,3 +416,87 @@ def url_parts(spark, sf):
 def merged_positions(spark, sf):
     rows = X.events(spark, sf).groupBy("k").agg(F.collect_set((F.col("event_id") % 40).cast("int")).alias("p"))
     return rows.select("k", F.explode(P.merge_positions(F.col("p"))).alias("r")).select("k", F.col("r")[0].alias("lo"), F.col("r")[1].alias("hi"))
+
+
+def _fnv(word: str, buckets: int) -> int:
+    h = 2166136261
+    for b in word.encode():
+        h = (h ^ b) * 16777619 % 2**32
+    return h % buckets
+
+
+_PLUGINS = {"view": "windows", "click": "firefox-tabs", "error": "calc", "signup": "notes"}
+_PLUGIN_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {34 + usage.SOURCES.index(v) if v in usage.SOURCES else 38 + _fnv(v, 8)}" for k, v in _PLUGINS.items()) + f" ELSE {38 + _fnv('other', 8)} END"
+
+
+def _shown(spark, sf):
+    """Shown plugin rows of the impressions, their features drawn from the events."""
+    k, none = F.col("k"), F.lit(None)
+    plugin = F.create_map(*(F.lit(x) for pair in _PLUGINS.items() for x in pair))[F.col("plugin")]
+    return X.impressions(spark, sf).select(
+        "event_id", "imp", "ts", F.lit(True).alias("joined"), "pos", "picked", F.lit("plugin").alias("kind"), F.coalesce(plugin, F.lit("other")).alias("plugin"), F.least(F.col("value") * 2, F.lit(120)).alias("score"), (k % 5).alias("priority"), (k % 13).alias("source_rank"),
+        F.concat(F.lit(" "), F.repeat(F.lit("q"), k % 14), F.when(k % 3 == 0, "/").otherwise(""), F.when(k % 4 == 0, " x").otherwise("")).alias("query"), (k % 24).alias("hour"),
+        *(none.cast("double").alias(c) for c in ("boost", "recency", "cwd", "penalty")), *(none.cast("int").alias(c) for c in ("class", "eff_class", "align", "depth")), none.cast("boolean").alias("is_dir"), none.cast("string").alias("ext"),
+    )
+
+
+@query(f"""WITH {X.SQL_EVENTS}, f AS (SELECT event_id, event_type, value, k, trim(' ' || repeat('q', k % 14) || CASE WHEN k % 3 = 0 THEN '/' ELSE '' END || CASE WHEN k % 4 = 0 THEN ' x' ELSE '' END) AS q FROM ev),
+    x AS (SELECT event_id, 0 AS idx, 1.0::DOUBLE AS value FROM f UNION ALL SELECT event_id, 2, 1.0 FROM f UNION ALL SELECT event_id, {_PLUGIN_SQL}, 1.0 FROM f UNION ALL SELECT event_id, 46, least(value * 2 / 100.0, 1.0) FROM f WHERE value > 0
+        UNION ALL SELECT event_id, 47, least(k % 5, 3) / 3.0 FROM f WHERE k % 5 > 0 UNION ALL SELECT event_id, 48, least(k % 13, 10) / 10.0 FROM f WHERE k % 13 > 0
+        UNION ALL SELECT event_id, 53 + CASE WHEN length(q) <= 2 THEN 0 WHEN length(q) <= 5 THEN 1 WHEN length(q) <= 11 THEN 2 ELSE 3 END, 1.0 FROM f UNION ALL SELECT event_id, 58, 1.0 FROM f WHERE contains(q, ' ')
+        UNION ALL SELECT event_id, 60, 1.0 FROM f WHERE contains(q, '/') UNION ALL SELECT event_id, 65 + k % 24 // 6, 1.0 FROM f)
+    SELECT event_id, idx::INT AS idx, round(value, 6) AS value FROM x""")
+def plugin_features(spark, sf):
+    return arbiter.features(_shown(spark, sf)).select("event_id", F.inline("x")).select("event_id", "idx", F.round("value", 6).alias("value"))
+
+
+@query()
+def arbiter_training(spark, sf):
+    out = arbiter.train(arbiter.features(_shown(spark, sf)).select("imp", "ts", "joined", "pos", "picked", "x"))
+    return spark.createDataFrame([(out.picks, out.model, out.baseline, out.weights is not None)], "picks long, model double, baseline double, active boolean")
+
+
+@query(f"""WITH {X.SQL_EVENTS}, s AS (SELECT *, k % 3 AS q, sum((event_type = 'view')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n FROM ev WHERE event_type IN ('view', 'click')), v AS (SELECT * FROM s WHERE event_type = 'view')
+    SELECT c.user_id, c.event_id AS seq, max(v.event_id) AS imp_seq FROM s c LEFT JOIN v ON v.user_id = c.user_id AND v.q = c.q AND v.event_id < c.event_id AND c.n - v.n < 8 WHERE c.event_type = 'click' GROUP BY ALL""")
+def impressions_of_picks(spark, sf):
+    log = X.events(spark, sf).where("event_type in ('view', 'click')").select("user_id", F.col("event_id").alias("seq"), (F.col("k") % 3).alias("query"), (F.col("event_type") == "view").alias("shown"))
+    return arbiter.impressions_of_picks(log, ["user_id"])
+
+
+@query("""WITH v AS (SELECT p_partkey, p_partkey * 977 * p_size AS v FROM part), t AS (SELECT *, CASE WHEN v >= 1048576 THEN v / 1048576.0::DOUBLE WHEN v >= 1024 THEN v / 1024.0::DOUBLE ELSE v::DOUBLE END AS x, CASE WHEN v >= 1048576 THEN 'M' WHEN v >= 1024 THEN 'K' ELSE 'B' END AS u FROM v)
+    SELECT p_partkey, CASE WHEN u <> 'B' AND x < 10 THEN printf('%.1f', x) ELSE floor(x + 0.5)::BIGINT::VARCHAR END || u AS rate FROM t""")
+def rate_texts(spark, sf):
+    return X.table(spark, sf, "part").select("p_partkey", V.rate_text(F.col("p_partkey") * 977 * F.col("p_size")).alias("rate"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size * 37 AS w, (p_partkey % 900 + 1)::INT AS h FROM part) SELECT p_partkey, CASE WHEN w <= 256 AND h <= 256 THEN w ELSE greatest(1, floor(w * (256.0::DOUBLE / greatest(w, h)) + 0.5)) END::INT AS w,
+    CASE WHEN w <= 256 AND h <= 256 THEN h ELSE greatest(1, floor(h * (256.0::DOUBLE / greatest(w, h)) + 0.5)) END::INT AS h FROM s""")
+def fitted_images(spark, sf):
+    size = V.fit_within(F.col("p_size") * 37, (F.col("p_partkey") % 900 + 1).cast("int"), 256)
+    return X.table(spark, sf, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.w", "s.h")
+
+
+@query("""WITH d AS (SELECT c_custkey AS ord, '/' || c_name AS path, c_custkey % 97 = 0 AS is_root, c_nationkey % 2 = 0 AS is_home FROM customer), n AS (SELECT (sum(is_root::INT))::BIGINT AS roots FROM d),
+    h AS (SELECT path, row_number() OVER (ORDER BY ord, path) AS r FROM d WHERE NOT is_root AND is_home), hk AS (SELECT path FROM h, n WHERE r <= greatest(0, 75 - roots)),
+    o AS (SELECT path, row_number() OVER (ORDER BY ord, path) AS r FROM d WHERE NOT is_root AND NOT is_home)
+    SELECT path FROM d WHERE is_root UNION ALL SELECT path FROM hk UNION ALL SELECT path FROM o, n WHERE r <= greatest(0, 100 - roots - (SELECT count(*) FROM hk))""")
+def watch_set(spark, sf):
+    rows = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("ord"), F.concat(F.lit("/"), "c_name").alias("path"), (F.col("c_custkey") % 97 == 0).alias("is_root"), (F.col("c_nationkey") % 2 == 0).alias("is_home"))
+    return store.watch_set(rows, 100).select("path")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, (props->>'k')::INT AS k, max((props->>'k')::INT) OVER (PARTITION BY user_id) AS m FROM events) WHERE k = m")
+def newest_generation(spark, sf):
+    return store.newest_generation(X.events(spark, sf).select("user_id", "event_id", "k"), ["user_id"], "k").select("user_id", "event_id")
+
+
+@query(f"WITH {X.SQL_ENTRIES}, r AS (SELECT parent_dir, name, row_number() OVER (PARTITION BY parent_dir ORDER BY is_dir DESC, lower(name), name) AS place, count(*) OVER (PARTITION BY parent_dir) AS total FROM entries) SELECT parent_dir, name, place, total, total > 5 AS truncated FROM r WHERE place <= 5")
+def listing(spark, sf):
+    return system.listing(X.entries(spark, sf), 5).select("parent_dir", "name", "place", "total", "truncated")
+
+
+@query("SELECT user_id, sum(CASE WHEN event_type <> 'error' THEN event_id ELSE 0 END)::BIGINT AS rx, sum(CASE WHEN event_type <> 'error' THEN (props->>'k')::INT ELSE 0 END)::BIGINT AS tx FROM events GROUP BY user_id")
+def net_counters(spark, sf):
+    name = F.when(F.col("event_type") == "error", "veth0").otherwise("eth0")
+    value = F.concat(F.lit("  "), name, F.lit(": "), F.col("event_id"), F.lit(" 1 0 0  0 0 0 0 "), F.col("k"), F.lit(" 2 0 0 0 0 0 0"))
+    return system.net_counters(X.events(spark, sf).select("user_id", value.alias("value")), ["user_id"])

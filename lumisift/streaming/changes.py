@@ -111,6 +111,25 @@ def throttled(events: DataFrame, seconds: float = 5.0, key: str = "key") -> Data
     return events.groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def admitted(events: DataFrame, burst: int = 3, per_second: float = 1.0, key: str = "key") -> DataFrame:
+    """(key, ts): events that a token bucket of each key lets through: ``burst`` at once, ``per_second`` in the long run. events: (key, ts), a stream."""
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tokens, last = state.get if state.exists else (float(burst), None)
+        out = []
+        for ts in sorted(x for frame in frames for x in (frame["ts"].astype("datetime64[ns]").astype("int64") // 1000).tolist()):
+            tokens = min(float(burst), tokens + max(ts - last, 0) / 1e6 * per_second) if last is not None else tokens
+            last = ts if last is None else max(last, ts)
+            if tokens >= 1:
+                tokens -= 1
+                out.append((name[0], pd.Timestamp(ts, unit="us")))
+        if last is not None:
+            state.update((tokens, last))
+        yield pd.DataFrame(out, columns=[key, "ts"])
+
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp", "tokens double, last long", "append", GroupStateTimeout.NoTimeout)
+
+
 def reconciled(indexed: DataFrame, truth: DataFrame, dirty: DataFrame) -> DataFrame:
     """The index (parent_dir, name, is_dir) after dirty paths have been held against the truth.
 
