@@ -66,14 +66,15 @@ def fingerprint_rows(rows: DataFrame, words: DataFrame, keys: list[str]) -> Data
     Rows are told apart by keys. If they're partitioned by some of keys, nothing is shuffled.
     """
     every = F.when(F.size("terms") > 0, F.xxhash64(F.sort_array("terms")))
-    spread = rows.select(*keys, every.alias("every"), F.explode(F.concat(F.array(F.lit(_NONE).cast("long")), F.col("terms"))).alias("term"))
+    # every is computed before the rows are spread, once for each text
+    spread = rows.select(*keys, every.alias("every"), "terms").select(*keys, "every", F.explode(F.concat(F.array(F.lit(_NONE).cast("long")), F.col("terms"))).alias("term"))
     none = words.sparkSession.range(1).select(F.lit(_NONE).cast("long").alias("word"), F.lit(0).cast("long").alias("subsets"))
     known = words.where(F.col("term") != _NONE).select(F.col("term").alias("word"), "subsets").union(none)
     met = spread.join(F.broadcast(known), F.col("term") == F.col("word"))
     held = met.groupBy(*keys, "every").agg(F.sort_array(F.collect_list(F.when(F.col("subsets") != 0, F.struct("word", "subsets")))).alias("met"))
-    inside = [F.filter("met", _in_subset(k)) for k in range(len(SUBSETS))]
-    hashes = [F.when(F.size("met") == 0, F.col("every")).when(F.size(x) > 0, F.xxhash64(x)) for x in inside]
-    return held.select(*keys, F.array(*map(_low, hashes)).alias("subsets"))
+    hashes = F.array(*(F.xxhash64(F.filter("met", _in_subset(k))) for k in range(len(SUBSETS))))
+    subsets = F.when(F.size("met") == 0, F.array_repeat(_low(F.col("every")), len(SUBSETS))).otherwise(F.transform(hashes, lambda h: F.when(h != F.xxhash64(F.array().cast("array<long>")), _low(h))))
+    return held.select(*keys, subsets.alias("subsets"))
 
 
 def likeness(a: Column, b: Column) -> Column:
