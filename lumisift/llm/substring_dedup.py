@@ -7,7 +7,8 @@ covers whose word sequence also starts in a document with a smaller doc_id, judg
    neighbouring windows with one key form a segment (about every 22nd word begins one for
    50-word windows). Equal windows have equal keys, so a window only has to be sought under its key.
 2. *Copies.* Keys of one document only drop out. Under the others equal segments collapse to
-   that of the smallest doc_id; all later ones go whole.
+   that of the smallest doc_id; all of larger doc_ids go whole, and equal segments within that
+   document lose what the first of them loses in the next steps.
 3. *Reference shards.* What is left under a key are different segments that share text. The key
    is a shard: its segments, in order of doc_id, are streamed through the suffix automaton of
    the earlier ones; its matching statistics give the maximal spans of ``window`` words or more,
@@ -135,27 +136,29 @@ def _segments(window: int, anchor: int):
 
 def _cut(window: int):
     """Text and its open segments -> the word hashes of each, or the hashes of its windows where the key is hot."""
-    names = ["key", "hot", "doc_id", "begin", "words"]
+    names = ["key", "hot", "doc_id", "own", "begin", "words"]
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 words = H.split(batch.column("text").slice(row, 1))
                 doc = batch.column("doc_id")[row].as_py()
-                keys, hot, begins, bodies = [], [], [], []
+                keys, hot, owns, begins, bodies = [], [], [], [], []
                 for part in batch.column("segments")[row].as_py():
                     if part["hot"]:
                         at = np.arange(part["begin"], part["last"] + 1)
                         keys += H.signed(words.runs(at, window)).tolist()
+                        owns += [part["begin"]] * len(at)
                         begins += at.tolist()
                         bodies += [b""] * len(at)
                         hot += [True] * len(at)
                     else:
                         keys.append(part["key"])
+                        owns.append(part["begin"])
                         begins.append(part["begin"])
                         bodies.append(words.hashes[part["begin"] : part["last"] + window].tobytes())
                         hot.append(False)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hot), pa.array([doc] * len(keys), pa.int64()), pa.array(begins, pa.int32()), pa.array(bodies, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hot), pa.array([doc] * len(keys), pa.int64()), pa.array(owns, pa.int32()), pa.array(begins, pa.int32()), pa.array(bodies, pa.binary())], names)
 
     return run
 
@@ -174,10 +177,10 @@ def _stream(window: int):
                     waiting = []
                 words = np.frombuffer(body, np.int64).tolist()
                 if k:
-                    out += [(doc, begin + a, begin + b) for a, b in automaton.spans(words, window)]
+                    out += [(doc, begin, begin + a, begin + b) for a, b in automaton.spans(words, window)]
                 waiting.append(words)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "own", "a", "b"])
 
     return run
 
@@ -211,17 +214,21 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = ANCHOR) -> D
     shared = stored(segments.join(common, "key"))
     contents = shared.groupBy("key", "content").agg(F.min(F.struct("doc_id", "begin", "last")).alias("own"))
     contents = stored(contents)
-    copies = shared.join(contents, ["key", "content"]).where("doc_id > own.doc_id").select("doc_id", F.col("begin").alias("a"), (F.col("last") + window).alias("b"))
+    others = stored(shared.join(contents, ["key", "content"]).where("doc_id > own.doc_id or begin > own.begin").select("doc_id", "begin", "last", "own"))
+    copies = others.where("doc_id > own.doc_id").select("doc_id", F.col("begin").alias("a"), (F.col("last") + window).alias("b"))
+    again = others.where("doc_id = own.doc_id").select("doc_id", F.col("own.begin").alias("own"), (F.col("begin") - F.col("own.begin")).alias("shift")).distinct()
     kinds = contents.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     contested = contents.join(kinds, "key").select("key", (F.col("kinds") > HOT).alias("hot"), "own.*")
     lists = contested.groupBy("doc_id").agg(F.collect_list(F.struct("key", "hot", "begin", "last")).alias("segments"))
-    bodies = stored(docs.join(lists, "doc_id").select("doc_id", "text", "segments").mapInArrow(lean(_cut(window)), "key long, hot boolean, doc_id long, begin int, words binary"))
+    bodies = stored(docs.join(lists, "doc_id").select("doc_id", "text", "segments").mapInArrow(lean(_cut(window)), "key long, hot boolean, doc_id long, own int, begin int, words binary"))
     cold = bodies.where("not hot").select("key", "doc_id", "begin", "words").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc_id")
-    streamed = cold.mapInArrow(lean(_stream(window)), "doc_id long, a int, b int")
-    hot = bodies.where("hot").select("key", "doc_id", "begin")
+    streamed = cold.mapInArrow(lean(_stream(window)), "doc_id long, own int, a int, b int")
+    hot = bodies.where("hot").select("key", "doc_id", "own", "begin")
     first = hot.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    windows = hot.join(first, "key").where("doc_id > lo").select("doc_id", F.col("begin").alias("a"), (F.col("begin") + window).alias("b"))
-    return copies.union(streamed).union(windows)
+    windows = hot.join(first, "key").where("doc_id > lo").select("doc_id", "own", F.col("begin").alias("a"), (F.col("begin") + window).alias("b"))
+    found = stored(streamed.union(windows))
+    moved = found.join(again, ["doc_id", "own"]).select("doc_id", F.col("a") + F.col("shift"), F.col("b") + F.col("shift"))
+    return copies.union(found.select("doc_id", "a", "b")).union(moved)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:

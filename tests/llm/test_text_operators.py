@@ -157,6 +157,17 @@ def test_substring_dedup(spark, monkeypatch, hot, window):
     assert {r.key for r in got} == {"x"} and sum(r.n_removed for r in got) > 0
 
 
+@pytest.mark.parametrize("hot", [256, 1])
+def test_substring_dedup_of_a_document_that_repeats_itself(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
+    rng = random.Random(11)
+    a, b, c, d, p, q = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (100, 100, 100, 100, 50, 70))
+    unit = f"{c} {p} {d} {q} {c}"
+    rows = [(1, f"{a} {p} {b}"), (2, f"{unit} {unit} {unit}"), (3, f"{b} {q} {a}"), (4, f"{d} {unit} {q}"), (0, f"{b[:300]} {q} {q}")]
+    got = S.substring_dedup(documents(spark, rows), window=50).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == brute_dedup(rows, 50)
+
+
 def test_suffix_automaton():
     rng = random.Random(6)
     for _ in range(200):
