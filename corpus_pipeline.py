@@ -19,7 +19,7 @@ from lumisift.llm.tables import stored
 from lumisift.llm.toxicity import toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: doc_ids that are broadcast at most (16 MB); beyond, the texts are shuffled to them.
+#: Rows' hashes that are broadcast at most (16 MB); beyond, the texts are shuffled to them.
 BROADCAST_ROWS = 2_000_000
 _CARRY = ("lang", "source", "n_chars")
 
@@ -31,10 +31,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, that of the smallest doc_id. Documents without words are alike in nothing and stay."""
-    gone = stored(ngram_join(docs, n=5, threshold=0.75).where("doc_id <> component_id").select("doc_id").distinct())
+    """One row of each component of near duplicates, that of the smallest doc_id (nulls last) and then of the smallest hash of the text.
+
+    A row is known by a 64-bit hash of doc_id and text; of equal rows one stays. Documents without words are alike in nothing and stay.
+    """
+    rows = docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    found = stored(ngram_join(rows.select(F.col("row").alias("doc_id"), "text"), n=5, threshold=0.75).where("n_shingles > 0").groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component"), F.count("*").alias("copies")))
+    several = found.groupBy("component").agg(F.sum("copies").alias("members")).where("members > 1").select("component")
+    members = stored(found.join(several, "component").join(rows.select("row", F.col("doc_id").cast("long").alias("doc_id")).distinct(), "row"))
+    best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")).select("component", F.col("best.row").alias("stays"))
+    gone = stored(members.join(best, "component").where("row <> stays or copies > 1").select("row", (F.col("row") == F.col("stays")).alias("once")))
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    rest = rows.join(F.broadcast(gone) if few else gone, "row", "left_anti").select(*COLUMNS)
+    once = gone.where("once").select("row")
+    if once.isEmpty():
+        return rest
+    return rest.union(rows.join(F.broadcast(once) if few else once, "row").dropDuplicates(["row"]).select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

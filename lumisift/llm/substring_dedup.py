@@ -19,7 +19,8 @@ covers whose word sequence also starts in a document with a smaller doc_id, judg
 
 Null texts have no words; a text of fewer words than the window is kept whole. Windows that repeat
 within one document only are kept, so repeated rows of one doc_id are too. A row with a
-null doc_id is kept and is no reference. Equal doc_ids count as one document. An empty table
+null doc_id is kept and is no reference. Equal doc_ids count as one document: its different texts keep
+their own spans, by two 64-bit hashes of the text beside the doc_id. An empty table
 gives an empty result. Only the columns named are read.
 """
 
@@ -37,6 +38,9 @@ from .tables import key_runs, lean, partitions, small_batches, stored
 ANCHOR = 8
 #: Different segments under one key that one automaton takes; beyond, windows are compared by their hashes.
 HOT = 256
+#: What tells a row, but for equal ones.
+ROW = ("doc_id", "t1", "t2")
+_ROW = "doc_id long, t1 long, t2 long"
 
 
 class SuffixAutomaton:
@@ -109,12 +113,12 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _segments(window: int, anchor: int):
-    names = ["key", "content", "doc_id", "begin", "last"]
+    names = ["key", "content", *ROW, "begin", "last"]
 
     def run(batches):
         for batch in batches:
-            for lo, hi in H.slices(batch.column(1)):
-                words = H.split(batch.column(1).slice(lo, hi - lo))
+            for lo, hi in H.slices(batch.column("text")):
+                words = H.split(batch.column("text").slice(lo, hi - lo))
                 total = len(words.hashes)
                 count = np.maximum(np.diff(words.first) - window + 1, 0)
                 starts = np.repeat(words.first[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
@@ -128,21 +132,21 @@ def _segments(window: int, anchor: int):
                 ends = np.append(at[1:], len(starts)) - 1
                 begin, last, doc = starts[at], starts[ends], doc[at]
                 content = words.runs(begin, last - begin + window)
-                ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(H.signed(least[at])), pa.array(H.signed(content)), pa.array(ids[doc], pa.int64()), pa.array(begin - words.first[doc], pa.int32()), pa.array(last - words.first[doc], pa.int32())], names)
+                ids = [pa.array(batch.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False)[doc], pa.int64()) for c in ROW]
+                yield pa.RecordBatch.from_arrays([pa.array(H.signed(least[at])), pa.array(H.signed(content)), *ids, pa.array(begin - words.first[doc], pa.int32()), pa.array(last - words.first[doc], pa.int32())], names)
 
     return run
 
 
 def _cut(window: int):
     """Text and its open segments -> the word hashes of each, or the hashes of its windows where the key is hot."""
-    names = ["key", "hot", "doc_id", "own", "begin", "words"]
+    names = ["key", "hot", *ROW, "own", "begin", "words"]
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 words = H.split(batch.column("text").slice(row, 1))
-                doc = batch.column("doc_id")[row].as_py()
+                ids = [batch.column(c)[row].as_py() for c in ROW]
                 keys, hot, owns, begins, bodies = [], [], [], [], []
                 for part in batch.column("segments")[row].as_py():
                     if part["hot"]:
@@ -158,7 +162,7 @@ def _cut(window: int):
                         begins.append(part["begin"])
                         bodies.append(words.hashes[part["begin"] : part["last"] + window].tobytes())
                         hot.append(False)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hot), pa.array([doc] * len(keys), pa.int64()), pa.array(owns, pa.int32()), pa.array(begins, pa.int32()), pa.array(bodies, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hot), *(pa.array([x] * len(keys), pa.int64()) for x in ids), pa.array(owns, pa.int32()), pa.array(begins, pa.int32()), pa.array(bodies, pa.binary())], names)
 
     return run
 
@@ -168,7 +172,7 @@ def _stream(window: int):
 
     def run(batches):
         for table in key_runs(batches, "key"):
-            docs, begins, bodies = (table.column(c).to_pylist() for c in ("doc_id", "begin", "words"))
+            docs, ones, twos, begins, bodies = (table.column(c).to_pylist() for c in (*ROW, "begin", "words"))
             automaton, waiting, out = SuffixAutomaton(), [], []
             for k, (doc, begin, body) in enumerate(zip(docs, begins, bodies)):
                 if k and doc != docs[k - 1]:
@@ -177,10 +181,10 @@ def _stream(window: int):
                     waiting = []
                 words = np.frombuffer(body, np.int64).tolist()
                 if k:
-                    out += [(doc, begin, begin + a, begin + b) for a, b in automaton.spans(words, window)]
+                    out += [(doc, ones[k], twos[k], begin, begin + a, begin + b) for a, b in automaton.spans(words, window)]
                 waiting.append(words)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "own", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 3, *[pa.int32()] * 3))], [*ROW, "own", "a", "b"])
 
     return run
 
@@ -206,36 +210,43 @@ def _remove(batches):
             yield pa.RecordBatch.from_arrays([*rest, batch.column("text").slice(lo, hi - lo), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "text", "kept", "n_words", "n_removed"])
 
 
+def _rows(docs: DataFrame, *carry: str) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text"))
+    return rows.withColumns({"t1": F.xxhash64("text", F.lit(1)), "t2": F.xxhash64("text", F.lit(2))})
+
+
 def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, a, b): word spans to remove; they may overlap."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    segments = stored(docs.mapInArrow(lean(_segments(window, anchor)), "key long, content long, doc_id long, begin int, last int"))
+    """(doc_id, t1, t2, a, b): word spans to remove from the rows of this doc_id and these hashes of the text; they may overlap."""
+    docs = _rows(docs).where("doc_id is not null")
+    segments = stored(docs.mapInArrow(lean(_segments(window, anchor)), f"key long, content long, {_ROW}, begin int, last int"))
     common = segments.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     shared = stored(segments.join(common, "key"))
-    contents = shared.groupBy("key", "content").agg(F.min(F.struct("doc_id", "begin", "last")).alias("own"))
+    contents = shared.groupBy("key", "content").agg(F.min(F.struct(*ROW, "begin", "last")).alias("own"))
     contents = stored(contents)
-    others = stored(shared.join(contents, ["key", "content"]).where("doc_id > own.doc_id or begin > own.begin").select("doc_id", "begin", "last", "own"))
-    copies = others.where("doc_id > own.doc_id").select("doc_id", F.col("begin").alias("a"), (F.col("last") + window).alias("b"))
-    again = others.where("doc_id = own.doc_id").select("doc_id", F.col("own.begin").alias("own"), (F.col("begin") - F.col("own.begin")).alias("shift")).distinct()
+    others = stored(shared.join(contents, ["key", "content"]).where(F.struct(*ROW, "begin") > F.struct(*(f"own.{c}" for c in ROW), "own.begin")).select(*ROW, "begin", "last", "own"))
+    copies = others.where("doc_id > own.doc_id").select(*ROW, F.col("begin").alias("a"), (F.col("last") + window).alias("b"))
+    again = others.where("doc_id = own.doc_id").select("doc_id", F.col("own.t1").alias("t1"), F.col("own.t2").alias("t2"), F.col("own.begin").alias("own"), F.struct("t1", "t2", (F.col("begin") - F.col("own.begin")).alias("shift")).alias("to")).distinct()
     kinds = contents.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     contested = contents.join(kinds, "key").select("key", (F.col("kinds") > HOT).alias("hot"), "own.*")
-    lists = contested.groupBy("doc_id").agg(F.collect_list(F.struct("key", "hot", "begin", "last")).alias("segments"))
-    bodies = stored(docs.join(lists, "doc_id").select("doc_id", "text", "segments").mapInArrow(lean(_cut(window)), "key long, hot boolean, doc_id long, own int, begin int, words binary"))
-    cold = bodies.where("not hot").select("key", "doc_id", "begin", "words").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc_id")
-    streamed = cold.mapInArrow(lean(_stream(window)), "doc_id long, own int, a int, b int")
-    hot = bodies.where("hot").select("key", "doc_id", "own", "begin")
+    lists = contested.groupBy(*ROW).agg(F.collect_list(F.struct("key", "hot", "begin", "last")).alias("segments"))
+    bodies = stored(docs.join(lists, [*ROW]).select(*ROW, "text", "segments").mapInArrow(lean(_cut(window)), f"key long, hot boolean, {_ROW}, own int, begin int, words binary"))
+    cold = bodies.where("not hot").select("key", *ROW, "begin", "words").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc_id")
+    streamed = cold.mapInArrow(lean(_stream(window)), f"{_ROW}, own int, a int, b int")
+    hot = bodies.where("hot").select("key", *ROW, "own", "begin")
     first = hot.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    windows = hot.join(first, "key").where("doc_id > lo").select("doc_id", "own", F.col("begin").alias("a"), (F.col("begin") + window).alias("b"))
+    windows = hot.join(first, "key").where("doc_id > lo").select(*ROW, "own", F.col("begin").alias("a"), (F.col("begin") + window).alias("b"))
     found = stored(streamed.union(windows))
-    moved = found.join(again, ["doc_id", "own"]).select("doc_id", F.col("a") + F.col("shift"), F.col("b") + F.col("shift"))
-    return copies.union(found.select("doc_id", "a", "b")).union(moved)
+    moved = found.join(again, [*ROW, "own"]).select("doc_id", "to.t1", "to.t2", F.col("a") + F.col("to.shift"), F.col("b") + F.col("to.shift"))
+    return copies.union(found.select(*ROW, "a", "b")).union(moved)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of carry, text, kept (kept words joined by one space), n_words and n_removed of each row."""
     small_batches(docs.sparkSession)
-    spans = repeated_spans(docs, window, anchor).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    spans = repeated_spans(docs, window, anchor).groupBy(*ROW).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    rows = _rows(docs, *(F.col(c).alias(f"carried_{c}") for c in carry))
+    names = ["doc_id", *(f"carried_{c}" for c in carry), "text"]
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in names}
     schema = ", ".join(f"`{c}` {k}" for c, k in (kinds | {"kept": "string", "n_words": "long", "n_removed": "long"}).items())
-    return rows.join(spans, "doc_id", "left").mapInArrow(lean(_remove), schema)
+    done = rows.join(spans, [*ROW], "left").select(*names, "spans").mapInArrow(lean(_remove), schema)
+    return done.select("doc_id", *(F.col(f"carried_{c}").alias(c) for c in carry), "text", "kept", "n_words", "n_removed")

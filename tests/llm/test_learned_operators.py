@@ -110,3 +110,15 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in kept.collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_near_duplicates_leave_one_row(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (3, texts[1]), (3, texts[1] + " more"), (None, texts[2]), (None, texts[2]), (None, texts[2] + " more"), (None, texts[3]), (5, texts[3]), (6, texts[4]), (6, ""), (6, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(str(r.doc_id), r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    sure = [("1", texts[0]), ("5", texts[3]), ("6", texts[4]), ("6", ""), ("6", ""), ("None", None)]
+    one = [(g, t) for g, t in got if (g, t) not in sure]
+    assert sorted(x for x in map(str, got) if x in map(str, sure)) == sorted(map(str, sure))
+    assert len(one) == 2 and {(g, t.removesuffix(" more")) for g, t in one} == {("3", texts[1]), ("None", texts[2])}

@@ -168,6 +168,26 @@ def test_substring_dedup_of_a_document_that_repeats_itself(spark, monkeypatch, h
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == brute_dedup(rows, 50)
 
 
+@pytest.mark.parametrize("hot", [256, 1])
+def test_substring_dedup_of_different_texts_of_one_doc_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
+    rng = random.Random(12)
+    a, b, c, d, p = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (100, 100, 100, 100, 50))
+    rows = [(1, f"{a} {p} {b}"), (2, f"{c} {p} {d}"), (2, "a b c"), (2, f"{d} {c} {p} {d}"), (3, f"{a} {c} {p}"), (3, f"{b} {d}"), (2, f"{c} {p} {d}"), (None, a)]
+    got = S.substring_dedup(documents(spark, rows), window=50, carry=("key",)).collect()
+    first = {}
+    for doc, text in rows[:-1]:
+        w = text.split()
+        for s in range(len(w) - 49):
+            first[tuple(w[s : s + 50])] = min(doc, first.get(tuple(w[s : s + 50]), doc))
+    want = []
+    for doc, text in rows:
+        w = text.split()
+        gone = {x for s in range(len(w) - 49) if doc is not None and first[tuple(w[s : s + 50])] < doc for x in range(s, s + 50)}
+        want.append((str(doc), len(w), len(gone), " ".join(v for x, v in enumerate(w) if x not in gone)))
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got) == sorted(want)
+
+
 def test_suffix_automaton():
     rng = random.Random(6)
     for _ in range(200):
