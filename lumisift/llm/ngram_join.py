@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,9 +109,9 @@ _SENT = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("head", pa.boo
 
 
 def _send(n: int, ranges: int):
-    """Blocks of documents -> blobs of their n-grams for each range, and one head."""
+    """Blocks of documents -> blobs of their n-grams for each range, and one head. The id of a block tells it by its place, too: others may hold the same rows."""
 
-    def flush(ids, sets, seen):
+    def flush(ids, sets, seen, place):
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         grams, index = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
         order = np.argsort(grams)
@@ -118,7 +119,7 @@ def _send(n: int, ranges: int):
         to = ((grams >> _U(32)) * _U(ranges)) >> _U(32)
         cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
         signs = np.array(list(seen), dtype=np.int64).reshape(-1, 2)
-        block = int(H.mix(np.array([ids[0] & 0xFFFFFFFFFFFFFFFF, ids[-1] & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64) + H.mix(signs[:, 0].view(np.uint64)).sum(dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
+        block = int(H.mix(np.array([ids[0] & 0xFFFFFFFFFFFFFFFF, ids[-1] & 0xFFFFFFFFFFFFFFFF, *place], dtype=np.uint64) * np.array([1, 3, 5, 7], dtype=np.uint64) + H.mix(signs[:, 0].view(np.uint64)).sum(dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
         rows = [(int(to[a]), block, False, _pack(grams[a:b], index[a:b])) for a, b in zip(cuts, cuts[1:])]
         rows.append((abs(block) % ranges, block, True, np.concatenate([np.array(ids, dtype=np.int64), sizes, signs[:, 0], signs[:, 1]]).tobytes()))
         for at in range(0, len(rows), 256):
@@ -126,20 +127,22 @@ def _send(n: int, ranges: int):
 
     def run(batches):
         ids, sets, seen, held = [], [], {}, 0
+        place = (TaskContext.get().partitionId(), 0)
         for batch in batches:
             for doc, grams in zip(batch.column(0).to_pylist(), gram_sets(batch.column(1), n)):
                 sign = _signature(grams)
                 if not len(grams) or sign in seen:
                     continue
                 if held and (held + len(grams) > BLOCK_TOKENS or len(ids) >= BLOCK_DOCS):
-                    yield from flush(ids, sets, seen)
+                    yield from flush(ids, sets, seen, place)
                     ids, sets, seen, held = [], [], {}, 0
+                    place = (place[0], place[1] + 1)
                 seen[sign] = None
                 ids.append(-1 if doc is None else doc)
                 sets.append(grams)
                 held += len(grams)
         if held:
-            yield from flush(ids, sets, seen)
+            yield from flush(ids, sets, seen, place)
 
     return run
 

@@ -106,6 +106,16 @@ def test_ngram_join(spark, seed):
     assert len(got) == len(rows) and {tuple(r) for r in got} == brute_components(rows)
 
 
+def test_ngram_join_of_repeated_partitions(spark, tmp_path):
+    rng = random.Random(13)
+    shared = [f"s{k}" for k in range(60)]
+    rows = [(i, " ".join(shared[:44] + [f"x{i}y{rng.randrange(10**6)}" for _ in range(40)])) for i in range(6)] + corpus(14, 40)
+    documents(spark, rows).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = N.ngram_join(docs.union(docs)).collect()
+    assert len(got) == 2 * len(rows) and {tuple(r) for r in got} == brute_components(rows)
+
+
 def test_ngram_join_in_small_groups(spark, monkeypatch):
     monkeypatch.setattr(N, "GROUP", 4)
     monkeypatch.setattr(N, "RANGE_TOKENS", 500)
