@@ -12,6 +12,7 @@ empty table gives an empty result. Other columns of the pieces pass through ``pl
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,10 +26,12 @@ from pyspark.sql.window import Window
 
 from .tables import lean, small_batches, stored
 
-#: Words whose ids a worker remembers; beyond, it starts anew.
+#: Words whose ids a worker remembers in each of two generations; those that are met again move on to the next.
 CACHED_WORDS = 300_000
-#: Parts into which each length's pieces are dealt out to be ranked.
-RANK_PARTS = 64
+#: Characters of text that are encoded together, about.
+TOGETHER = 4_000_000
+#: Pieces of one length that are ranked in one task, about.
+RANKED = 50_000
 
 
 class WordEncoder:
@@ -43,16 +46,24 @@ class WordEncoder:
     #: What a text may consist of to be split here: characters of old and stable classes.
     PLAIN = r"[\t-\r -~¡-˿Ͱ-ͳͶͷͺ-Ϳ΄-ΊΌΎ-ΡΣ-ҁҊ-ԯ‐-‧‰-⁞₠-₿、-〩ぁ-ゖァ-ヿ一-龥가-힣]*"
 
+    #: Marks that end a word as one part, but for those of contractions and special tokens.
+    TAIL = ".,;:!?&*$%#()\"+=@[]^_`{}~/\\-"
+
     _of: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for parts that are normalized and split already
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.find = regex.compile(self.PATTERN).findall
         self.plain = re.compile(self.PLAIN).fullmatch
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         ends = [i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]
         self.ends = np.zeros(max(ends) + 1, dtype=bool)
         self.ends[ends] = True
@@ -67,30 +78,51 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of these words, and of their parts by the pattern: all new parts are encoded as one text and told apart by their last ids."""
-        split = [self.find(w) for w in words]
-        new = list(dict.fromkeys(p for parts in split for p in parts if p not in self.parts))
-        if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
-            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-            assert len(cuts) == len(new) + 1
-            body = ids.tobytes()
-            self.parts.update((p, body[4 * a : 4 * b]) for p, a, b in zip(new, cuts, cuts[1:]))
-        get = self.parts.__getitem__
-        self.known.update((w, b"".join(map(get, parts))) for w, parts in zip(words, split))
+    def _encode_parts(self, new: list[str]) -> list[bytes]:
+        """All parts as one text, told apart by their last ids; one by one, where a part doesn't end in such an id."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = [0, *(np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1).tolist()]
+        if len(cuts) != len(new) + 1 or cuts[-1] != len(ids):
+            return [self.whole(p) for p in new]
+        body = ids.tobytes()
+        return [body[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of these words; those of several parts get theirs from the ids of the parts."""
+        if len(self.known) > CACHED_WORDS:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        words = words.difference(known)
+        if before:
+            met = words & before.keys()
+            known.update((w, before[w]) for w in met)
+            words -= met
+        single = {w for w in words if w.isalpha()}
+        parts = {}
+        for word in words - single:
+            core = word.rstrip(self.TAIL)
+            parts[word] = (core, word[len(core) :]) if core.isalpha() else self.find(word)
+        single.update(p for split in parts.values() for p in split)
+        new = list(single.difference(known))
+        for at in range(0, len(new), 20_000):
+            known.update(zip(new[at : at + 20_000], self._encode_parts(new[at : at + 20_000])))
+        get = known.__getitem__
+        known.update([(w, b"".join(map(get, split))) for w, split in parts.items()])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        for at in range(0, len(texts), 64):
-            for cache in (self.known, self.parts):
-                if len(cache) > CACHED_WORDS:
-                    cache.clear()
-            split = [text if "<|" in text or not self.plain(text) else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split() for text in texts[at : at + 64]]
-            self._learn(list({w for words in split if not isinstance(words, str) for w in words}.difference(self.known)))
+        at = 0
+        while at < len(texts):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and size + len(texts[to]) <= TOGETHER:
+                size += len(texts[to])
+                to += 1
+            split = [text if "<|" in text or not self.plain(text) else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split() for text in texts[at:to]]
+            self._learn(set().union(*(words for words in split if not isinstance(words, str))))
             get = self.known.__getitem__
             for words in split:
                 yield self.whole(words) if isinstance(words, str) else b"".join(map(get, words))
+            at = to
 
 
 def pieces(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int = 1) -> DataFrame:
@@ -160,30 +192,32 @@ def _slots(patterns: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
 
 
 def place(cut: DataFrame, width: int = 2048, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
-    """Each piece (column ``length``, 1 to width) with its sequence_id and its offset there; other columns pass.
+    """Each piece (column ``length``, 1 to width) with its sequence_id and its offset there; other columns pass, but for those of these two names.
 
-    order: columns that tell pieces apart, by which they're ranked.
+    order: columns that tell pieces apart, by which they're ranked. Pieces of one length are dealt out into parts of about RANKED by a
+    hash of order, so that many pieces of the full width are ranked in many tasks.
     """
-    cut = stored(cut.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(RANK_PARTS)).cast("int")))
-    counts = cut.groupBy("length", "_part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_part")) - F.col("n")).drop("n")
-    histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most width rows
+    names = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    cut = stored(cut.select(F.col("length").cast("long").alias("length"), F.struct(*names).alias("row")))
+    key = [F.col(f"row.{c}") for c in order]
+    sizes = stored(cut.groupBy("length").agg(F.count("*").alias("n")))
+    histogram = {int(r["length"]): int(r["n"]) for r in sizes.collect()}  # at most width rows
     slots = _slots(shortest_pack_first(histogram, width))
+    dealt = cut.join(F.broadcast(sizes), "length").select("length", F.pmod(F.xxhash64(*key), F.ceil(F.col("n") / RANKED)).cast("long").alias("part"), "row")
+    before = dealt.groupBy("length", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
     keys = slots[:, 0] * (1 << 48) + slots[:, 1]
 
     def run(batches):
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = np.searchsorted(keys, length * (1 << 48) + rank, side="right") - 1
             sequence = slots[at, 2] + rank - slots[at, 1]
-            rest = [k for k in batch.schema.names if k != "_rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), pa.array(sequence), pa.array(slots[at, 3])], [*rest, "sequence_id", "offset"])
-
-    within = F.row_number().over(Window.partitionBy("length", "_part").orderBy(*order)).cast("long") - 1
-    ranked = cut.withColumn("_within", within).join(F.broadcast(before), ["length", "_part"])  # at most width * RANK_PARTS rows
-    ranked = ranked.withColumn("_rank", F.col("_within") + F.col("_before")).drop("_part", "_within", "_before")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(lean(run), schema + ", sequence_id long, offset long")
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sequence), pa.array(slots[at, 3])], ["row", "sequence_id", "offset"])
+
+    within = F.row_number().over(Window.partitionBy("length", "part").orderBy(*key)).cast("long") - 1
+    ranked = dealt.withColumn("within", within).join(before, ["length", "part"]).select("length", (F.col("within") + F.col("before")).alias("rank"), "row")
+    placed = ranked.mapInArrow(lean(run), f"row {cut.schema['row'].dataType.simpleString()}, sequence_id long, offset long")
+    return placed.select("row.*", "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int = 1) -> DataFrame:
