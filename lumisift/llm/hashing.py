@@ -110,6 +110,14 @@ def split(texts: pa.Array, lower: bool = False, marks: bool = False) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, offsets), hashes, run)
 
 
+def rolling(words: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all runs of so many words, from the words' hashes."""
+    up, down = _WORDS.get(len(words) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+    n = max(0, len(words) - length + 1)
+    return mix((sums[length : length + n] - sums[:n]) * down[:n] + _U(length) * _U(0x632BE59BD9B4E019))
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents of up to ``most`` bytes each, a longer document alone."""
     wide = texts.cast(pa.large_string())

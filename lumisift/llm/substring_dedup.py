@@ -7,37 +7,44 @@ covers whose word sequence also starts in a document with a smaller doc_id, judg
    neighbouring windows with one key form a segment (about every 22nd word begins one for
    50-word windows). Equal windows have equal keys, so a window only has to be sought under its key.
 2. *Copies.* Keys of one document only drop out. Under the others equal segments collapse to
-   that of the smallest doc_id; all of larger doc_ids go whole, and equal segments within that
-   document lose what the first of them loses in the next steps.
+   one, owned by the smallest doc_id that has it: rows of larger doc_ids lose all of it, rows of the owner
+   what the owner's segment loses in the next steps. A key with one segment is done with that.
 3. *Reference shards.* What is left under a key are different segments that share text. The key
    is a shard: its segments, in order of doc_id, are streamed through the suffix automaton of
    the earlier ones; its matching statistics give the maximal spans of ``window`` words or more,
    and then the segment extends the automaton. An automaton goes to the task of its shard
    rather than to all, and is bounded by HOT segments.
-4. *Hot keys.* A key with more than HOT different segments is too large for one automaton;
-   there each window is its own key, with its smallest doc_id by a partial aggregation.
+4. *Hot keys.* A key with more than HOT different segments is too large for one automaton.
+   Its windows meet by their hashes: blocks of segments send each distinct window with its smallest doc_id once to a range of
+   the hash space, which answers with those that stand in an earlier document elsewhere.
+
+Words, segments and the windows of hot keys are compared by 64-bit hashes, not letter by letter.
 
 Null texts have no words; a text of fewer words than the window is kept whole. Windows that repeat
 within one document only are kept, so repeated rows of one doc_id are too. A row with a
 null doc_id is kept and is no reference. Equal doc_ids count as one document: its different texts keep
 their own spans, by two 64-bit hashes of the text beside the doc_id. An empty table
-gives an empty result. Only the columns named are read.
+gives an empty result. Very long texts are read whole. Only the columns named are read; a carried column with the name of a
+result column gives way to it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .tables import key_runs, lean, partitions, small_batches, stored
+from .tables import key_runs, lean, lean_group, partitions, small_batches, stored
 
 #: Words of the run whose smallest hash is a window's key.
 ANCHOR = 8
 #: Different segments under one key that one automaton takes; beyond, windows are compared by their hashes.
 HOT = 256
+#: Windows of hot keys in a block, about.
+BLOCK_WINDOWS = 500_000
 #: What tells a row, but for equal ones.
 ROW = ("doc_id", "t1", "t2")
 _ROW = "doc_id long, t1 long, t2 long"
@@ -138,31 +145,21 @@ def _segments(window: int, anchor: int):
     return run
 
 
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+_MARKED = "key long, content long, spans array<struct<a:int,b:int>>"
+
+
 def _cut(window: int):
-    """Text and its open segments -> the word hashes of each, or the hashes of its windows where the key is hot."""
-    names = ["key", "hot", *ROW, "own", "begin", "words"]
+    """Texts and the segments that they own -> the word hashes of each segment."""
 
     def run(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                words = H.split(batch.column("text").slice(row, 1))
-                ids = [batch.column(c)[row].as_py() for c in ROW]
-                keys, hot, owns, begins, bodies = [], [], [], [], []
-                for part in batch.column("segments")[row].as_py():
-                    if part["hot"]:
-                        at = np.arange(part["begin"], part["last"] + 1)
-                        keys += H.signed(words.runs(at, window)).tolist()
-                        owns += [part["begin"]] * len(at)
-                        begins += at.tolist()
-                        bodies += [b""] * len(at)
-                        hot += [True] * len(at)
-                    else:
-                        keys.append(part["key"])
-                        owns.append(part["begin"])
-                        begins.append(part["begin"])
-                        bodies.append(words.hashes[part["begin"] : part["last"] + window].tobytes())
-                        hot.append(False)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hot), *(pa.array([x] * len(keys), pa.int64()) for x in ids), pa.array(owns, pa.int32()), pa.array(begins, pa.int32()), pa.array(bodies, pa.binary())], names)
+            docs, segments = batch.column("doc_id").to_pylist(), batch.column("segments").to_pylist()
+            for lo, hi in H.slices(batch.column("text")):
+                words = H.split(batch.column("text").slice(lo, hi - lo))
+                rows = [(part["key"], part["content"], docs[i], part["hot"], words.hashes[first + part["begin"] : first + part["last"] + window].tobytes()) for i, first in zip(range(lo, hi), words.first.tolist()) for part in segments[i]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["key", "content", "doc_id", "hot", "words"])
 
     return run
 
@@ -172,42 +169,139 @@ def _stream(window: int):
 
     def run(batches):
         for table in key_runs(batches, "key"):
-            docs, ones, twos, begins, bodies = (table.column(c).to_pylist() for c in (*ROW, "begin", "words"))
+            docs, contents, bodies = (table.column(c).to_pylist() for c in ("doc_id", "content", "words"))
             automaton, waiting, out = SuffixAutomaton(), [], []
-            for k, (doc, begin, body) in enumerate(zip(docs, begins, bodies)):
+            for k, (doc, content, body) in enumerate(zip(docs, contents, bodies)):
                 if k and doc != docs[k - 1]:
                     for earlier in waiting:
                         automaton.add(earlier)
                     waiting = []
                 words = np.frombuffer(body, np.int64).tolist()
-                if k:
-                    out += [(doc, ones[k], twos[k], begin, begin + a, begin + b) for a, b in automaton.spans(words, window)]
+                spans = automaton.spans(words, window) if k else []
+                if spans:
+                    out.append((content, [{"a": a, "b": b} for a, b in spans]))
                 waiting.append(words)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 3, *[pa.int32()] * 3))], [*ROW, "own", "a", "b"])
+                key = table.column("key")[0].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], _SPANS)], ["key", "content", "spans"])
+
+    return run
+
+
+def _merged(place: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows at (place, at), sorted -> the spans (place, a, b) that they cover."""
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (place[1:] != place[:-1]) | (at[1:] - at[:-1] > window)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return place[first], at[first], at[last] + window
+
+
+_SENT = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("head", pa.bool_()), ("blob", pa.binary())])
+
+
+def _send(window: int, ranges: int):
+    """Blocks of hot segments -> for each range their distinct windows with the smallest doc_id, and one head with the block's own."""
+
+    def flush(block, held):
+        hashes = [H.rolling(words, window) for *_, words in held]
+        counts = np.array([len(h) for h in hashes], dtype=np.int64)
+        own = np.array([row[:3] for row in held], dtype=np.int64)
+        every, docs = np.concatenate(hashes), np.repeat(own[:, 2], counts)
+        order = np.lexsort((docs, every))
+        first = np.flatnonzero(np.diff(every[order], prepend=~every[order[:1]]) != 0)
+        h, d = every[order][first], docs[order][first]
+        to = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+        rows = [(int(to[a]), block, False, h[a:b].tobytes() + d[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+        rows.append((block % ranges, block, True, np.concatenate([np.array([len(held)]), own.T.ravel(), counts, every.view(np.int64)]).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
+
+    def run(batches):
+        block, held, size = TaskContext.get().partitionId() << 24, [], 0
+        for batch in batches:
+            for key, content, doc, body in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "doc_id", "words"))):
+                words = np.frombuffer(body, np.uint64)
+                held.append((key, content, doc, words))
+                size += len(words) - window + 1
+                if size >= BLOCK_WINDOWS:
+                    yield from flush(block, held)
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield from flush(block, held)
+
+    return run
+
+
+def _halves(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(blob, np.uint64, len(blob) // 16), np.frombuffer(blob, np.int64, offset=len(blob) // 2)
+
+
+def _first_docs(table: pa.Table) -> pa.Table:
+    """One range: for each block the windows that have an earlier document elsewhere, with the earliest."""
+    blocks, heads, blobs = (table.column(c).to_pylist() for c in ("block", "head", "blob"))
+    out = [(b, True, x) for b, h, x in zip(blocks, heads, blobs) if h]
+    parts = [(b, *_halves(x)) for b, h, x in zip(blocks, heads, blobs) if not h]
+    if parts:
+        every, docs = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        order = np.lexsort((docs, every))
+        ordered = every[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        least = np.empty(len(every), dtype=np.int64)
+        least[order] = np.repeat(docs[order][first], np.diff(np.append(first, len(every))))
+        at = 0
+        for block, h, d in parts:
+            lo = least[at : at + len(h)]
+            at += len(h)
+            if (lo < d).any():
+                out.append((block, False, h[lo < d].tobytes() + lo[lo < d].tobytes()))
+    return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), "head": pa.array([r[1] for r in out], pa.bool_()), "blob": pa.array([r[2] for r in out], pa.binary())})
+
+
+def _hot_spans(window: int):
+    """One block: the spans of each segment whose windows stand in an earlier document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        heads, blobs = table.column("head").to_pylist(), table.column("blob").to_pylist()
+        head = np.frombuffer(next(x for h, x in zip(heads, blobs) if h), np.int64)
+        n = int(head[0])
+        (key, content, doc, counts), every = head[1 : 1 + 4 * n].reshape(4, n), head[1 + 4 * n :].view(np.uint64)
+        distinct, which = np.unique(every, return_inverse=True)
+        docs = np.repeat(doc, counts)
+        least = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, docs)
+        for h, x in zip(heads, blobs):
+            if not h:
+                found, lo = _halves(x)
+                place = np.searchsorted(distinct, found)
+                least[place] = np.minimum(least[place], lo)
+        gone = np.flatnonzero(least[which] < docs)
+        starts = np.cumsum(counts) - counts
+        place = np.repeat(np.arange(n), counts)[gone]
+        place, a, b = _merged(place, gone - starts[place], window)
+        rows, first = np.unique(place, return_index=True)
+        spans = pa.ListArray.from_arrays(pa.array(np.append(first, len(place)), pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["a", "b"]))
+        return pa.table({"key": pa.array(key[rows], pa.int64()), "content": pa.array(content[rows], pa.int64()), "spans": spans})
 
     return run
 
 
 def _remove(batches):
     for batch in batches:
-        spans = batch.column("spans").to_pylist()
-        for lo, hi in H.slices(batch.column("text")):
-            words = H.split(batch.column("text").slice(lo, hi - lo))
-            kept, counts, removed = [], np.diff(words.first), []
-            for i in range(hi - lo):
-                n, first = int(counts[i]), int(words.first[i])
-                gone = np.zeros(n + 1, dtype=np.int32)
-                for span in spans[lo + i] or ():
-                    gone[span["a"]] += 1
-                    gone[span["b"]] -= 1
-                stay = np.flatnonzero(np.cumsum(gone[:n]) == 0) + first
-                data = words.data
-                kept.append(b" ".join([data[a:b].tobytes() for a, b in zip(words.starts[stay], words.ends[stay])]))
-                removed.append(n - len(stay))
-            rest = [batch.column(k).slice(lo, hi - lo) for k, name in enumerate(batch.schema.names) if name not in ("text", "spans")]
-            names = [name for name in batch.schema.names if name not in ("text", "spans")]
-            yield pa.RecordBatch.from_arrays([*rest, batch.column("text").slice(lo, hi - lo), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "text", "kept", "n_words", "n_removed"])
+        kept, counts, removed = [], [], []
+        for text, spans in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist()):
+            words = (text or b"").split()  # at the six separators
+            counts.append(len(words))
+            if spans:
+                stay, at = [], 0
+                for a, b in sorted((span["a"], span["b"]) for span in spans):
+                    stay += words[at:a]
+                    at = max(at, b)
+                words = stay + words[at:]
+            kept.append(b" ".join(words))
+            removed.append(counts[-1] - len(words))
+        names = [name for name in batch.schema.names if name != "spans"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "kept", "n_words", "n_removed"])
 
 
 def _rows(docs: DataFrame, *carry: str) -> DataFrame:
@@ -216,34 +310,36 @@ def _rows(docs: DataFrame, *carry: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, t1, t2, a, b): word spans to remove from the rows of this doc_id and these hashes of the text; they may overlap."""
+    """(doc_id, t1, t2, spans): word spans to remove from the rows of this doc_id and these hashes of the text; they may overlap."""
     docs = _rows(docs).where("doc_id is not null")
     segments = stored(docs.mapInArrow(lean(_segments(window, anchor)), f"key long, content long, {_ROW}, begin int, last int"))
     common = segments.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     shared = stored(segments.join(common, "key"))
-    contents = shared.groupBy("key", "content").agg(F.min(F.struct(*ROW, "begin", "last")).alias("own"))
-    contents = stored(contents)
-    others = stored(shared.join(contents, ["key", "content"]).where(F.struct(*ROW, "begin") > F.struct(*(f"own.{c}" for c in ROW), "own.begin")).select(*ROW, "begin", "last", "own"))
-    copies = others.where("doc_id > own.doc_id").select(*ROW, F.col("begin").alias("a"), (F.col("last") + window).alias("b"))
-    again = others.where("doc_id = own.doc_id").select("doc_id", F.col("own.t1").alias("t1"), F.col("own.t2").alias("t2"), F.col("own.begin").alias("own"), F.struct("t1", "t2", (F.col("begin") - F.col("own.begin")).alias("shift")).alias("to")).distinct()
+    contents = stored(shared.groupBy("key", "content").agg(F.min(F.struct(*ROW, "begin", "last")).alias("own")))
     kinds = contents.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    contested = contents.join(kinds, "key").select("key", (F.col("kinds") > HOT).alias("hot"), "own.*")
-    lists = contested.groupBy(*ROW).agg(F.collect_list(F.struct("key", "hot", "begin", "last")).alias("segments"))
-    bodies = stored(docs.join(lists, [*ROW]).select(*ROW, "text", "segments").mapInArrow(lean(_cut(window)), f"key long, hot boolean, {_ROW}, own int, begin int, words binary"))
-    cold = bodies.where("not hot").select("key", *ROW, "begin", "words").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc_id")
-    streamed = cold.mapInArrow(lean(_stream(window)), f"{_ROW}, own int, a int, b int")
-    hot = bodies.where("hot").select("key", *ROW, "own", "begin")
-    first = hot.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    windows = hot.join(first, "key").where("doc_id > lo").select(*ROW, "own", F.col("begin").alias("a"), (F.col("begin") + window).alias("b"))
-    found = stored(streamed.union(windows))
-    moved = found.join(again, [*ROW, "own"]).select("doc_id", "to.t1", "to.t2", F.col("a") + F.col("to.shift"), F.col("b") + F.col("to.shift"))
-    return copies.union(found.select(*ROW, "a", "b")).union(moved)
+    several = contents.join(kinds, "key").select("key", "content", (F.col("kinds") > HOT).alias("hot"), "own.*")
+    lists = several.groupBy(*ROW).agg(F.collect_list(F.struct("key", "content", "hot", "begin", "last")).alias("segments"))
+    bodies = stored(docs.join(lists, [*ROW]).select("doc_id", "text", "segments").mapInArrow(lean(_cut(window)), "key long, content long, doc_id long, hot boolean, words binary"))
+    parts = partitions(docs.sparkSession)
+    cold = bodies.where("not hot").select("key", "doc_id", "content", "words").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+    found = cold.mapInArrow(lean(_stream(window)), _MARKED)
+    hot = bodies.where("hot")
+    if not hot.isEmpty():
+        sent = hot.select("key", "content", "doc_id", "words").mapInArrow(lean(_send(window, parts)), "range int, block long, head boolean, blob binary")
+        answers = sent.groupBy("range").applyInArrow(lean_group(_first_docs), "block long, head boolean, blob binary")
+        found = found.union(answers.groupBy("block").applyInArrow(lean_group(_hot_spans(window)), _MARKED))
+    marks = contents.select("key", "content", F.col("own.doc_id").alias("owner")).join(stored(found), ["key", "content"], "left")
+    whole = F.array(F.struct(F.col("begin").alias("a"), (F.col("last") + window).alias("b")))
+    part = F.transform("spans", lambda x: F.struct((x["a"] + F.col("begin")).alias("a"), (x["b"] + F.col("begin")).alias("b")))
+    lost = shared.join(marks, ["key", "content"]).select(*ROW, F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(part).alias("spans"))
+    return lost.where("spans is not null").groupBy(*ROW).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of carry, text, kept (kept words joined by one space), n_words and n_removed of each row."""
     small_batches(docs.sparkSession)
-    spans = repeated_spans(docs, window, anchor).groupBy(*ROW).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    carry = tuple(c for c in carry if c not in ("doc_id", "text", "kept", "n_words", "n_removed"))
+    spans = repeated_spans(docs, window, anchor)
     rows = _rows(docs, *(F.col(c).alias(f"carried_{c}") for c in carry))
     names = ["doc_id", *(f"carried_{c}" for c in carry), "text"]
     kinds = {c: rows.schema[c].dataType.simpleString() for c in names}
