@@ -35,7 +35,7 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _hand_back() -> None:
+def hand_back() -> None:
     """Gives memory that Python and Arrow no longer use back to the system: a worker outlives its tasks."""
     pa.default_memory_pool().release_unused()
     try:
@@ -51,7 +51,7 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, batch.num_rows, BATCH_ROWS))
         finally:
-            _hand_back()
+            hand_back()
 
     return inner
 
@@ -63,7 +63,7 @@ def lean_group(run: Callable) -> Callable:
         try:
             return run(table)
         finally:
-            _hand_back()
+            hand_back()
 
     return inner
 
@@ -104,7 +104,7 @@ def key_runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node of each component.
 
     Alternating stars: each node hangs its larger neighbours on its smallest neighbour, then
@@ -114,7 +114,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -125,7 +125,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

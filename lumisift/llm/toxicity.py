@@ -3,19 +3,20 @@
 1. *Character model.* Trigram counts of letters over the words of all documents; their number is
    bounded by the alphabet, not by the corpus.
 2. *Restoration.* Stretches with leetspeak between letters, letters repeated three
-   times or more, or single letters strung out by spaces or marks become character lattices; a
-   Viterbi search under the channel's costs and the character model finds the likeliest letters.
+   times or more, or three single letters or more strung out by spaces or marks become character lattices, however long; a
+   Viterbi search under the channel's costs and the character model finds the likeliest letters, which replace the stretch.
    All other stretches have one path through the lattice and stay as they are.
 3. *Lexicon.* Words and their beginnings of 4 and 5 letters in the restored texts of labelled
-   documents; those whose presence tells most of the label (likelihood ratio) are kept,
-   FEATURES at most.
+   documents; of those that stand in SUPPORT labelled documents the FEATURES whose presence tells most of the
+   label (likelihood ratio) are the model's features, a size chosen for the model, not for the rows.
 4. *Score.* Logistic regression with a ridge penalty on the presence of these features, learnt from at most
    LABELLED labelled rows (those of the smallest hash), then applied to every text.
 
 Only the text enters the score. Null and empty texts get the score of a text without
 features; so does every text where there is nothing to learn from (no labels: 0). Labels of null, of doc_ids
 that no document has, and rows left out by ``learn`` have no influence; several labels of one doc_id count as their
-largest. Repeated rows are scored each; an empty table gives an empty result.
+largest. Repeated rows are scored each; an empty table gives an empty result. Very long texts and words are read whole, in
+time linear in their length. Columns of docs that aren't in ``carry`` are ignored; carried columns pass unless they have the name of a result column, which then wins.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import lean, small_batches
+from .tables import hand_back, lean, small_batches, stored
 
 #: Labelled rows to learn from, at most.
 LABELLED = 20_000
@@ -38,6 +39,9 @@ FEATURES = 512
 #: Labelled documents in which a feature must stand.
 SUPPORT = 3
 
+#: Rows of the fit that are laid out at a time.
+BLOCK = 2048
+
 #: What each character may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "6": "gb", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "£": "l"}
 #: Those that may as well end a word.
@@ -55,10 +59,10 @@ _MARKS = re.escape("".join(LEET))
 _STRETCH = re.compile(rf"[\w{_MARKS}]+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _TAIL = re.compile(r"([^\w\s])\1\1+$")
-_STRUNG = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*~][^\W_]){3,}(?![^\W_])")
-_SPACED = re.compile(rf"(?<!\S)[\w{_MARKS}](?: [\w{_MARKS}]){{3,}}(?!\S)")
-#: A stretch of more characters is no obfuscated word.
-LONGEST = 64
+_STRUNG = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*~]+[^\W_]){2,}(?![^\W_])")
+_SPACED = re.compile(rf"(?<!\S)[\w{_MARKS}](?:(?: [.\-_*~]+)* [\w{_MARKS}]){{2,}}(?!\S)")
+#: Longer tokens aren't remembered.
+REMEMBERED = 64
 
 
 def character_counts(docs: DataFrame) -> DataFrame:
@@ -112,13 +116,13 @@ class Restorer:
         return cells
 
     def words(self, odd: str) -> list[str]:
-        """The words of the likeliest path."""
+        """The words of the likeliest path. Paths are chains of what they emit, so that time and memory follow the length."""
         if odd in self.known:
             return self.known[odd]
-        log, paths = self.log, {(0, 0): (0.0, "")}
+        log, paths = self.log, {(0, 0): (0.0, None)}
         for cell in [*self._lattice(odd), [(" ", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in paths.items():
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (score, path) in paths.items():
                 for emitted, cost in cell:
                     total, x, y = score + cost, a, b
                     for char in emitted:
@@ -127,62 +131,76 @@ class Restorer:
                             total += log[x, y, z]
                         x, y = y, z
                     if (x, y) not in new or new[x, y][0] < total:
-                        new[x, y] = (total, text + emitted)
+                        new[x, y] = (total, (path, emitted))
             paths = new
-        found = max(paths.values())[1].split()
-        if len(self.known) > 50_000:
-            self.known.clear()
-        self.known[odd] = found
+        path, found = max(paths.values(), key=lambda p: p[0])[1], []
+        while path:
+            path, emitted = path
+            found.append(emitted)
+        found = "".join(reversed(found)).split()
+        if len(odd) <= REMEMBERED:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            self.known[odd] = found
         return found
 
     def odd(self, token: str) -> list[str]:
         """Stretches of a token, without blanks, that are restored."""
         token = _TAIL.sub("", token)
-        found = [m[0] for m in _STRUNG.finditer(token)]
+        found = [m[0] for m in _STRUNG.finditer(token) if sum(c.isalpha() for c in m[0]) > 1]
         for stretch in _STRETCH.findall(token):
             core = stretch.rstrip(STOPS)
-            if len(core) <= LONGEST and (_TRIPLE.search(core) or (not core.isalpha() and any(c in LEET for c in core) and any(c.isalpha() for c in core))):
+            if _TRIPLE.search(core) or (not core.isalpha() and any(c in LEET for c in core) and any(c.isalpha() for c in core)):
                 found.append(stretch)
         return found
 
+    def restored(self, token: str) -> tuple[str, int]:
+        """A token with its odd stretches replaced, and how many those are."""
+        odd = self.odd(token)
+        for stretch in odd:
+            token = token.replace(stretch, " ".join(self.words(stretch)))
+        return token, len(odd)
+
     def token(self, token: str) -> tuple[tuple[str, ...], int]:
-        """Words of a token and of its restored stretches, and how many those are."""
+        """Words of a restored token, and how many stretches were restored."""
         bare = token.strip(".,;:!?\"'()&%#*")
         if bare.isalpha() and not _TRIPLE.search(bare):
             return (bare,), 0
-        odd = self.odd(token)
-        words = _WORD.findall(token)
-        for stretch in odd:
-            words += self.words(stretch)
-        return tuple(words), len(odd)
+        text, odd = self.restored(token)
+        return tuple(_WORD.findall(text)), odd
+
+    def tokens(self, text: str) -> tuple[list[str], int]:
+        """Tokens of the lower-cased text, its runs of single characters between blanks restored, and how many those are."""
+        tokens, runs = text.lower().split(), 0
+        if sum(len(t) == 1 for t in tokens) < 3:
+            return tokens, 0
+
+        def run(m: re.Match) -> str:
+            nonlocal runs
+            if sum(c.isalpha() for c in m[0]) < 3:
+                return m[0]
+            runs += 1
+            return " ".join(self.words(m[0]))
 
-    def spaced(self, text: str, tokens: list[str]) -> list[list[str]]:
-        """The words of each run of single characters between blanks."""
-        if sum(map(tokens.count, (t for t in set(tokens) if len(t) == 1))) < 4:
-            return []
-        return [self.words(m[0]) for m in _SPACED.finditer(" ".join(tokens)) if sum(c.isalpha() for c in m[0]) > 2]
+        return _SPACED.sub(run, " ".join(tokens)).split(), runs
 
     def restore(self, text: str) -> str:
         """The lower-cased text with obfuscated stretches replaced, its blanks as single spaces."""
-        text = _SPACED.sub(lambda m: " ".join(self.words(m[0])) if sum(c.isalpha() for c in m[0]) > 2 else m[0], " ".join(text.lower().split()))
-        out = []
-        for token in text.split():
-            for stretch in self.odd(token):
-                token = token.replace(stretch, " ".join(self.words(stretch)))
-            out.append(token)
-        return " ".join(out)
+        return " ".join(self.restored(token)[0] for token in self.tokens(text)[0])
 
     def vocabulary(self, text: str) -> set[str]:
-        """Distinct words of the text and of its restored stretches."""
-        tokens = text.lower().split()
+        """Distinct words of the restored text."""
         words: set[str] = set()
         if len(self.seen) > 200_000:
             self.seen.clear()
-        for token in set(tokens):
-            if token not in self.seen:
-                self.seen[token] = self.token(token)[0]
-            words.update(self.seen[token])
-        return words.union(*self.spaced(text, tokens))
+        for token in set(self.tokens(text)[0]):
+            found = self.seen.get(token)
+            if found is None:
+                found = self.token(token)[0]
+                if len(token) <= REMEMBERED:
+                    self.seen[token] = found
+            words.update(found)
+        return words
 
 
 class Scorer:
@@ -206,16 +224,17 @@ class Scorer:
         self.known |= tokens
 
     def score(self, text: str) -> tuple[float, int]:
-        tokens, found, restored = text.lower().split(), set(), 0
-        distinct = set(tokens)
+        tokens, restored = self.restorer.tokens(text)
+        found, distinct = set(), set(tokens)
         self._learn(distinct)
         for token in distinct & self.telling.keys():
             features, odd = self.telling[token]
             found.update(features)
             restored += odd
-        for words in self.restorer.spaced(text, tokens):
-            found |= _features(set(words)) & self.weights.keys()
-            restored += 1
+        long = {t for t in distinct if len(t) > REMEMBERED}
+        self.known -= long
+        for token in long & self.telling.keys():
+            del self.telling[token]
         z = self.constant + sum(self.weights[f] for f in sorted(found))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), restored
 
@@ -224,15 +243,25 @@ def _features(words: set[str]) -> set[str]:
     return words | {w[:4] + "*" for w in words} | {w[:5] + "*" for w in words}
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; the last is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def _fit(ends: np.ndarray, at: np.ndarray, width: int, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton steps; the last is the constant.
+
+    Row i has the features at[ends[i]:ends[i + 1]], each once. Only BLOCK rows are laid out at a time.
+    """
+    w = np.zeros(width + 1)
+    penalty = np.full(width + 1, ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        slope, bend = -penalty * w, np.diag(penalty)
+        for lo in range(0, len(y), BLOCK):
+            cut = ends[lo : lo + BLOCK + 1]
+            x = np.zeros((len(cut) - 1, width + 1))
+            x[:, -1] = 1
+            x[np.repeat(np.arange(len(x)), np.diff(cut)), at[cut[0] : cut[-1]]] = 1
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope += x.T @ (y[lo : lo + BLOCK] - p)
+            bend += (x * (p * (1 - p))[:, None]).T @ x
+        step = np.linalg.solve(bend, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -271,11 +300,10 @@ def _lexicon(sample: DataFrame, restorer: Restorer) -> tuple[list[str], np.ndarr
             found = [sorted(place[f] for f in _features(restorer.vocabulary(t or "")) & place.keys()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.int32()))], ["y", "at"])
 
-    held = sample.mapInArrow(lean(present), "y int, at array<int>").toPandas()
-    x = np.zeros((len(held), len(names)), dtype=np.float32)
-    for row, at in enumerate(held["at"]):
-        x[row, at] = 1
-    return names, _fit(x, held["y"].to_numpy(dtype=np.float64))
+    held = sample.mapInArrow(lean(present), "y int, at array<int>").toArrow().combine_chunks()
+    lists = held.column("at").combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+    return names, _fit(lists.offsets.to_numpy(), lists.values.to_numpy(), len(names), held.column("y").to_numpy().astype(np.float64))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -285,14 +313,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, ca
     """
     spark = docs.sparkSession
     small_batches(spark)
-    restorer = Restorer({r["gram"]: r["n"] for r in character_counts(docs).collect()})  # at most 64**3 rows
+    counts = character_counts(docs).toArrow()  # at most 64**3 rows
+    restorer = Restorer(dict(zip(counts.column("gram").to_pylist(), counts.column("n").to_pylist())))
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     if learn is not None:
         rows = rows.where(learn)
     chosen = rows.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "y")  # at most LABELLED rows are broadcast
+    sample = stored(texts.join(F.broadcast(chosen), "doc_id").select("text", "y"))  # at most LABELLED rows are broadcast
     names, weights = _lexicon(sample, restorer)
+    hand_back()
     model = spark.sparkContext.broadcast((restorer, {f: float(w) for f, w in zip(names, weights)}, float(weights[-1])))
 
     def score(batches):
@@ -301,6 +331,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, ca
             results = [scorer.score(text or "") for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r[0] for r in results], pa.float64()), pa.array([r[1] for r in results], pa.int64())], [*batch.schema.names, "score", "n_restored"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c for c in carry if c not in ("doc_id", "text", "score", "n_restored")), F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     return out.mapInArrow(lean(score), schema + ", score double, n_restored long")
