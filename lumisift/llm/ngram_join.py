@@ -5,8 +5,8 @@ Jaccard similarity of their sets reaches a threshold; the result has each docume
 class of equal sets, its number of n-grams and its component of links.
 
 1. *Shared n-grams.* Blocks of documents send their n-grams to ranges of the hash
-   space, packed in blobs; each range counts in how many documents an n-gram stands
-   and answers with the n-grams that two or more have. A document of n grams can only
+   space, packed in blobs, each n-gram once a block (one that several of the block's documents have with their number); each range counts in
+   how many documents an n-gram stands and answers with the n-grams that two or more have. A document of n grams can only
    link to another if at least threshold * n of its n-grams are shared, so all others
    drop out here, however many there are. Copies collapse per block and then
    over all blocks to one set.
@@ -23,7 +23,8 @@ class of equal sets, its number of n-grams and its component of links.
 
 Nulls and texts without words give an empty set: it links with nothing. A document
 with fewer words than the n-gram has one gram, its whole word sequence. Repeated
-rows are copies; equal doc_ids stay separate rows with one component. Further columns are ignored.
+rows are copies. Rows of one doc_id stay separate rows, each in the component of its own text. A null doc_id is never
+the smallest; a component of null doc_ids only has a null component_id. Very long texts are read whole. Further columns are ignored.
 An empty table gives an empty result.
 """
 
@@ -105,44 +106,54 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64), np.frombuffer(blob, np.uint16, n, 13 + (n - 1) * width)
 
 
-_SENT = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("head", pa.bool_()), ("blob", pa.binary())])
+_SENT = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+#: Kinds of blobs: n-grams of one document with its place in the block, of several with their number, and the head of a block.
+ONE, SEVERAL, HEAD = 0, 1, 2
+#: Stands for a place in the block where several documents have the n-gram.
+_MANY = 0xFFFF
 
 
 def _send(n: int, ranges: int):
     """Blocks of documents -> blobs of their n-grams for each range, and one head. The id of a block tells it by its place, too: others may hold the same rows."""
 
-    def flush(ids, sets, seen, place):
+    def flush(sets, seen, place):
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         grams, index = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
         order = np.argsort(grams)
         grams, index = grams[order], index[order]
-        to = ((grams >> _U(32)) * _U(ranges)) >> _U(32)
-        cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        counts = np.diff(np.append(first, len(grams)))
+        alone, many = first[counts == 1], first[counts > 1]
+        several = counts[counts > 1]
         signs = np.array(list(seen), dtype=np.int64).reshape(-1, 2)
-        block = int(H.mix(np.array([ids[0] & 0xFFFFFFFFFFFFFFFF, ids[-1] & 0xFFFFFFFFFFFFFFFF, *place], dtype=np.uint64) * np.array([1, 3, 5, 7], dtype=np.uint64) + H.mix(signs[:, 0].view(np.uint64)).sum(dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
-        rows = [(int(to[a]), block, False, _pack(grams[a:b], index[a:b])) for a, b in zip(cuts, cuts[1:])]
-        rows.append((abs(block) % ranges, block, True, np.concatenate([np.array(ids, dtype=np.int64), sizes, signs[:, 0], signs[:, 1]]).tobytes()))
+        block = int(H.mix(np.array(place, dtype=np.uint64) * np.array([5, 7], dtype=np.uint64) + H.mix(signs[:, 0].view(np.uint64)).sum(dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
+        rows = []
+        for kind, own, extra in ((ONE, grams[alone], index[alone]), (SEVERAL, grams[many], several)):
+            to = ((own >> _U(32)) * _U(ranges)) >> _U(32)
+            cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)] if len(to) else [0]
+            rows += [(int(to[a]), block, kind, _pack(own[a:b], extra[a:b])) for a, b in zip(cuts, cuts[1:])]
+        head = np.concatenate([np.array([len(sets), len(many)]), sizes, signs[:, 0], signs[:, 1], grams[many].view(np.int64), several])
+        rows.append((abs(block) % ranges, block, HEAD, head.tobytes() + index[np.repeat(counts, counts) > 1].tobytes()))
         for at in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 256]), _SENT)], schema=_SENT)
 
     def run(batches):
-        ids, sets, seen, held = [], [], {}, 0
+        sets, seen, held = [], {}, 0
         place = (TaskContext.get().partitionId(), 0)
         for batch in batches:
-            for doc, grams in zip(batch.column(0).to_pylist(), gram_sets(batch.column(1), n)):
+            for grams in gram_sets(batch.column(0), n):
                 sign = _signature(grams)
                 if not len(grams) or sign in seen:
                     continue
-                if held and (held + len(grams) > BLOCK_TOKENS or len(ids) >= BLOCK_DOCS):
-                    yield from flush(ids, sets, seen, place)
-                    ids, sets, seen, held = [], [], {}, 0
+                if held and (held + len(grams) > BLOCK_TOKENS or len(sets) >= BLOCK_DOCS):
+                    yield from flush(sets, seen, place)
+                    sets, seen, held = [], {}, 0
                     place = (place[0], place[1] + 1)
                 seen[sign] = None
-                ids.append(-1 if doc is None else doc)
                 sets.append(grams)
                 held += len(grams)
         if held:
-            yield from flush(ids, sets, seen, place)
+            yield from flush(sets, seen, place)
 
     return run
 
@@ -152,27 +163,27 @@ _ANSWER = np.dtype([("gram", "<u8"), ("doc", "<u2"), ("cls", "u1")])
 
 def _answer(table: pa.Table) -> pa.Table:
     """One range: for each block the n-grams that two or more documents have, with their frequency class."""
-    heads, blocks, blobs = table.column("head").to_pylist(), table.column("block").to_pylist(), table.column("blob").to_pylist()
-    out = [(b, True, x) for h, b, x in zip(heads, blocks, blobs) if h]
-    parts = [(b, *_unpack(x)) for h, b, x in zip(heads, blocks, blobs) if not h]
+    kinds, blocks, blobs = table.column("kind").to_pylist(), table.column("block").to_pylist(), table.column("blob").to_pylist()
+    out = [(b, HEAD, x) for k, b, x in zip(kinds, blocks, blobs) if k == HEAD]
+    parts = [(k, b, *_unpack(x)) for k, b, x in zip(kinds, blocks, blobs) if k != HEAD]
     if parts:
-        grams = np.concatenate([p[1] for p in parts])
+        grams = np.concatenate([p[2] for p in parts])
         order = np.argsort(grams)
         ordered = grams[order]
-        cuts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
-        counts = np.diff(cuts)
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        weight = np.concatenate([p[3].astype(np.int64) if p[0] == SEVERAL else np.ones(len(p[2]), np.int64) for p in parts])
         often = np.empty(len(grams), dtype=np.int64)
-        often[order] = np.repeat(counts, counts)
+        often[order] = np.repeat(np.add.reduceat(weight[order], first), np.diff(np.append(first, len(grams))))
         at = 0
-        for block, own, doc in parts:
+        for kind, block, own, extra in parts:
             df = often[at : at + len(own)]
             at += len(own)
             keep = df >= 2
             if keep.any():
                 rows = np.empty(int(keep.sum()), dtype=_ANSWER)
-                rows["gram"], rows["doc"], rows["cls"] = own[keep], doc[keep], np.minimum(255, np.log2(df[keep]) * 8)
-                out.append((block, False, rows.tobytes()))
-    return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), "head": pa.array([r[1] for r in out], pa.bool_()), "blob": pa.array([r[2] for r in out], pa.binary())})
+                rows["gram"], rows["doc"], rows["cls"] = own[keep], _MANY if kind == SEVERAL else extra[keep], np.minimum(255, np.log2(df[keep]) * 8)
+                out.append((block, kind, rows.tobytes()))
+    return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "blob": pa.array([r[2] for r in out], pa.binary())})
 
 
 _SET = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("tokens", pa.list_(pa.int64()))])
@@ -188,26 +199,35 @@ def _survivors(share: float):
     """One block: documents of which enough n-grams are shared, with their tokens in global order."""
 
     def run(table: pa.Table) -> pa.Table:
-        heads, blobs = table.column("head").to_pylist(), table.column("blob").to_pylist()
-        head = np.frombuffer(next(x for h, x in zip(heads, blobs) if h), np.int64).reshape(4, -1)
-        rows = np.concatenate([np.zeros(0, _ANSWER), *(np.frombuffer(x, _ANSWER) for h, x in zip(heads, blobs) if not h)])
-        shared = np.bincount(rows["doc"], minlength=head.shape[1])
-        good = shared >= np.ceil(share * head[1] - 1e-9)
+        kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+        raw = next(x for k, x in zip(kinds, blobs) if k == HEAD)
+        docs, many = np.frombuffer(raw, np.int64, 2).tolist()
+        head = np.frombuffer(raw, np.int64, 3 * docs, 16).reshape(3, docs)
+        own, counts = np.frombuffer(raw, np.int64, 2 * many, 16 + 24 * docs).reshape(2, many)
+        rows = np.concatenate([np.zeros(0, _ANSWER), *(np.frombuffer(x, _ANSWER) for k, x in zip(kinds, blobs) if k == ONE)])
+        if many:  # every n-gram that several documents of the block have is answered once
+            told = np.concatenate([np.frombuffer(x, _ANSWER) for k, x in zip(kinds, blobs) if k == SEVERAL])
+            more = np.empty(int(counts.sum()), dtype=_ANSWER)
+            more["gram"], more["cls"] = np.repeat(own.view(np.uint64), counts), np.repeat(told["cls"][np.argsort(told["gram"])], counts)
+            more["doc"] = np.frombuffer(raw, np.uint16, offset=16 + 24 * docs + 16 * many)
+            rows = np.concatenate([rows, more])
+        shared = np.bincount(rows["doc"], minlength=docs)
+        good = shared >= np.ceil(share * head[0] - 1e-9)
         rows = rows[good[rows["doc"]]]
         tokens = (rows["cls"].astype(np.uint64) << _U(56)) | (rows["gram"] >> _U(8))
         order = np.lexsort((tokens, rows["doc"]))
         tokens, cuts = tokens[order], np.cumsum([0, *shared[good]])
         keep = np.flatnonzero(good)
-        return pa.table([pa.array(head[0][keep]), pa.array(head[1][keep]), pa.array(head[2][keep]), pa.array(head[3][keep]), _token_lists([tokens[a:b] for a, b in zip(cuts, cuts[1:])])], schema=_SET)
+        return pa.table([pa.array(head[1][keep]), pa.array(head[0][keep]), pa.array(head[1][keep]), pa.array(head[2][keep]), _token_lists([tokens[a:b] for a, b in zip(cuts, cuts[1:])])], schema=_SET)
 
     return run
 
 
 def shared_sets(docs: DataFrame, n: int, threshold: float, total: int) -> DataFrame:
-    """(sid, n, s1, s2, tokens): one document of each set that may link with another, tokens rarest first."""
+    """(sid, n, s1, s2, tokens): each set that may link with another, tokens rarest first; sid is a hash of the set."""
     ranges = max(1, math.ceil(total / RANGE_TOKENS), partitions(docs.sparkSession))
-    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_send(n, ranges)), "range int, block long, head boolean, blob binary")
-    answers = sent.groupBy("range").applyInArrow(lean_group(_answer), "block long, head boolean, blob binary")
+    sent = docs.select(F.col("text").cast("string")).mapInArrow(lean(_send(n, ranges)), "range int, block long, kind int, blob binary")
+    answers = sent.groupBy("range").applyInArrow(lean_group(_answer), "block long, kind int, blob binary")
     found = answers.groupBy("block").applyInArrow(lean_group(_survivors(threshold)), "sid long, n long, s1 long, s2 long, tokens array<long>")
     return found.dropDuplicates(["n", "s1", "s2"])
 
@@ -323,9 +343,6 @@ def tree_links(sets: list[np.ndarray], sizes: np.ndarray, threshold: float, labe
     """
     if labels is not None and len(set(labels.tolist())) < 2:
         return []
-    if len(sets) == 2:  # two paths: one comparison
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if both >= threshold * (sizes[0] + sizes[1] - both) - 1e-9 else []
     tree = PrefixTree(sets, sizes)
     label = np.arange(len(sets)) if labels is None else np.unique(np.asarray(labels)[tree.order], return_inverse=True)[1]
     waiting = np.ones(len(sets), dtype=bool)
@@ -410,26 +427,44 @@ def links(sets: DataFrame, threshold: float) -> DataFrame:
     labelled = sets.join(roots, sets.sid == roots.node, "left").select("sid", "n", "tokens", F.coalesce("root", "sid").alias("root"))
     prefixes = labelled.mapInArrow(lean(_prefix(threshold)), "key long, sid long, root long")
     mixed = prefixes.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    more = _compare_open(prefixes.join(mixed, "key").select("key", "sid", "m"), labelled, threshold)
-    return components(edges.union(stored(more)))
+    rows = stored(prefixes.join(mixed, "key").select("key", "sid", "root", "m"))
+    every = labelled.select(F.col("sid").alias("node"), "root")
+    if rows.isEmpty():
+        return every
+    more = stored(_compare_open(rows, labelled, threshold))
+    if more.isEmpty():
+        return every
+    # the components found so far are the nodes of the second search
+    one, two = every.select(F.col("node").alias("a"), F.col("root").alias("x")), every.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    top = stored(components(more.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    return every.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def _compare_open(rows: DataFrame, labelled: DataFrame, threshold: float) -> DataFrame:
     """Links between sets of different components that share a prefix token.
 
     Sets that open keys hold together form a cluster and meet in one trie; a cluster of more than GROUP
-    sets meets by key instead. A key of more than GROUP sets is dealt out into parts,
-    and each pair of parts meets once.
+    sets meets by key instead. Of a key of more than GROUP sets the largest component is dealt out into parts, each of
+    which meets all others; where these are too many for that, each pair of parts meets once.
     """
-    rows = stored(rows)
     hubs = rows.groupBy("key").agg(F.min("sid").alias("a"))
-    cluster = components(rows.join(hubs, "key").select("a", F.col("sid").alias("b"))).withColumnRenamed("node", "sid")
-    cluster = stored(cluster.join(cluster.groupBy("root").agg(F.count("*").alias("size")), "root").withColumnRenamed("root", "cluster"))
-    small = cluster.where(F.col("size") <= GROUP).select(F.col("cluster").alias("key"), "sid", F.lit(-1).cast("long").alias("part"))
-    parts = rows.join(cluster.where(F.col("size") > GROUP), "sid").withColumn("parts", F.ceil(F.col("m") / (GROUP / 2)).cast("int")).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    large = parts.select("key", "sid", "own", other).select("key", "sid", (F.least("own", "other") * F.lit(1 << 31).cast("long") + F.greatest("own", "other")).alias("part")).distinct()
-    return _dealt(small.union(large.select("key", "sid", "part")).join(labelled, "sid"), "sid", "n", "tokens", "root").mapInArrow(lean(_join_groups(threshold, True)), "a long, b long")
+    cluster = components(rows.join(hubs, "key").select("a", F.col("sid").alias("b"))).withColumnRenamed("node", "sid").withColumnRenamed("root", "cluster")
+    cluster = stored(cluster)
+    cluster = cluster.join(cluster.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
+    meet = cluster.where(F.col("size") <= GROUP).select(F.col("cluster").alias("key"), "sid", F.lit(-1).cast("long").alias("part"))
+    large = stored(rows.join(cluster.where(F.col("size") > GROUP).select("sid"), "sid"))
+    if not large.isEmpty():
+        half = GROUP // 2
+        most = large.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("most")).select("key", "most.*")
+        parts = large.join(most.withColumnRenamed("root", "main"), "key").withColumn("rest", F.col("m") - F.col("c"))
+        # one component holds nearly all: no other pair of its parts has to meet
+        pieces = F.ceil(F.col("c") / half).cast("int")
+        own = F.pmod(F.xxhash64("sid"), pieces).cast("long")
+        few = parts.where(F.col("rest") <= half).select("key", "sid", F.explode(F.when(F.col("root") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), pieces.cast("long") - 1))).alias("part"))
+        pairs = parts.where(F.col("rest") > half).withColumn("parts", F.ceil(F.col("m") / half).cast("int")).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+        pairs = pairs.select("key", "sid", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("key", "sid", (F.least("own", "other") * F.lit(1 << 31).cast("long") + F.greatest("own", "other")).alias("part")).distinct()
+        meet = meet.union(few).union(pairs)
+    return _dealt(meet.join(labelled, "sid"), "sid", "n", "tokens", "root").mapInArrow(lean(_join_groups(threshold, True)), "a long, b long")
 
 
 def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.75) -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 
 import corpus_pipeline
 from lumisift.llm.queries import held_out
-from lumisift.llm.quality import co_train, quality
+from lumisift.llm import quality as Q
+from lumisift.llm.quality import quality
 from lumisift.llm.toxicity import Restorer, character_counts, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -20,7 +21,7 @@ def tables(spark):
 
 def test_restoration(spark, tables):
     restorer = Restorer({r["gram"]: r["n"] for r in character_counts(tables["documents"]).collect()})
-    for odd, word in [("1d10t", "idiot"), ("$tup1d", "stupid"), ("s t u p i d", "stupid"), ("i.d.i.o.t", "idiot"), ("stuuuupid", "stupid"), ("p@th3t1c", "pathetic"), ("s-c-u-m", "scum"), ("id1ot!", "idiot"), ("clooown", "clown")]:
+    for odd, word in [("1d10t", "idiot"), ("$tup1d", "stupid"), ("s t u p i d", "stupid"), ("i.d.i.o.t", "idiot"), ("stuuuupid", "stupid"), ("p@th3t1c", "pathetic"), ("s-c-u-m", "scum"), ("id1ot!", "idiot"), ("clooown", "clown"), ("a s s", "ass"), ("i - d - i - o - t", "idiot"), ("i..d..i..o..t", "idiot"), ("stu" + 200 * "u" + "pid", "stupid"), ("1d10t_" * 40, " ".join(["idiot"] * 40))]:
         assert restorer.restore(f"So {odd} said") == f"so {word} said"
     plain = "nothing odd here, 42 times (see 3.1)"
     assert restorer.restore(plain) == plain
@@ -59,20 +60,67 @@ def test_quality(spark, tables):
     assert all(0 <= r.score <= 1 for r in quality(odd, tables["labels"].withColumn("doc_id", tables["labels"].doc_id + 10)).collect())
 
 
+def local(rows):
+    """Sums over rows that are all here."""
+    return lambda f: f(rows)
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(3)
 
     def rows(n):
         y = (rng.random(n) < 0.6).astype(float)
-        return y, (y[:, None] * 1.5 + rng.normal(size=(n, 3))), (y[:, None] * 1.5 + rng.normal(size=(n, 2)))
+        return y, np.hstack([y[:, None] * 1.5 + rng.normal(size=(n, 3)), np.ones((n, 1))]), np.hstack([y[:, None] * 1.5 + rng.normal(size=(n, 2)), np.ones((n, 1))])
 
-    y, a, b = rows(60)
-    _, pool_a, pool_b = rows(3000)
+    y, a, b = rows(75)
+    hidden, pool_a, pool_b = rows(3000)
     truth, test_a, test_b = rows(3000)
-    one, two, constant = co_train([a, b], y, [pool_a, pool_b])
-    both = one.logit(test_a) + two.logit(test_b) - constant > 0
-    assert (both == truth).mean() > 0.9 and (both == truth).mean() >= max(((one.logit(test_a) > 0) == truth).mean(), ((two.logit(test_b) > 0) == truth).mean())
-    assert co_train([a, b], np.ones(60), [pool_a, pool_b]) is None
+    kind = np.concatenate([np.where(np.arange(75) % 5 == 0, Q.CALIBRATE, Q.LEARN), np.zeros(3000, dtype=int)])
+    both = Q.Rows([np.vstack([a, pool_a]), np.vstack([b, pool_b])], kind, np.concatenate([y, np.full(3000, np.nan)]))
+    share = y[kind[:75] == Q.LEARN].mean()
+    models = Q.co_train(local(both), [4, 3], share, 3000)
+    one, two = (slope * (x @ w) + shift for x, (w, slope, shift) in zip((test_a, test_b), models))
+    right = (one + two - np.log(share / (1 - share)) > 0) == truth
+    assert right.mean() > 0.9 and right.mean() >= max(((one > 0) == truth).mean(), ((two > 0) == truth).mean())
+    # what each view learns from never has the rows that calibrate
+    def blank(rows):
+        calibrate = rows.kind == Q.CALIBRATE
+        return Q.Rows([np.where(calibrate[:, None], 1e3, x) for x in rows.views], rows.kind, np.where(calibrate, 1 - rows.y, rows.y))
+    for (w, *_), (v, *_) in zip(models, Q.co_train(local(blank(both)), [4, 3], share, 3000)):
+        assert np.allclose(w, v)
+
+
+def test_cuts_take_the_surest_rows():
+    x = np.hstack([np.linspace(-3, 3, 1000)[:, None], np.ones((1000, 1))])
+    rows = Q.Rows([x, x[::-1]], np.zeros(1000, dtype=int), np.full(1000, np.nan))
+    w = np.array([1.0, 0.0])
+    counts = Q._counts([], [w, w])(rows).reshape(2, -1)
+    assert counts.sum() == 2000
+    given, open_ = Q.assigned(rows, [([w, w], [(int(np.searchsorted(np.cumsum(counts[0]), 10, side="right")) - 1, Q.BINS), (-1, Q.BINS)])])
+    assert set(np.flatnonzero(given[0] == 0)) <= set(range(10)) and (given[0] == 0).sum() >= 8 and np.isnan(given[1]).all() and open_.sum() == 1000 - (given[0] == 0).sum()
+
+
+def test_quality_is_what_plain_numpy_gets(spark, tables):
+    """All features in one place, and the gradients and Hessians of a plain fit."""
+    docs = tables["documents"].limit(400).cache()
+    seen = Q.features(docs, tables["labels"]).toArrow().combine_chunks().to_batches()[0]
+    x = np.array(seen.column("x").to_pylist())
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    rows = Q._wide(seen, mean, scale)
+    learn = rows.kind == Q.LEARN
+    share = rows.y[learn].mean()
+    fitted = Q.co_train(local(rows), [2 * Q.TEXT_FEATURES + 1, Q.LANGS + Q.SOURCES + 3], share, (rows.kind == Q.OPEN).sum())
+    z = sum(slope * (v @ w) + shift for v, (w, slope, shift) in zip(rows.views, fitted)) - np.log(share / (1 - share))
+    want = dict(zip(seen.column("doc_id").to_pylist(), 1 / (1 + np.exp(-np.clip(z, -30, 30)))))
+    got = {r.doc_id: r.score for r in quality(docs, tables["labels"]).collect()}
+    assert set(got) == set(want) and max(abs(got[k] - want[k]) for k in got) < 1e-4
+    # one view's fit without any exchange, by plain Newton steps
+    w = [np.zeros(v.shape[1]) for v in rows.views]
+    for _ in range(12):
+        w = Q._step(Q._slopes([], w)(rows), w)
+    v, y = rows.views[0][learn], rows.y[learn]
+    slope = v.T @ (y - 1 / (1 + np.exp(-(v @ w[0])))) - np.append(np.ones(v.shape[1] - 1), 1e-3) * w[0]
+    assert np.abs(slope).max() < 1e-6
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -372,3 +372,37 @@ def test_licenses(spark):
 def test_crc_of_pieces(spark):
     row = pieces(documents(spark, [(1, "hello world")]), word_tokenizer()).select("ids", F.crc32("ids").alias("c")).head()
     assert row.c == zlib.crc32(row.ids)
+
+
+def test_ngram_join_of_null_and_odd_ids(spark):
+    rng = random.Random(21)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(-1, a), (None, b), (5, a + " more"), (6, b + " more"), (None, c), (None, c + " more"), (7, None)]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in N.ngram_join(documents(spark, rows)).collect()}
+    assert got == {(-1, 56, -1), (5, 57, -1), (None, 56, 6), (6, 57, 6), (None, 56, None), (None, 57, None), (7, 0, 7)}
+    assert N.ngram_join(documents(spark, [])).count() == 0
+
+
+def test_ngram_join_with_n_grams_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(N, "RANGE_TOKENS", 300)
+    rng = random.Random(22)
+    common = " ".join(f"c{k}" for k in range(12))
+    rows = [(i, f"{common} " + " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(30)))) for i in range(60)]
+    rows += [(100 + i, t + " x") for i, t in rows[:20]]
+    assert {tuple(r) for r in N.ngram_join(documents(spark, rows)).collect()} == brute_components(rows)
+
+
+def test_substring_dedup_of_nothing_and_clashing_names(spark):
+    docs = documents(spark, [(1, "a b"), (2, None)]).withColumn("kept", F.lit("own")).withColumn("spans", F.lit(3))
+    got = S.substring_dedup(docs, carry=("kept", "spans", "key")).collect()
+    assert sorted((r.doc_id, r.kept, r.n_words, r.n_removed, r.spans, r.key) for r in got) == [(1, "a b", 2, 0, 3, "x"), (2, "", 0, 0, 3, "x")]
+    assert S.substring_dedup(documents(spark, [])).count() == 0
+
+
+def test_packing_passes_clashing_columns(spark):
+    cut = spark.createDataFrame([(i, 0, 1 + i % 8, "a", i, i, 9, 9) for i in range(300)], "doc_id long, start long, length long, _part string, _rank int, row int, sequence_id int, offset int")
+    got = place(cut, width=8).collect()
+    assert {(r.doc_id, r.length, r._rank, r.row, r._part) for r in got} == {(i, 1 + i % 8, i, i, "a") for i in range(300)} and len(got) == 300
+    slots = {(r.sequence_id, r.offset + k) for r in got for k in range(r.length)}
+    assert len(slots) == sum(r.length for r in got) and max(o for _, o in slots) < 8
