@@ -19,8 +19,8 @@ from lumisift.llm.tables import stored
 from lumisift.llm.toxicity import toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Rows' hashes that are broadcast at most (16 MB); beyond, the texts are shuffled to them.
-BROADCAST_ROWS = 2_000_000
+#: Rows' hashes that are broadcast at most (some 10 MB); beyond, the texts are shuffled to them.
+BROADCAST_ROWS = 250_000
 _CARRY = ("lang", "source", "n_chars")
 
 
