@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from .tables import lean, small_batches, stored
 
 #: Words whose ids a worker remembers in each of two generations; those that are met again move on to the next.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 #: Characters of text that are encoded together, about.
 TOGETHER = 4_000_000
 #: Pieces of one length that are ranked in one task, about.
