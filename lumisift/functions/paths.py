@@ -94,11 +94,11 @@ def exact_term(weight: Column) -> Column:
 
 
 def number_key(path: Column) -> Column:
-    """A sort key under which aligned runs of digits stand in falling order and all else in byte order (runs under 1000 digits)."""
+    """A sort key under which aligned runs of digits stand in falling order and all else in byte order (runs under a million digits)."""
 
     def key(run: Column) -> Column:
         digits = F.regexp_replace(run, "^0+", "")
-        return F.when(run.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad((F.lit(999) - F.length(digits)).cast("string"), 3, "0"), F.translate(digits, "0123456789", "9876543210"))).otherwise(run)
+        return F.when(run.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad((F.lit(999_999) - F.length(digits)).cast("string"), 6, "0"), F.translate(digits, "0123456789", "9876543210"))).otherwise(run)
 
     return F.array_join(F.transform(F.regexp_extract_all(path, F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), key), "")
 

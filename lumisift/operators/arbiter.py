@@ -128,3 +128,28 @@ def impressions_of_picks(log: DataFrame, by: list[str], last: int = 8) -> DataFr
     same = Window.partitionBy(*by, "query").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = log.withColumn("_n", F.count_if("shown").over(before)).withColumn("_at", F.last(F.when(F.col("shown"), F.struct("_n", "seq")), ignorenulls=True).over(same))
     return rows.where("not shown").select(*by, "seq", F.when(F.col("_n") - F.col("_at._n") < last, F.col("_at.seq")).alias("imp_seq"))
+
+
+def arbitrate(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of other sources (query, source, priority, ord, model) with place, their place in the section by model score, and the section's new priority.
+
+    A section of no priority goes above the files if its best row's score is over that of the best file row of the same query (files: query,
+    model); without file rows it stays. Ties keep their order.
+    """
+    best = rows.groupBy("query", "source").agg(F.max("model").alias("best"))
+    top = files.groupBy("query").agg(F.max("model").alias("file"))
+    sections = best.join(top, "query", "left").select("query", "source", (F.col("best") > F.col("file")).alias("over"))
+    place = F.row_number().over(Window.partitionBy("query", "source").orderBy(F.desc("model"), "ord")).cast("long")
+    return rows.withColumn("place", place).join(sections, ["query", "source"]).withColumn("priority", F.when((F.col("priority") <= 0) & F.col("over"), 1).otherwise(F.col("priority"))).drop("over")
+
+
+def pick_records(shown: DataFrame, picks: DataFrame) -> DataFrame:
+    """(imp, value): one JSON line for each pick: the impression's rows in order with their signals, and what was picked.
+
+    shown: (imp, ts, query, rank and signals); picks: (imp, path, action). A pick without an impression is a record without rows. Write the lines with
+    ``df.select("value").write.mode("append").text(folder)``; ``sources.logs`` reads them.
+    """
+    signals = [c for c in shown.columns if c not in ("imp", "ts", "query")]
+    rows = shown.groupBy("imp").agg(F.min("ts").alias("ts"), F.min("query").alias("query"), F.array_sort(F.collect_list(F.struct("rank", *(c for c in signals if c != "rank")))).alias("shown"))
+    made = picks.join(rows, "imp", "left").withColumn("picked", F.struct(F.element_at(F.filter("shown", lambda r: r["path"] == F.col("path")), 1)["rank"].alias("rank"), "path", "action"))
+    return made.select("imp", F.to_json(F.struct(F.lit(1).alias("v"), "ts", "query", F.col("shown").isNotNull().alias("joined"), F.coalesce("shown", F.expr("array()").cast(rows.schema["shown"].dataType)).alias("shown"), "picked")).alias("value"))

@@ -9,6 +9,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
+from . import web as W
+
 from . import ranking
 from ..functions import matching as M
 
@@ -112,3 +115,30 @@ def clean(rows: DataFrame, allow_commands: bool = False) -> DataFrame:
 def focused_boost(score: Column, name: Column, pattern: str, boost: int) -> Column:
     """Scores raised where the focused application's name matches."""
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(score, F.lit(50.0)) + F.when(name.rlike(f"(?i){pattern}"), boost).otherwise(0)))
+
+
+def usage_tie_break(count: Column) -> Column:
+    """A decayed count of launches as a whole tie break; 0 for none."""
+    return F.when(count > 0, F.round(count * 1000).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def applications(apps: DataFrame, launches: DataFrame | None = None) -> DataFrame:
+    """Candidates of installed applications (id, name, exec and other columns, which pass): display, arguments, subtitle, sort_key and tie_break by launches.
+
+    launches: (key, n), the decayed count under ``desktop:<id>``. Applications without a command to run drop out.
+    """
+    rows = apps.withColumn("arguments", W.exec_arguments(F.col("exec"))).where((F.size("arguments") > 0) & (F.get("arguments", F.lit(0)) != ""))
+    rows = rows.withColumns({"display": F.col("name"), "subtitle": F.array_join("arguments", " "), "sort_key": F.coalesce("id", F.lit("")), "key": F.concat(F.lit("desktop:"), "id")})
+    if launches is None:
+        return rows.withColumn("tie_break", F.lit(0).cast("long")).drop("key")
+    return rows.join(launches.select("key", "n"), "key", "left").withColumn("tie_break", usage_tie_break(F.col("n"))).drop("key", "n")
+
+
+def sites(frequent: DataFrame) -> DataFrame:
+    """Candidates of frequent sites (url, title, host, c30): the title or host to show, and visits as tie break."""
+    return frequent.withColumns({"display": P.title_or_host(F.col("title"), F.col("url")), "subtitle": F.col("url"), "sort_key": F.col("url"), "tie_break": F.col("c30").cast("long")})
+
+
+def tabs(found: DataFrame) -> DataFrame:
+    """Candidates of open tabs (url, title, win, tab): the order of windows and tabs breaks ties."""
+    return found.withColumns({"display": P.title_or_host(F.col("title"), F.col("url")), "subtitle": P.url_host(F.col("url")), "sort_key": F.format_string("%08d.%08d", "win", "tab"), "tie_break": F.lit(0).cast("long")})

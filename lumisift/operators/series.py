@@ -2,41 +2,61 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: File systems without files of their own (fixed values), and prefixes of virtual interfaces.
-VIRTUAL_FS = ["proc", "sysfs", "devtmpfs", "devpts", "tmpfs", "cgroup", "cgroup2", "securityfs", "debugfs", "tracefs", "configfs", "pstore", "bpf", "mqueue", "hugetlbfs", "autofs", "binfmt_misc", "overlay", "squashfs", "nsfs", "ramfs", "efivarfs", "fusectl"]
-NETWORK_FS = ["nfs", "nfs4", "cifs", "smb3", "smbfs", "afs", "ncpfs", "9p", "ceph", "glusterfs", "lustre", "fuse"]
+#: File systems without files of their own, and remote ones (fixed values); the overlay of a container's root is neither.
+VIRTUAL_FS = ["proc", "sysfs", "devtmpfs", "devpts", "tmpfs", "cgroup", "cgroup2", "pstore", "securityfs", "debugfs", "tracefs", "fusectl", "configfs", "ramfs", "autofs", "mqueue", "hugetlbfs", "binfmt_misc", "rpc_pipefs"]
+NETWORK_FS = ["nfs", "nfs4", "cifs", "smb3", "smbfs", "sshfs", "9p", "afs", "glusterfs", "ceph", "davfs"]
 
 
 def skips_fs(kind: Column) -> Column:
-    return kind.isin(VIRTUAL_FS + NETWORK_FS) | kind.startswith("fuse.")
+    return kind.isin([*VIRTUAL_FS, *NETWORK_FS, "fuse"]) | kind.startswith("fuse.")
 
 
 def mounts(lines: DataFrame) -> DataFrame:
-    """(device, path, kind) of mount lines (value), with octal escapes resolved."""
-    parts = F.split("value", " ")
+    """(device, path, kind) and the other columns of mount lines (value): octal escapes that the kernel writes resolved, doubled and last slashes gone."""
+    parts = F.split(F.trim("value"), r"[ \t]+")
     path = parts[1]
-    for code, char in (("040", " "), ("011", "\t"), ("012", "\n"), ("134", "\\")):
+    for code, char in (("040", " "), ("011", "\t"), ("012", "\n"), ("043", "#"), ("134", "\\")):
         path = F.replace(path, F.lit("\\" + code), F.lit(char))
-    return lines.where(F.size(parts) >= 3).select(parts[0].alias("device"), path.alias("path"), parts[2].alias("kind"))
+    path = F.regexp_replace(F.regexp_replace(path, "/+", "/"), "(.)/$", "$1")
+    return lines.where(F.size(parts) >= 3).select(parts[0].alias("device"), path.alias("path"), parts[2].alias("kind"), *(c for c in lines.columns if c != "value"))
+
+
+def _within(path: Column, root: str) -> Column:
+    root = root.rstrip("/")
+    return (path == (root or "/")) | path.startswith(root + "/")
 
 
 def mount_skips(mounted: DataFrame, roots: list[str], most: int = 256) -> DataFrame:
-    """Mount points of virtual and network file systems strictly under a root, without glob characters."""
-    under = F.lit(False)
-    for root in roots:
-        under = under | (F.col("path").startswith(root.rstrip("/") + "/") & (F.col("path") != root))
-    return mounted.where(skips_fs(F.col("kind")) & under & ~F.col("path").rlike(r"[*?\[\\]")).select("path").distinct().orderBy("path").limit(most)
+    """Mount points of virtual and network file systems under a root that are no root themselves, without glob characters; the first ``most`` by ord, where that column is given."""
+    path = F.col("path")
+    under = reduce(lambda a, b: a | b, (_within(path, r) for r in roots), F.lit(False)) & ~path.isin([r.rstrip("/") or "/" for r in roots])
+    rows = mounted.where(skips_fs(F.col("kind")) & path.startswith("/") & (path != "/") & under & ~path.rlike(r"[*?\[\\]"))
+    return rows.orderBy("ord" if "ord" in mounted.columns else "path").limit(most).select("path")
+
+
+def real_mounts(mounted: DataFrame, roots: list[str]) -> DataFrame:
+    """Mounts of walkable file systems at or under a root."""
+    path = F.col("path")
+    return mounted.where(~skips_fs(F.col("kind")) & path.startswith("/") & reduce(lambda a, b: a | b, (_within(path, r) for r in roots), F.lit(False)))
 
 
-def busy_rates(samples: DataFrame, by: list[str]) -> DataFrame:
-    """Samples (ts, total, busy) with pct, the busy share since the sample before, 0 to 100; null where counters ran backwards."""
+def busy_rates(samples: DataFrame, by: list[str], interval: float | None = None) -> DataFrame:
+    """Samples (ts in seconds, total, busy) with pct, the busy share since the sample before, 0 to 100, and shown_pct, the newest one so far.
+
+    pct is null where counters stand still or run backwards, or where the sample before is older than three intervals.
+    """
     w = Window.partitionBy(*by).orderBy("ts")
     total, busy = F.col("total") - F.lag("total").over(w), F.col("busy") - F.lag("busy").over(w)
-    return samples.withColumn("pct", F.when((total > 0) & (busy >= 0), F.least(F.lit(100.0), 100.0 * busy / total)))
+    recent = F.lit(True) if interval is None else F.col("ts") - F.lag("ts").over(w) <= 3 * interval
+    rows = samples.withColumn("pct", F.when((total > 0) & (busy >= 0) & recent, F.least(F.lit(100.0), 100.0 * busy / total)))
+    return rows.withColumn("shown_pct", F.last("pct", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 def counter_rates(samples: DataFrame, by: list[str], interval: float) -> DataFrame:
@@ -48,6 +68,26 @@ def counter_rates(samples: DataFrame, by: list[str], interval: float) -> DataFra
 
 
 def descendants(edges: DataFrame, root: int, most_depth: int = 32) -> DataFrame:
-    """(pid, depth) below a root in (pid, ppid), by a recursive query."""
-    edges.createOrReplaceTempView("_process_edges")
-    return edges.sparkSession.sql(f"WITH RECURSIVE tree(pid, depth) AS (SELECT CAST({int(root)} AS BIGINT), 0 UNION ALL SELECT e.pid, t.depth + 1 FROM tree t JOIN _process_edges e ON e.ppid = t.pid WHERE t.depth < {int(most_depth)}) SELECT pid, depth FROM tree")
+    """(pid, depth, way) from a root down in (pid, ppid), by a recursive query; way: the processes on the way, which no process is on twice."""
+    name = f"edges_{uuid.uuid4().hex}"
+    edges.createOrReplaceTempView(name)
+    found = edges.sparkSession.sql(
+        f"WITH RECURSIVE tree(pid, depth, way) AS (SELECT CAST({int(root)} AS BIGINT), 0, array(CAST({int(root)} AS BIGINT)) UNION ALL SELECT CAST(e.pid AS BIGINT), t.depth + 1, array_append(t.way, CAST(e.pid AS BIGINT)) "
+        f"FROM tree t JOIN {name} e ON e.ppid = t.pid WHERE t.depth < {int(most_depth)} AND NOT array_contains(t.way, CAST(e.pid AS BIGINT))) SELECT pid, depth, way FROM tree"
+    )
+    edges.sparkSession.catalog.dropTempView(name)
+    return found
+
+
+def foreground(processes: DataFrame, root: int) -> DataFrame:
+    """One row (group) at most: the first positive terminal group of (pid, ppid, tpgid) below a root, level by level, children by number."""
+    rows = descendants(processes.select("pid", "ppid"), root).join(processes.select("pid", "tpgid"), "pid").where("tpgid > 0")
+    return rows.orderBy("depth", "way").limit(1).select(F.col("tpgid").cast("long").alias("group"))
+
+
+def working_directory(processes: DataFrame, root: int, home: str = "") -> DataFrame:
+    """One row (cwd) at most: the working directory of the foreground process of (pid, ppid, tpgid, cwd), or else of the deepest process below the root; / and the home count as none."""
+    telling = processes.where(F.col("cwd").isNotNull() & ~F.col("cwd").isin("", "/", home))
+    front = telling.join(foreground(processes, root), F.col("pid") == F.col("group")).select("cwd", F.lit(-1).alias("depth"), F.array(F.lit(0).cast("long")).alias("way"))
+    below = descendants(processes.select("pid", "ppid"), root).join(telling.select("pid", "cwd"), "pid").select("cwd", (1000 - F.col("depth")).alias("depth"), "way")
+    return front.union(below).orderBy("depth", "way").limit(1).select("cwd")

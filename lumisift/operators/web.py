@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import matching as M
 from ..functions import paths as P
 
 #: Visit types that don't count (fixed values: embedded and framed links).
@@ -55,11 +58,75 @@ def open_tabs(sessions: DataFrame, most: int = 500) -> DataFrame:
 
 def types_of_names(names: DataFrame, suffixes: DataFrame) -> DataFrame:
     """(name, type): the type of a name's longest suffix, then of the highest weight. suffixes (suffix, type, weight) is a small table."""
-    low = F.lower("name")
-    tails = names.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda k: F.substring(low, k, F.length("name")))).alias("suffix"))
-    met = tails.join(F.broadcast(suffixes), "suffix")
-    best = met.groupBy("name").agg(F.max(F.struct(F.length("suffix").alias("n"), "weight", "type")).alias("b"))
-    return names.join(best, "name", "left").select("name", F.col("b.type").alias("type"))
+    return types_of_globs(names, suffixes.select(F.concat(F.lit("*"), "suffix").alias("glob"), "type", "weight"))
+
+
+def types_of_globs(names: DataFrame, globs: DataFrame) -> DataFrame:
+    """(name, type) of each row of names: that of the glob which is the name itself, else of the longest ``*`` with a suffix, else of the first other glob by weight.
+
+    globs: a small table (glob, type, weight), optionally with cs (matches in this case only) and ord (the first wins ties; else by type). Each distinct
+    length of a suffix is looked up once in it, so no name is spread over its suffixes.
+    """
+    rows = globs.select("glob", "type", "weight", *(F.col(c) if c in globs.columns else F.lit(v).alias(c) for c, v in (("cs", False), ("ord", 0)))).where("glob <> ''").collect()
+    rows = sorted(rows, key=lambda r: (-r["weight"], r["ord"], r["type"] if "ord" not in globs.columns else ""), reverse=False)
+    literal: dict[tuple[bool, str], tuple[str, int]] = {}
+    suffix: dict[int, dict[tuple[bool, str], tuple[str, int]]] = {}
+    other = F.lit(None).cast("string")
+    special = re.compile(r"[*?\[]")
+    for r in rows:
+        cs, glob = bool(r["cs"]), r["glob"] if r["cs"] else r["glob"].lower()
+        if not special.search(glob):
+            literal.setdefault((cs, glob), (r["type"], r["weight"]))
+        elif glob[0] == "*" and len(glob) > 1 and not special.search(glob[1:]):
+            suffix.setdefault(len(glob) - 1, {}).setdefault((cs, glob[1:]), (r["type"], r["weight"]))
+    for r in reversed(rows):
+        glob = r["glob"] if r["cs"] else r["glob"].lower()
+        if special.search(glob) and not (glob[0] == "*" and len(glob) > 1 and not special.search(glob[1:])):
+            try:
+                other = F.when((F.col("name") if r["cs"] else F.lower("name")).rlike(M.glob_pattern(glob)), r["type"]).otherwise(other)
+            except ValueError:
+                pass  # a malformed glob matches nothing
+
+    def look(table: dict[tuple[bool, str], tuple[str, int]], text: Column) -> list[Column]:
+        """The types under the text as it stands and folded, the heavier first."""
+        if not table:
+            return []
+        found = {cs: {k: v for (c, k), v in table.items() if c == cs} for cs in (True, False)}
+        exact, folded = ((F.create_map(*(F.lit(x) for k, (t, w) in part.items() for x in (k, f"{w:09d}{t}"))) if part else None) for part in (found[True], found[False]))
+        own = [m[k] for m, k in ((exact, text), (folded, F.lower(text))) if m is not None]
+        if len(own) == 1:
+            return [F.substring(own[0], 10, 1 << 30)]
+        heavier = F.when(F.substring(own[0], 1, 9) >= F.coalesce(F.substring(own[1], 1, 9), F.lit("")), own[0]).otherwise(F.coalesce(own[1], own[0]))
+        return [F.substring(heavier, 10, 1 << 30)]
+
+    name = F.col("name")
+    tiers = [*look({k: v for k, v in literal.items() if k[0]}, name), *look({k: v for k, v in literal.items() if not k[0]}, name)]
+    for n in sorted(suffix, reverse=True):
+        tiers += [F.when(F.length(name) >= n, c) for c in look(suffix[n], F.right(name, F.lit(n)))]
+    return names.select("name", F.when(name != "", F.coalesce(*tiers, other)).alias("type"))
+
+
+def icon_names(kind: Column, generic: dict[str, str]) -> Column:
+    """The names of icons for a type, the most specific first: its own, the generic one that a small table gives it, and that of its class."""
+    first = F.substring_index(kind, "/", 1)
+    own = F.create_map(*(F.lit(x) for pair in generic.items() for x in pair))[kind] if generic else F.lit(None).cast("string")
+    by_class = F.concat(F.when(first.isin("text", "image", "audio", "video", "font"), first).otherwise("application"), F.lit("-x-generic"))
+    return F.when(kind != "", F.array_distinct(F.filter(F.array(F.replace(kind, F.lit("/"), F.lit("-")), own, by_class), lambda x: x.isNotNull())))
+
+
+def exec_arguments(line: Column) -> Column:
+    """The arguments of a launcher's command line: double quotes group, a backslash in them escapes, ``%%`` is a per cent sign, field codes go."""
+    pieces = F.regexp_extract_all(line, F.lit(r'(?:"(?:\\.|[^"\\])*"?|%[%fFuUdDnNickvm]|[^ \t"])+'), F.lit(0))
+
+    def parts(word: Column) -> Column:
+        return F.regexp_extract_all(word, F.lit(r'"(?:\\.|[^"\\])*"?|%[%fFuUdDnNickvm]|[^"]'), F.lit(0))
+
+    def value(part: Column) -> Column:
+        quoted = F.regexp_replace(F.regexp_replace(part, r'(?s)^"((?:\\.|[^"\\])*)\\?"?$', "$1"), r"(?s)\\(.)", "$1")
+        return F.when(part.startswith('"'), quoted).when(part == "%%", "%").when(part.rlike("^%[fFuUdDnNickvm]$"), "").otherwise(part)
+
+    kept = F.filter(pieces, lambda w: F.exists(parts(w), lambda p: ~p.rlike("^%[fFuUdDnNickvm]$")))
+    return F.transform(kept, lambda w: F.array_join(F.transform(parts(w), value), ""))
 
 
 def parse_command(query: Column, sigils: str = "!/@") -> Column:

@@ -48,7 +48,7 @@ SQL_ENTRIES = """
         UNION ALL SELECT DISTINCT '/catalog/' || p_brand, p_type, true FROM part UNION ALL SELECT DISTINCT '/catalog', p_brand, true FROM part UNION ALL SELECT DISTINCT '/', 'catalog', true FROM part),
     entries AS (SELECT *, CASE WHEN parent_dir = '/' THEN '/' || name ELSE parent_dir || '/' || name END AS path, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS name_fold FROM raw_entries),
     ready AS (SELECT *, translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS path_fold, strlen(path) AS path_len,
-        array_to_string(list_transform(regexp_extract_all(path, '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN '0' || lpad((999 - length(regexp_replace(r, '^0+', '')))::VARCHAR, 3, '0') || translate(regexp_replace(r, '^0+', ''), '0123456789', '9876543210') ELSE r END), '') AS numkey FROM entries)"""
+        array_to_string(list_transform(regexp_extract_all(path, '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN '0' || lpad((999999 - length(regexp_replace(r, '^0+', '')))::VARCHAR, 6, '0') || translate(regexp_replace(r, '^0+', ''), '0123456789', '9876543210') ELSE r END), '') AS numkey FROM entries)"""
 SQL_EVENTS = "ev AS (SELECT event_id, ts, user_id, event_type, value, (props->>'k')::INT AS k FROM events)"
 SQL_OPENS = SQL_EVENTS + ", opens AS (SELECT event_id, ts, user_id, '/home/u/' || CASE WHEN k % 3 = 0 THEN '.cache/' ELSE '' END || 'd' || k % 7 || '/f' || k || CASE WHEN k % 2 = 0 THEN '.TXT' ELSE '.md' END AS path FROM ev)"
 SQL_IMPRESSIONS = SQL_EVENTS + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM ev),

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .functions import heads
 from .functions import matching as M
 from .functions import paths as P
 from .functions import values as V
 from .functions.positions import highlight
-from .operators import arbiter, ranking, search, series, usage, web
+from .operators import arbiter, providers, ranking, search, series, usage, web
 from .plans import fixtures as X
 from .plans import store
 from .sources import system
@@ -53,8 +55,46 @@ query(_hits("contains(name_fold, 'qqqqzz')", _NAME.format("qqqqzz")), "search_no
 query(_hits("contains(name_fold, 'red') AND contains(name_fold, '.md')", "2"), "search_terms")(_search("red .MD"))
 _PATH = "CASE WHEN path_fold = '{0}' THEN 0 WHEN ends_with(path_fold, '{0}') THEN 1 WHEN starts_with(path_fold, '{0}') THEN 2 ELSE 3 END"
 query(_hits("contains(path_fold, '/brand#2/economy')", _PATH.format("/brand#2/economy")), "search_path")(_search("/Brand#2/ECONOMY"))
-query(None, "search_fuzzy")(_search("rdblt9", True))
-query(None, "search_fuzzy_terms")(_search("bl wdg txt", True))
+
+
+def _alignment(pattern: str, cte: str = "cand") -> str:
+    """SQL of the best alignment: the recurrence row by row over the places of (path, name, name_fold) in cand; CTE <cte>_score (path, score)."""
+    m, never = len(pattern), -(1 << 28)
+    first = ", ".join(f"{never} AS h{q}, {never} AS g{q}, {never} AS r{q}" for q in range(m))
+    hit = ", ".join(f"CASE WHEN u = '{c}' THEN " + ("b + 16" if q == 0 else f"greatest(h{q - 1} + 16 + greatest(b, 8), g{q - 1} + 16 + b)") + f" ELSE {never} END AS n{q}" for q, c in enumerate(pattern))
+    then = ", ".join(f"n{q} AS h{q}, greatest(h{q} - 3, g{q} - 1, r{q} - 9) AS g{q}, greatest(r{q}, n{q}) AS r{q}" for q in range(m))
+    bonus = """CASE WHEN i = 0 THEN 12 WHEN x IN ('-', '_', '.', ' ') THEN 10 WHEN regexp_matches(x, '[a-z]') AND regexp_matches(y, '[A-Z]') THEN 7
+        WHEN (regexp_matches(x, '[A-Za-z]') AND regexp_matches(y, '[0-9]')) OR (regexp_matches(x, '[0-9]') AND regexp_matches(y, '[A-Za-z]')) THEN 6 ELSE 0 END"""
+    return f"""{cte}_steps AS (SELECT path, name, name_fold, 0 AS i, {first}, {never} AS best FROM {cte}
+        UNION ALL SELECT path, name, name_fold, i + 1, {then}, greatest(best, n{m - 1}) FROM (SELECT *, {hit} FROM (SELECT *, {bonus} AS b FROM (SELECT *, substr(name_fold, i + 1, 1) AS u, substr(name, i, 1) AS x, substr(name, i + 1, 1) AS y FROM {cte}_steps WHERE i < length(name))))),
+        {cte}_score AS (SELECT path, best AS score FROM {cte}_steps WHERE i = length(name))"""
+
+
+def _in_order(pattern: str) -> str:
+    return "regexp_matches(name_fold, '(?s)^" + "".join(f"[^{c}]*{c}" for c in pattern) + "')"
+
+
+_FUZZY_TOP = "SELECT (row_number() OVER (ORDER BY class, align DESC, is_dir DESC, path_len, numkey, path))::BIGINT AS rank, path, name, is_dir, class::INT AS class, align::INT AS align FROM hits QUALIFY rank <= 50"
+query(f"""WITH RECURSIVE {X.SQL_ENTRIES}, cand AS (SELECT * FROM ready WHERE {_in_order('rdblt9')}), {_alignment('rdblt9')},
+    hits AS (SELECT c.*, CASE WHEN contains(name_fold, 'rdblt9') THEN 2 ELSE 3 END AS class, CASE WHEN contains(name_fold, 'rdblt9') THEN 0 ELSE score END AS align FROM cand c JOIN cand_score USING (path)) {_FUZZY_TOP}""", "search_fuzzy")(_search("rdblt9", True))
+query(f"""WITH RECURSIVE {X.SQL_ENTRIES}, cand AS (SELECT * FROM ready WHERE {' AND '.join(map(_in_order, ('bl', 'wdg', 'txt')))}), one AS (FROM cand), two AS (FROM cand), {_alignment('bl')}, {_alignment('wdg', 'one')}, {_alignment('txt', 'two')},
+    hits AS (SELECT c.*, CASE WHEN contains(name_fold, 'bl') AND contains(name_fold, 'wdg') AND contains(name_fold, 'txt') THEN 2 ELSE 3 END AS class, CASE WHEN contains(name_fold, 'bl') AND contains(name_fold, 'wdg') AND contains(name_fold, 'txt') THEN 0 ELSE a.score + b.score + d.score END AS align
+        FROM cand c JOIN cand_score a USING (path) JOIN one_score b USING (path) JOIN two_score d USING (path)) {_FUZZY_TOP}""", "search_fuzzy_terms")(_search("bl wdg txt", True))
+
+
+@query(f"WITH RECURSIVE {X.SQL_ENTRIES}, cand AS (SELECT * FROM ready WHERE {_in_order('et1')}), {_alignment('et1')} SELECT path, score::INT AS score, round(greatest(0, least(1.0, score / (3 * 28.0))), 6) AS share FROM cand_score")
+def term_scores(spark, sf):
+    t, rows = M.term("eT1"), search.prepared(X.entries(spark, sf))
+    found = rows.where(M.is_subsequence(F.col("name"), t)).select("path", M.term_score(F.col("name"), t).alias("score"))
+    return found.select("path", "score", F.round(M.normalize_score(F.col("score"), 3), 6).alias("share"))
+
+
+_MANY = ["Bolt", "re", "gear_1", "zzqx", "a"]
+
+
+@query(f"WITH {X.SQL_ENTRIES}, q AS (SELECT unnest({_MANY}) AS query), met AS (SELECT q.query, r.*, CASE WHEN name_fold = lower(query) THEN 0 WHEN starts_with(name_fold, lower(query)) THEN 1 ELSE 2 END AS class FROM q JOIN ready r ON contains(name_fold, lower(query))) SELECT query, (row_number() OVER (PARTITION BY query ORDER BY class, is_dir DESC, path_len, numkey, path))::BIGINT AS rank, path, name, is_dir, class::INT AS class FROM met QUALIFY rank <= 20")
+def search_many(spark, sf):
+    return search.search_many(X.entries(spark, sf), _MANY, 20)
 
 
 @query(f"""WITH {X.SQL_ENTRIES} SELECT path, CASE WHEN contains(name_fold, 'bolt') THEN 2 ELSE 3 END AS class FROM ready WHERE regexp_matches(name_fold, '(?s)^[^b]*b[^o]*o[^l]*l[^t]*t')""")
@@ -74,7 +114,13 @@ def match_tiers(spark, sf):
     return X.entries(spark, sf).where("lower(name) <> 'medium'").select("name", M.tier(F.col("name"), M.term("Gizmo")).cast("int").alias("tier"))
 
 
-@query("""SELECT c_custkey, 3 AS tier, 1 AS field FROM customer WHERE starts_with(lower(c_mktsegment), 'build') AND contains(c_name, '#00')""")
+def _tiers(term: str) -> str:
+    """SQL: the best tier of a term over both fields, with the earliest field that has it."""
+    one = "CASE WHEN {f} = '{t}' THEN 1 WHEN starts_with({f}, '{t}') THEN 2 WHEN regexp_matches({f}, '(^|[^\\p{{L}}\\p{{Nd}}]){t}') THEN 3 WHEN contains({f}, '{t}') THEN 4 ELSE 6 END"
+    return "least(" + ", ".join(f"10 * ({one.format(f=f'lower({c})', t=term)}) + {i}" for i, c in enumerate(("c_name", "c_mktsegment"))) + ")"
+
+
+@query(f"SELECT c_custkey, (greatest(a, b) // 10)::INT AS tier, greatest(a % 10, b % 10)::INT AS field FROM (SELECT c_custkey, {_tiers('build')} AS a, {_tiers('00')} AS b FROM customer) WHERE greatest(a, b) < 60")
 def match_two_fields(spark, sf):
     rows = X.table(spark, sf, "customer").withColumn("m", M.match_fields([F.col("c_name"), F.col("c_mktsegment")], M.terms("build 00"), False)).where("m is not null")
     return rows.select("c_custkey", F.col("m.tier").alias("tier"), F.col("m.field").alias("field"))
@@ -275,7 +321,9 @@ def parsed_commands(spark, sf):
     return X.events(spark, sf).select("event_id", web.parse_command(text).alias("c")).where("c is not null").select("event_id", "c.*")
 
 
-@query("""SELECT DISTINCT event_type AS name, CASE event_type WHEN 'view' THEN 'viewer' WHEN 'click' THEN 'mouse' WHEN 'signup' THEN 'forms' END AS provider FROM events""")
+@query("""WITH n AS (SELECT DISTINCT event_type AS name FROM events), c AS (SELECT * FROM (VALUES ('view', 'viewer', ['v']), ('viewer', 'other', []), ('mouse', 'mouse', ['click']), ('signup_form', 'forms', []), ('error_a', 'a', []), ('error_b', 'b', [])) t(command, provider, aliases)),
+    o AS (SELECT name, provider FROM n JOIN c ON starts_with(command, name) QUALIFY count(*) OVER (PARTITION BY name) = 1)
+    SELECT name, coalesce((SELECT provider FROM c WHERE command = name), (SELECT min(provider) FROM c WHERE list_contains(aliases, name)), (SELECT provider FROM o WHERE o.name = n.name)) AS provider FROM n""")
 def resolved_commands(spark, sf):
     names = X.events(spark, sf).select(F.col("event_type").alias("name")).distinct()
     commands = spark.createDataFrame([("view", "viewer", ["v"]), ("viewer", "other", []), ("mouse", "mouse", ["click"]), ("signup_form", "forms", []), ("error_a", "a", []), ("error_b", "b", [])], "command string, provider string, aliases array<string>")
@@ -365,12 +413,13 @@ def changed_directories(spark, sf):
 
 
 @query("""WITH s AS (SELECT user_id, event_id, sum(value) OVER w + event_id AS total, sum(CASE WHEN event_type = 'error' THEN -value ELSE value / 2 END) OVER w AS busy FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
-    d AS (SELECT user_id, event_id, total - lag(total) OVER w AS dt, busy - lag(busy) OVER w AS db FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-    SELECT event_id, round(CASE WHEN dt > 0 AND db >= 0 THEN least(100.0, 100.0 * db / dt) END, 4) AS pct FROM d""")
+    d AS (SELECT user_id, event_id, total - lag(total) OVER w AS dt, busy - lag(busy) OVER w AS db, event_id - lag(event_id) OVER w AS age FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    r AS (SELECT *, CASE WHEN dt > 0 AND db >= 0 AND age <= 300 THEN least(100.0, 100.0 * db / dt) END AS pct FROM d)
+    SELECT event_id, round(pct, 4) AS pct, round(last_value(pct IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS shown_pct FROM r""")
 def busy_rates(spark, sf):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = X.events(spark, sf).select("user_id", "event_id", F.col("event_id").alias("ts"), (F.sum("value").over(w) + F.col("event_id")).alias("total"), F.sum(F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value") / 2)).over(w).alias("busy"))
-    return series.busy_rates(rows, ["user_id"]).select("event_id", F.round("pct", 4).alias("pct"))
+    return series.busy_rates(rows, ["user_id"], 100).select("event_id", F.round("pct", 4).alias("pct"), F.round("shown_pct", 4).alias("shown_pct"))
 
 
 @query("""WITH s AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, (props->>'k')::INT AS b FROM events), d AS (SELECT *, t - lag(t) OVER w AS dt, b - lag(b) OVER w AS db FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)),
@@ -381,10 +430,56 @@ def counter_rates(spark, sf):
     return series.counter_rates(rows, ["user_id"], 30000.0).select("event_id", F.round("rate", 8).alias("rate"), F.round("shown_rate", 8).alias("shown_rate"))
 
 
-@query("WITH RECURSIVE t(pid, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT c_custkey, depth + 1 FROM t JOIN customer ON c_custkey // 3 = pid AND c_custkey > 1 WHERE depth < 5) SELECT pid, depth FROM t")
+@query("WITH RECURSIVE t(pid, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT c_custkey, depth + 1 FROM t JOIN customer ON c_custkey // 3 = pid AND c_custkey > 1 WHERE depth < 32) SELECT pid, depth FROM t")
 def process_tree(spark, sf):
     edges = X.table(spark, sf, "customer").where("c_custkey > 1").select(F.col("c_custkey").alias("pid"), F.expr("c_custkey div 3").alias("ppid"))
-    return series.descendants(edges, 1, 5)
+    return series.descendants(edges, 1).select("pid", "depth")
+
+
+_PROCESSES = """p AS (SELECT c_custkey AS pid, c_custkey // 3 AS ppid, CASE WHEN c_custkey % 7 = 4 THEN c_custkey * 3 ELSE -1 END AS tpgid, CASE WHEN c_nationkey % 3 = 0 THEN '/' ELSE '/w/' || c_nationkey || '/' || c_custkey END AS cwd FROM customer),
+    t(root, pid, depth, way) AS (SELECT r, r, 0, [r] FROM (SELECT unnest([1, 2, 5, 80])::BIGINT AS r) UNION ALL SELECT root, p.pid, depth + 1, list_append(way, p.pid) FROM t JOIN p ON p.ppid = t.pid AND p.pid > 1 WHERE depth < 32)"""
+
+
+def _processes(spark, sf):
+    far = F.when(F.col("c_custkey") % 7 == 4, F.col("c_custkey") * 3).otherwise(-1)
+    cwd = F.when(F.col("c_nationkey") % 3 == 0, "/").otherwise(F.concat(F.lit("/w/"), "c_nationkey", F.lit("/"), "c_custkey"))
+    return X.table(spark, sf, "customer").where("c_custkey > 1 or c_custkey = 1").select(F.col("c_custkey").alias("pid"), F.when(F.col("c_custkey") > 1, F.expr("c_custkey div 3")).alias("ppid"), far.alias("tpgid"), cwd.alias("cwd"))
+
+
+@query(f"WITH RECURSIVE {_PROCESSES} SELECT root, tpgid AS \"group\" FROM t JOIN p USING (pid) WHERE tpgid > 0 QUALIFY row_number() OVER (PARTITION BY root ORDER BY depth, way) = 1")
+def foreground_processes(spark, sf):
+    rows = _processes(spark, sf)
+    return reduce(DataFrame.union, (series.foreground(rows, r).select(F.lit(r).cast("long").alias("root"), "group") for r in (1, 2, 5, 80)))
+
+
+@query(f"""WITH RECURSIVE {_PROCESSES}, f AS (SELECT root, tpgid FROM t JOIN p USING (pid) WHERE tpgid > 0 QUALIFY row_number() OVER (PARTITION BY root ORDER BY depth, way) = 1),
+    c AS (SELECT root, cwd, -1 AS o, [0::BIGINT] AS way FROM f JOIN p ON p.pid = f.tpgid WHERE cwd <> '/' UNION ALL SELECT root, cwd, 1000 - depth, way FROM t JOIN p USING (pid) WHERE cwd <> '/')
+    SELECT root, cwd FROM c QUALIFY row_number() OVER (PARTITION BY root ORDER BY o, way) = 1""")
+def working_directories(spark, sf):
+    rows = _processes(spark, sf)
+    return reduce(DataFrame.union, (series.working_directory(rows, r, "/home/u").select(F.lit(r).cast("long").alias("root"), "cwd") for r in (1, 2, 5, 80)))
+
+
+_KINDS = ["ext4", "overlay", "squashfs", "tmpfs", "proc", "sshfs", "fuse", "fuse.rclone", "nfs4", "xfs", "davfs", "rpc_pipefs", "fuseblk"]
+_MOUNTS = f"""m AS (SELECT p_partkey AS ord, '/r/' || (['a', 'b', 'ab'])[p_partkey % 3 + 1] || '/' || p_partkey % 4 || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '/m ' || p_partkey END || CASE WHEN p_partkey % 11 = 0 THEN '/x*' ELSE '' END AS path, ({_KINDS})[p_size % 13 + 1] AS kind FROM part),
+    k AS (SELECT *, kind IN ('tmpfs', 'proc', 'sshfs', 'fuse', 'fuse.rclone', 'nfs4', 'davfs', 'rpc_pipefs') AS skipped, path IN ('/r/a', '/r/b/2') AS root, starts_with(path, '/r/a/') OR starts_with(path, '/r/b/2/') AS under FROM m)"""
+
+
+def _mounts(spark, sf):
+    key = F.col("p_partkey")
+    path = F.concat(F.lit("/r/"), F.element_at(F.array(*map(F.lit, ("a", "b", "ab"))), (key % 3 + 1).cast("int")), F.lit("/"), key % 4, F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("/m\\040"), key)), F.when(key % 11 == 0, "/x*").otherwise(""))
+    line = F.concat(F.lit("dev"), key, F.lit(" "), path, F.lit(" "), F.element_at(F.array(*map(F.lit, _KINDS)), F.col("p_size") % 13 + 1), F.lit(" rw,noatime 0 0"))
+    return series.mounts(X.table(spark, sf, "part").select(key.alias("ord"), line.alias("value")))
+
+
+@query(f"WITH {_MOUNTS} SELECT path FROM k WHERE skipped AND under AND NOT root AND NOT contains(path, '*') ORDER BY ord LIMIT 100")
+def mount_skips(spark, sf):
+    return series.mount_skips(_mounts(spark, sf), ["/r/a", "/r/b/2"], 100)
+
+
+@query(f"WITH {_MOUNTS} SELECT ord, path, kind FROM k WHERE NOT skipped AND (under OR root)")
+def real_mounts(spark, sf):
+    return series.real_mounts(_mounts(spark, sf), ["/r/a/", "/r/b/2"]).select("ord", "path", "kind")
 
 
 @query("""WITH s AS (SELECT o_orderkey AS key, (o_totalprice)::BIGINT AS size, o_orderdate AS used FROM orders), n AS (SELECT * FROM s WHERE size + 256 <= 2000000 ORDER BY used DESC, key LIMIT 64)
@@ -407,7 +502,7 @@ def human_sizes(spark, sf):
     return X.table(spark, sf, "part").select("p_partkey", P.human_size(F.col("p_partkey") * F.col("p_size") * 40).alias("size"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, true AS web FROM pages")
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_matches(url, '^https?://[^/:?#]') AS web FROM pages")
 def url_parts(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", P.url_host(F.col("url")).alias("host"), P.is_web_url(F.col("url")).alias("web"))
 
@@ -500,3 +595,73 @@ def net_counters(spark, sf):
     name = F.when(F.col("event_type") == "error", "veth0").otherwise("eth0")
     value = F.concat(F.lit("  "), name, F.lit(": "), F.col("event_id"), F.lit(" 1 0 0  0 0 0 0 "), F.col("k"), F.lit(" 2 0 0 0 0 0 0"))
     return system.net_counters(X.events(spark, sf).select("user_id", value.alias("value")), ["user_id"])
+
+
+_GLOBS = [("*.txt", "text/plain", 50, False), ("*.TXT", "text/loud", 60, True), ("9.txt", "text/none", 50, False), ("*9.txt", "text/nine", 10, False), ("red_bolt_*", "bolt/red", 40, False), ("*_[0-3]?.md", "text/note", 70, False), ("*[ag]e*", "other/age", 30, False), ("economy", "dir/cheap", 50, False), ("SMALL", "dir/small", 50, True), ("bad[", "never/this", 90, False)]
+
+
+@query(f"""WITH {X.SQL_ENTRIES} SELECT DISTINCT parent_dir, name, CASE WHEN name = 'SMALL' THEN 'dir/small' WHEN name_fold = 'economy' THEN 'dir/cheap' WHEN ends_with(name_fold, '9.txt') THEN 'text/nine' WHEN ends_with(name, '.TXT') THEN 'text/loud' WHEN ends_with(name_fold, '.txt') THEN 'text/plain'
+    WHEN regexp_matches(name_fold, '_[0-3].\\.md$') THEN 'text/note' WHEN starts_with(name_fold, 'red_bolt_') THEN 'bolt/red' WHEN regexp_matches(name_fold, '[ag]e') THEN 'other/age' END AS type FROM entries""")
+def types_of_globs(spark, sf):
+    globs = spark.createDataFrame([(*g, i) for i, g in enumerate(_GLOBS)], "glob string, type string, weight int, cs boolean, ord int")
+    entries = X.entries(spark, sf)
+    return entries.join(web.types_of_globs(entries.select("name").distinct(), globs), "name").select("parent_dir", "name", "type")
+
+
+@query("""SELECT DISTINCT p_type AS name, CASE lower(p_type) WHEN 'small' THEN ['image-small', 'image-x-generic'] WHEN 'economy' THEN ['application-economy', 'money', 'application-x-generic'] ELSE ['x-' || lower(p_type), 'application-x-generic'] END::VARCHAR AS icons FROM part""")
+def icon_names(spark, sf):
+    low = F.lower("p_type")
+    kind = F.concat(F.when(low == "small", "image/").when(low == "economy", "application/").otherwise("x/"), low)
+    names = web.icon_names(kind, {"application/economy": "money", "image/small": "image-small"})
+    return X.table(spark, sf, "part").select(F.col("p_type").alias("name"), F.concat(F.lit("["), F.array_join(names, ", "), F.lit("]")).alias("icons")).distinct()
+
+
+@query("""WITH n AS (SELECT p_partkey, p_partkey % 4 AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
+    SELECT p_partkey, array_to_string(CASE k WHEN 0 THEN [a, b] WHEN 1 THEN [a || ' ' || b, '--x=' || b || '%', '%z'] WHEN 2 THEN ['', a || '"' || b, 'a\\', 'q' || a || ' r' || b] ELSE [a, '-i', b || '%'] END, '|') AS arguments FROM n""")
+def exec_arguments(spark, sf):
+    part = X.table(spark, sf, "part")
+    a, b, k = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_partkey") % 4
+    lines = [(a, " %U \t", b, "  %f"), ('"', a, " ", b, '" --x=', b, "%% %z %F"), ('"" "', a, '\\"', b, '" "a\\\\" q"', a, ' r"', b), (a, " -i%i ", b, "%% %c%k")]
+    made = [F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in line)) for line in lines]
+    line = F.when(k == 0, made[0]).when(k == 1, made[1]).when(k == 2, made[2]).otherwise(made[3])
+    return part.select("p_partkey", F.array_join(web.exec_arguments(line), "|").alias("arguments"))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || repeat(chr(7), (length(text) // 3)::INT) WHEN 2 THEN text || repeat(chr(2), length(text)::INT) ELSE '' END AS t, source || '.' || (['PY', 'tar.gz', 'md', 'png'])[doc_id % 4 + 1] AS path, text FROM documents),
+    n AS (SELECT *, coalesce(strlen(t), 0) AS size, coalesce(length(t) - length(regexp_replace(t, '[\\x01-\\x08\\x0e-\\x1f]', '', 'g')), 0) AS bad FROM d)
+    SELECT doc_id, CASE WHEN size = 0 THEN false ELSE bad / size > 0.3 END AS "binary", size > 2048 AS truncated, size::BIGINT AS size, CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 2 THEN 'markdown' ELSE '' END AS language, CASE WHEN doc_id % 7 = 0 THEN 'directory' WHEN doc_id % 4 = 3 THEN 'image' WHEN doc_id % 4 = 1 THEN 'file' ELSE 'text' END AS kind FROM n""")
+def text_heads(spark, sf):
+    k, text = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
+    content = F.when(k == 0, text).when(k == 1, F.concat(text, F.repeat(F.lit("\x07"), F.expr("cast(length(text) div 3 as int)")))).when(k == 2, F.concat(text, F.repeat(F.lit("\x02"), F.length("text")))).otherwise("").cast("binary")
+    path = F.concat("source", F.lit("."), F.element_at(F.array(*map(F.lit, ("PY", "tar.gz", "md", "png"))), (k + 1).cast("int")))
+    rows = X.table(spark, sf, "documents").select("doc_id", content.alias("content"), path.alias("path"))
+    head = heads.capped(F.col("content"), 2)
+    return rows.select("doc_id", heads.is_binary(F.col("content")).alias("binary"), head["truncated"].alias("truncated"), head["size"].alias("size"), heads.language(F.col("path")).alias("language"), heads.kind(F.col("path"), F.col("doc_id") % 7 == 0, F.lit(False)).alias("kind"))
+
+
+@query(f"""WITH {X.SQL_EVENTS}, r AS (SELECT user_id AS query, event_type AS source, (user_id % 3 - 1)::INT AS priority, event_id AS ord, value AS model FROM ev WHERE k % 4 <> 0), f AS (SELECT user_id AS query, max(value) AS file FROM ev WHERE k % 4 = 0 AND user_id % 5 <> 0 GROUP BY 1),
+    b AS (SELECT *, max(model) OVER (PARTITION BY query, source) AS best, row_number() OVER (PARTITION BY query, source ORDER BY model DESC, ord) AS place FROM r)
+    SELECT ord, place, CASE WHEN priority <= 0 AND best > file THEN 1 ELSE priority END AS priority FROM b LEFT JOIN f USING (query)""")
+def arbitrated_sections(spark, sf):
+    ev = X.events(spark, sf)
+    rows = ev.where("k % 4 <> 0").select(F.col("user_id").alias("query"), F.col("event_type").alias("source"), (F.col("user_id") % 3 - 1).cast("int").alias("priority"), F.col("event_id").alias("ord"), F.col("value").alias("model"))
+    return arbiter.arbitrate(rows, ev.where("k % 4 = 0 and user_id % 5 <> 0").select(F.col("user_id").alias("query"), F.col("value").alias("model"))).select("ord", "place", "priority")
+
+
+@query(f"""WITH {X.SQL_IMPRESSIONS}, p AS (SELECT imp, '/f' || event_id AS path, pos FROM imps WHERE picked UNION ALL SELECT -1, '/none', 0) SELECT p.imp, i.imp IS NOT NULL AS joined, coalesce(n, 0)::INT AS n_shown, i.first AS first, CASE WHEN n IS NOT NULL THEN pos::INT END AS picked_rank, path AS picked_path
+    FROM p LEFT JOIN (SELECT imp, count(*) AS n, '/f' || min_by(event_id, pos) AS first FROM imps GROUP BY imp) i USING (imp)""")
+def pick_records(spark, sf):
+    rows = X.impressions(spark, sf).select("imp", "ts", F.lit("q").alias("query"), F.col("pos").alias("rank"), F.concat(F.lit("/f"), "event_id").alias("path"), F.col("value").alias("boost"), "picked")
+    picks = rows.where("picked").select("imp", "path", F.lit("open").alias("action")).union(spark.createDataFrame([(-1, "/none", "open")], "imp long, path string, action string"))
+    made = arbiter.pick_records(rows.drop("picked"), picks).withColumn("r", F.from_json("value", "v int, query string, joined boolean, shown array<struct<rank:int,path:string,boost:double>>, picked struct<rank:int,path:string,action:string>"))
+    return made.select("imp", "r.joined", F.size("r.shown").alias("n_shown"), F.get("r.shown", F.lit(0))["path"].alias("first"), F.col("r.picked.rank").alias("picked_rank"), F.col("r.picked.path").alias("picked_path"))
+
+
+@query(f"""WITH {X.SQL_OPENS}, u AS (SELECT 'desktop:s' || user_id % 40 AS key, sum(pow(2.0, -{_AGE} / (14 * 86400.0))) AS n FROM opens GROUP BY 1), a AS (SELECT s_suppkey, s_name, coalesce(round(n * 1000), 0)::BIGINT AS tie_break FROM supplier LEFT JOIN u ON key = 'desktop:s' || s_suppkey)
+    SELECT s_suppkey, tie_break, (row_number() OVER (ORDER BY tie_break DESC, lower(s_name), s_name))::BIGINT AS rank FROM a WHERE contains(lower(s_name), 'supp') QUALIFY rank <= 50""")
+def ranked_applications(spark, sf):
+    opens = X.opens(spark, sf).select(F.concat(F.lit("desktop:s"), F.col("user_id") % 40).alias("path"), "ts")
+    counts = usage.open_counts(opens, F.lit(opens.agg(F.max("ts")).head()[0])).select(F.col("path").alias("key"), F.col("boost").alias("n"))
+    apps = X.table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("run "), "s_name").alias("exec"))
+    rows = providers.applications(apps, counts).withColumns({"hint": F.lit(0.0), "ord": F.col("s_suppkey").cast("int")})
+    return ranking.rank_matched(rows, [F.col("display")], "supp", limit=50).select("s_suppkey", "tie_break", "rank")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.matching import glob_pattern
+
+
+#: Rows that are handed over at once, about.
+BATCH = 10_000
+
 
 def outermost_roots(roots: list[str]) -> list[str]:
     """Absolute roots that lie in no other, the shortest first."""
@@ -27,10 +34,12 @@ class _Part(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.roots = outermost_roots([r for r in options.get("roots", options.get("path", "")).split(",") if r])
-        self.excludes = [g for g in options.get("excludes", "").split(",") if g]
+        globs = [g for g in options.get("excludes", "").split(",") if g]
+        # the same patterns as the filters have, in Python's notation
+        self.excludes = [("/" in g, re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), glob_pattern(g)), re.S)) for g in globs]
 
     def _out(self, path: str, name: str) -> bool:
-        return any(fnmatch.fnmatchcase(path if "/" in g else name, g) for g in self.excludes)
+        return any(pattern.match(path if whole else name) for whole, pattern in self.excludes)
 
     def partitions(self):
         parts = []
@@ -41,21 +50,24 @@ class _Reader(DataSourceReader):
         return parts
 
     def read(self, part: _Part):
-        open_ = [part.path]
+        open_, rows = [part.path], []
         while open_:
             here = open_.pop()
             try:
                 found = sorted(os.scandir(here), key=lambda e: e.name)
             except OSError:
-                continue  # a directory that can't be read has no rows
+                found = []  # a directory that can't be read has no rows
             for e in found:
                 if self._out(e.path, e.name):
                     continue
                 is_dir = e.is_dir(follow_symlinks=False)
                 stat = e.stat(follow_symlinks=False)
-                yield here, e.name, is_dir, max(stat.st_atime, stat.st_mtime)
+                rows.append((here, e.name, is_dir, max(stat.st_atime, stat.st_mtime)))
                 if is_dir and part.deep:
                     open_.append(e.path)
+            if len(rows) >= BATCH or (rows and not open_):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.bool_(), pa.float64()))], ["parent_dir", "name", "is_dir", "recent"])
+                rows = []
 
 
 class TreeSource(DataSource):
