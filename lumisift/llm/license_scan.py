@@ -1,23 +1,26 @@
-"""Licence scans: TF-IDF cosine of lines to licence templates, then inheritance from the nearest ancestor directory.
+"""Licence scans: TF-IDF cosine of headers and licence files to licence templates, then inheritance from the nearest ancestor directory.
 
-Every line of every file is a candidate for a header. Its terms are lower-cased runs of letters, digits and dots; inverse document
-frequencies of the templates' terms are counted over all files, and a term of no template weighs as one that no file has. A
-file's own licence is the template of the highest cosine over its lines, if that reaches ``threshold``. Lines without any of the
-seeds can't reach it (by the Cauchy-Schwarz bound on what is left of each template), so only files that hold a seed are cut into lines.
+Candidates of every file are its lines, the sentences of its lines, its leading block (the lines before the first blank one, joined) and, of files named
+like licence files, the whole text. Their terms are lower-cased runs of letters, digits and dots, weighed by inverse document frequencies
+that are counted over all files. A file's own licence is the template of the highest cosine over its candidates, if that reaches ``threshold``.
+Candidates without any of the seeds can't reach it (by the Cauchy-Schwarz bound on what is left of each template), so only files that
+hold a seed are cut up.
 
-A licence file is one whose own licence stands in its first line that isn't blank, or that is named like one (LICENSE, COPYING ...); it speaks for
-its directory and all below that have none nearer. Files without a licence of their own take that of the nearest
+A licence file is one whose own licence stands in its first line that isn't blank, in its leading block or in its whole text, or that is named like one
+(LICENSE, COPYING ...); it speaks for its directory and all below that have none nearer. Files without a licence of their own take that of the nearest
 ancestor directory: the distinct directories, each with its few ancestors, are joined by path to those that have one.
 
 Null and empty texts have no own licence, null paths no directory. Ties: the template listed first, and in a directory the licence file of
-the highest cosine, then of the smallest path. Repeated rows are files each. An empty table gives an empty result.
+the highest cosine, then of the smallest path. Equal texts have one own licence, whole if one of them is named like a licence file. Repeated rows are files
+each. Very long texts are read whole. Other columns than path, text and those of ``carry`` are ignored; a carried column with the name of a
+result column gives way to it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import stored
@@ -36,6 +39,18 @@ TEMPLATES = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("All-rights-reserved", "All rights reserved."),
+    ("All-rights-reserved", "Copyright (c) 2000 Company. All rights reserved."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."),
 ]
 #: Names of licence files.
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.\-_].*)?$"
@@ -54,21 +69,24 @@ def parent(path: Column) -> Column:
     return F.when((path == "/") | ~path.contains("/"), None).when(head == "", "/").otherwise(head)
 
 
-def _weights(spark: SparkSession, texts: DataFrame, templates: list[tuple[str, str]]) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]], float]:
-    """Inverse document frequencies, unit vectors of the templates, and the weight of a term that no file has."""
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """(term, df): in how many texts each term stands."""
+    return texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _vectors(frequencies: DataFrame, total: int, templates: list[tuple[str, str]]) -> list[tuple[str, dict[str, float]]]:
+    """Unit vectors of the templates."""
+    spark = frequencies.sparkSession
     rows = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(templates)], "template int, license string, text string")
     split = [(r["template"], r["license"], r["w"]) for r in rows.select("template", "license", words(F.col("text")).alias("w")).collect()]  # templates only
-    vocabulary = sorted({w for *_, ws in split for w in ws})
-    total = texts.count()
-    known = F.array(*(F.lit(w) for w in vocabulary))
-    counts = {r["term"]: r["df"] for r in texts.select(F.explode(F.array_intersect(words(F.col("text")), known)).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term of the templates
-    idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in vocabulary}
+    vocabulary = spark.createDataFrame([(w,) for w in sorted({w for *_, ws in split for w in ws})], "term string")
+    counts = {r["term"]: r["df"] for r in frequencies.join(F.broadcast(vocabulary), "term").collect()}  # a row for each term of the templates
     vectors = []
     for _, name, ws in sorted(split):
-        vector = {w: ws.count(w) * idf[w] for w in ws}
+        vector = {w: ws.count(w) * (math.log((1 + total) / (1 + counts.get(w, 0))) + 1) for w in ws}
         size = math.sqrt(sum(v * v for v in vector.values()))
         vectors.append((name, {w: v / size for w, v in vector.items()}))
-    return idf, vectors, math.log(1 + total) + 1
+    return vectors
 
 
 def _seeds(vectors: list[tuple[str, dict[str, float]]], threshold: float) -> list[str]:
@@ -92,32 +110,43 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     licence files.
     """
     spark = files.sparkSession
-    rows = files.select(F.col("path").cast("string").alias("path"), *carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    idf, vectors, rarest = _weights(spark, rows.select("text"), templates)
-    pattern = r"(?i)(?<![\p{L}\p{N}])(" + "|".join(w.replace(".", r"\.") for w in _seeds(vectors, threshold)) + r")(?![\p{L}\p{N}])"
+    carry = tuple(c for c in carry if c not in ("path", "text", "own_license", "own_cosine", "license", "inherited_from", "levels"))
+    named = F.coalesce(F.regexp_extract(F.col("path").cast("string"), "([^/]*)$", 1).rlike(FILE_NAMES), F.lit(False))
+    rows = files.select(F.col("path").cast("string").alias("path"), *(F.col(c).alias(f"carried_{c}") for c in carry), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), named.alias("named"))
+    frequencies = stored(document_frequencies(rows))
+    total = rows.count()
+    vectors = _vectors(frequencies, total, templates)
+    seeds = F.array(*(F.lit(w) for w in _seeds(vectors, threshold)))
     # each row of a few templates and their terms
     weights = spark.createDataFrame([(w, i, v) for i, (_, vector) in enumerate(vectors) for w, v in vector.items()], "term string, template int, weight double")
-    known = spark.createDataFrame(list(idf.items()), "term string, idf double")
     names = F.create_map(*(x for i, (name, _) in enumerate(vectors) for x in (F.lit(i), F.lit(name))))
 
     # the text itself stands for its licence: equal texts are scanned once
-    texts = rows.select(F.xxhash64("text", F.lit(1)).alias("t1"), F.xxhash64("text", F.lit(2)).alias("t2"), "text").where(F.col("text").rlike(pattern))
-    lines = texts.select("t1", "t2", F.posexplode(F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "")).alias("line", "body")).where(F.col("body").rlike(pattern)).dropDuplicates(["t1", "t2", "line"])
-    counted = lines.select("t1", "t2", "line", F.explode(words(F.col("body"))).alias("term")).groupBy("t1", "t2", "line", "term").agg(F.count("*").alias("tf"))
-    weighed = counted.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rarest)))
-    norms = weighed.groupBy("t1", "t2", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(weights), "term").groupBy("t1", "t2", "line", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    texts = rows.select(F.xxhash64("text", F.lit(1)).alias("t1"), F.xxhash64("text", F.lit(2)).alias("t2"), "text", "named").where(F.arrays_overlap(words(F.col("text")), seeds))
+    lines = F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "")
+    of_lines = F.flatten(F.transform(lines, lambda x, i: F.transform(F.array_distinct(F.concat(F.array(x), F.split(x, r"(?<=[.;!?])\s+"))), lambda y: F.struct(y.alias("body"), (i == 0).alias("first")))))
+    leading = F.regexp_extract("text", r"(?s)^\s*(.*?)(\r?\n[ \t]*\r?\n|$)", 1)
+    whole = F.when(F.col("named"), F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    units = F.array_distinct(F.concat(of_lines, F.transform(F.concat(F.array(leading), whole), lambda y: F.struct(y.alias("body"), F.lit(True).alias("first")))))
+    units = texts.select("t1", "t2", F.explode(units).alias("u")).select("t1", "t2", "u.first", words(F.col("u.body")).alias("terms")).where(F.arrays_overlap("terms", seeds))
+    units = units.select("t1", "t2", "first", F.array_sort("terms").alias("terms")).groupBy("t1", "t2", "terms").agg(F.max("first").alias("first"))
+    units = stored(units.select("t1", "t2", F.xxhash64("terms").alias("unit"), "first", "terms"))
+    counted = units.select("t1", "t2", "unit", "first", F.explode("terms").alias("term")).groupBy("t1", "t2", "unit", "first", "term").agg(F.count("*").alias("tf"))
+    weighed = counted.join(frequencies, "term").withColumn("w", F.col("tf") * (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1))
+    norms = weighed.groupBy("t1", "t2", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(F.broadcast(weights), "term").groupBy("t1", "t2", "unit", "first", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    best = dots.join(norms, ["t1", "t2", "line"]).withColumn("cosine", cosine).where(F.col("cosine") >= threshold).groupBy("t1", "t2").agg(F.max(F.struct("cosine", -F.col("template"), -F.col("line"))).alias("b"))
-    best = stored(best.select("t1", "t2", F.col("b.cosine").alias("own_cosine"), names[-F.col("b.col2")].alias("own_license"), (F.col("b.col3") == 0).alias("first")))
+    best = dots.join(norms, ["t1", "t2", "unit"]).withColumn("cosine", cosine).where(F.col("cosine") >= threshold).groupBy("t1", "t2").agg(F.max(F.struct("cosine", -F.col("template"), "first")).alias("b"))
+    best = stored(best.select("t1", "t2", F.col("b.cosine").alias("own_cosine"), names[-F.col("b.col2")].alias("own_license"), F.col("b.first").alias("first")))
 
-    found = rows.select("path", *carry, F.xxhash64("text", F.lit(1)).alias("t1"), F.xxhash64("text", F.lit(2)).alias("t2")).join(best, ["t1", "t2"], "left").drop("t1", "t2").withColumn("dir", parent(F.col("path")))
+    held = [f"carried_{c}" for c in carry]
+    found = rows.select("path", *held, "named", F.xxhash64("text", F.lit(1)).alias("t1"), F.xxhash64("text", F.lit(2)).alias("t2")).join(best, ["t1", "t2"], "left").drop("t1", "t2").withColumn("dir", parent(F.col("path")))
     found = stored(found)
-    speaks = found.where(F.col("own_license").isNotNull() & (F.lit(any_header) | F.col("first") | F.regexp_extract("path", "([^/]*)$", 1).rlike(FILE_NAMES))).where("dir is not null")
+    speaks = found.where(F.col("own_license").isNotNull() & (F.lit(any_header) | F.col("first") | F.col("named"))).where("dir is not null")
     declared = speaks.groupBy("dir").agg(F.min(F.struct(-F.col("own_cosine"), "path", "own_license")).alias("d")).select(F.col("dir").alias("above"), F.col("d.own_license").alias("given"))
     # a directory and its ancestors, nearest first
     parts = F.split(F.col("dir"), "/")
     ancestors = found.where("dir is not null").select("dir").distinct().select("dir", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts) - F.when(F.col("dir") == "/", 2).otherwise(1)), lambda k: F.when(F.size(parts) - k <= 1, F.when(F.col("dir").startswith("/"), F.lit("/")).otherwise(F.col("dir"))).otherwise(F.array_join(F.slice(parts, 1, F.size(parts) - k), "/")))).alias("levels", "above"))
     nearest = ancestors.join(declared, "above").groupBy("dir").agg(F.min(F.struct("levels", "above", "given")).alias("n")).select("dir", "n.*")
     own = F.col("own_license").isNotNull()
-    return found.join(nearest, "dir", "left").select("path", *carry, "own_license", "own_cosine", F.coalesce("own_license", "given").alias("license"), F.when(~own, F.col("above")).alias("inherited_from"), F.when(~own, F.col("levels")).alias("levels"))
+    return found.join(nearest, "dir", "left").select("path", *(F.col(f"carried_{c}").alias(c) for c in carry), "own_license", "own_cosine", F.coalesce("own_license", "given").alias("license"), F.when(~own, F.col("above")).alias("inherited_from"), F.when(~own, F.col("levels")).alias("levels"))
