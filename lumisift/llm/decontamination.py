@@ -7,10 +7,11 @@ caught. The share of an item's words under tiles is its coverage; a document lea
 reaches ``threshold``.
 
 The benchmark is broadcast in blocks of at most BLOCK_WORDS words, whatever its size; each block
-is one more pass over the documents, in the same job and without a shuffle.
+is one more pass over the documents without a shuffle. Where there are several, the rows are stored after each block and its broadcast is given up.
 
 Null and empty texts leak nothing; null and empty items, and items of fewer than ``least`` words, are never leaked. Repeated items
-count each for itself, as do repeated rows. Where tiles are of equal length, the first in the item goes first, then the first in the text.
+count each for itself, as do repeated rows. Very long texts are read whole. Other columns than those of ``carry`` are ignored; a carried column with the name of
+a result column gives way to it. An empty table gives an empty result. Where tiles are of equal length, the first in the item goes first, then the first in the text.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import lean, small_batches
+from .tables import lean, small_batches, stored
 
 from . import hashing as H
 
@@ -151,7 +152,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 4, thresho
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.length("text"))).head()[0] or 0
     blocks = max(1, -(-size // (2 * BLOCK_WORDS)))  # a word and its separator are two characters or more
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c for c in carry if c not in ("doc_id", "text", "leaks")), F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + f", leaks {LEAKS}"
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
@@ -169,4 +170,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 4, thresho
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, _LEAKS)], [*names, "leaks"])
 
         out = out.mapInArrow(lean(run), schema)
+        if k < blocks - 1:
+            out = stored(out)
+            block.unpersist()
     return out
