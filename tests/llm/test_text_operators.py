@@ -406,3 +406,120 @@ def test_packing_passes_clashing_columns(spark):
     assert {(r.doc_id, r.length, r._rank, r.row, r._part) for r in got} == {(i, 1 + i % 8, i, i, "a") for i in range(300)} and len(got) == 300
     slots = {(r.sequence_id, r.offset + k) for r in got for k in range(r.length)}
     assert len(slots) == sum(r.length for r in got) and max(o for _, o in slots) < 8
+
+
+def brute_cosines(texts, templates):
+    """Per text the best (cosine, template) over lines, sentences and leading block, by plain counts."""
+    import math
+
+    def words(text):
+        return [w for w in re.split(r"[^\w.]+|_+|\.+(?=\D|$)", text.lower()) if w]
+
+    df = {}
+    for t in texts:
+        for w in set(words(t)):
+            df[w] = df.get(w, 0) + 1
+
+    def vector(text):
+        ws = words(text)
+        v = {w: ws.count(w) * (math.log((1 + len(texts)) / (1 + df.get(w, 0))) + 1) for w in ws}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / size for w, x in v.items()}
+
+    known = [(name, vector(t)) for name, t in templates]
+    out = []
+    for t in texts:
+        lines = [x for x in re.split(r"\r?\n", t) if x.strip()]
+        units = {*lines, *(y for x in lines for y in re.split(r"(?<=[.;!?])\s+", x)), re.split(r"\n[ \t]*\n", t.strip())[0]}
+        best = max((round(sum(x * v.get(w, 0) for w, x in vector(u).items()), 6), -i) for u in units for i, (_, v) in enumerate(known))
+        out.append(best if best[0] >= 0.6 else None)
+    return out
+
+
+def test_license_cosines(spark):
+    rng = random.Random(31)
+    plain = [f"word{i}" for i in range(50)] + ["the", "of", "license", "software", "under"]
+
+    def prose(n):
+        return " ".join(rng.choice(plain) for _ in range(n))
+
+    gpl = next(t for k, t in TEMPLATES if k == "GPL-3.0" and "WITHOUT ANY" in t)
+    wrapped = "\n".join("# " + gpl[k : k + 72] for k in range(0, len(gpl), 72))
+    texts = [prose(60) for _ in range(30)] + [f"{prose(9)}. Released under the MIT License. {prose(9)}.", wrapped + "\n\ncode", "This file has been released under the MIT License by its author", "Copyright (c) 2019 Acme Inc. All rights reserved.", prose(5) + "\n\n\nLicensed under CC BY-NC 4.0.", "", "license of the software"]
+    got = {r.path: (r.own_cosine, r.own_license) for r in scan_licenses(spark.createDataFrame([(f"/t/{i:03d}", t) for i, t in enumerate(texts)], "path string, text string"), any_header=True).collect()}
+    want = brute_cosines(texts, TEMPLATES)
+    for i, best in enumerate(want):
+        cosine, name = got[f"/t/{i:03d}"]
+        assert (best is None) == (cosine is None), (texts[i], best, cosine)
+        assert best is None or (abs(cosine - best[0]) < 2e-6 and name == TEMPLATES[-best[1]][0])
+    assert [got[f"/t/{i:03d}"][1] for i in (30, 31, 33, 34)] == ["MIT", "GPL-3.0", "All-rights-reserved", "CC-BY-NC-4.0"]
+
+
+def test_licence_file_as_a_whole(spark):
+    isc = next(t for k, t in TEMPLATES if k == "ISC" and "DISCLAIMS" in t)
+    parts = isc.split(". ")
+    files = [("/a/LICENSE", "ISC License\n\nCopyright 2020 X\n\n" + ".\n\n".join("\n".join(re.findall(".{1,60}(?: |$)", p)) for p in parts), "c", 1), ("/a/b/x", "code", "d", 2)]
+    got = {r.path: r for r in scan_licenses(spark.createDataFrame(files, "path string, text string, license string, term int"), carry=("license", "term")).collect()}
+    assert got["/a/LICENSE"].own_license == "ISC" and got["/a/b/x"].license == "ISC" and got["/a/b/x"].levels == 1 and got["/a/b/x"].term == 2
+
+
+def spark_hash(value, seed=42, size=8):
+    """Spark's xxhash64 of a string, a whole number of so many bytes or a list of those."""
+    import xxhash
+
+    if isinstance(value, list):
+        for x in value:
+            seed = spark_hash(x, seed)
+        return seed
+    data = value.encode() if isinstance(value, str) else value.to_bytes(size, "little", signed=True)
+    h = xxhash.xxh64_intdigest(data, seed=seed % 2**64)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def test_fingerprints_against_brute_force(spark):
+    from lumisift.llm import fingerprints as P
+
+    rng = random.Random(33)
+    vocabulary = [f"t{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(vocabulary[: 300 if i % 3 else 40]) for _ in range(rng.randrange(1, 60))) for i in range(80)] + ["", "only unseen here"]
+    rows = [(3 * i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fingerprints(documents(spark, rows)).collect()}
+
+    def terms(text):
+        return {spark_hash(w) for w in re.split(r"[ \t-\r]+", text.lower()) if w}
+
+    df = {}
+    for t in texts:
+        for w in terms(t):
+            df[w] = df.get(w, 0) + 1
+    low = max(2, -(-len(texts) // 2000))
+    band = {w for w, n in df.items() if low <= n <= max(low, int(len(texts) * P.HIGH))}
+
+    def short(h):
+        return f"{h % 2**32:08x}"
+
+    def fingerprint(text):
+        own = terms(text)
+        met = sorted(own & band)
+        if not met:
+            return [short(spark_hash(sorted(own))) if own else "-"] * len(P.SUBSETS)
+        chosen = [[w for w in met if spark_hash(k, spark_hash(w), 4) % m == 0] for k, m in enumerate(P.SUBSETS)]
+        return [c for c in chosen]
+
+    for i, (doc, text) in enumerate(rows):
+        after = texts[(i + 1) % len(texts)]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        mine = [fingerprint(x) for x in (text, edited, after)]
+        said = [got[doc].fingerprint.split("."), got[doc].edited_fingerprint.split("."), got[rows[(i + 1) % len(rows)][0]].fingerprint.split(".")]
+        for want, have in zip(mine, said):
+            if want and isinstance(want[0], str):
+                assert want == have
+            else:
+                assert [not c for c in want] == [h == "-" for h in have]
+        for k, value in ((1, got[doc].near_edited), (2, got[doc].near_next)):
+            either = [(a, b) for a, b in zip(said[0], said[k]) if a != "-" or b != "-"]
+            assert abs(value - (sum(a == b for a, b in either) / len(either) if either else 1.0)) < 1e-12
+            for a, b, x, y in zip(mine[0], mine[k], said[0], said[k]):
+                if isinstance(a, list) and isinstance(b, list) and a and b:
+                    assert (a == b) == (x == y)
