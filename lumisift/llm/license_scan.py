@@ -74,8 +74,8 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _vectors(frequencies: DataFrame, total: int, templates: list[tuple[str, str]]) -> list[tuple[str, dict[str, float]]]:
-    """Unit vectors of the templates."""
+def _vectors(frequencies: DataFrame, total: int, templates: list[tuple[str, str]]) -> tuple[list[tuple[str, dict[str, float]]], dict[str, int]]:
+    """Unit vectors of the templates, and in how many files their terms stand."""
     spark = frequencies.sparkSession
     rows = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(templates)], "template int, license string, text string")
     split = [(r["template"], r["license"], r["w"]) for r in rows.select("template", "license", words(F.col("text")).alias("w")).collect()]  # templates only
@@ -86,15 +86,15 @@ def _vectors(frequencies: DataFrame, total: int, templates: list[tuple[str, str]
         vector = {w: ws.count(w) * (math.log((1 + total) / (1 + counts.get(w, 0))) + 1) for w in ws}
         size = math.sqrt(sum(v * v for v in vector.values()))
         vectors.append((name, {w: v / size for w, v in vector.items()}))
-    return vectors
+    return vectors, counts
 
 
-def _seeds(vectors: list[tuple[str, dict[str, float]]], threshold: float) -> list[str]:
-    """Terms of which a line must have one to reach the threshold with any template: the rarest of each, until the rest can't."""
+def _seeds(vectors: list[tuple[str, dict[str, float]]], counts: dict[str, int], threshold: float) -> list[str]:
+    """Terms of which a candidate must have one to reach the threshold with any template: those of each that the fewest files have, until the rest can't."""
     seeds: set[str] = set()
     for _, vector in vectors:
         rest = sum(v * v for w, v in vector.items() if w not in seeds)
-        for w, v in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        for w, v in sorted(vector.items(), key=lambda x: (counts.get(x[0], 0), -x[1], x[0])):
             if rest < (threshold - 1e-6) ** 2:
                 break
             if w not in seeds:
@@ -115,8 +115,8 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     rows = files.select(F.col("path").cast("string").alias("path"), *(F.col(c).alias(f"carried_{c}") for c in carry), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), named.alias("named"))
     frequencies = stored(document_frequencies(rows))
     total = rows.count()
-    vectors = _vectors(frequencies, total, templates)
-    seeds = F.array(*(F.lit(w) for w in _seeds(vectors, threshold)))
+    vectors, counts = _vectors(frequencies, total, templates)
+    seeds = F.array(*(F.lit(w) for w in _seeds(vectors, counts, threshold)))
     # each row of a few templates and their terms
     weights = spark.createDataFrame([(w, i, v) for i, (_, vector) in enumerate(vectors) for w, v in vector.items()], "term string, template int, weight double")
     names = F.create_map(*(x for i, (name, _) in enumerate(vectors) for x in (F.lit(i), F.lit(name))))
