@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from .chat_format import rotate_perspectives
 from .decontamination import decontaminate
+from .filter_audit import filter_audit
 from .fingerprints import fingerprints
 from .license_scan import scan_licenses
 from .ngram_join import ngram_join
 from .packing import pieces, place
+from .prefix_trie import prefix_trie, sequences, with_ends
 from .quality import quality
+from .simhash import simhash_join
 from .substring_dedup import substring_dedup
+from .tables import stored
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -92,6 +96,33 @@ def op10_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), width=2048)
 
 
+def op11_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_join(_table(spark, sf_dir, "documents"), shingle=3, seed=42, most=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def rebuilt(every: DataFrame) -> DataFrame:
+    """Sequences (conv_id, ids, sizes) of which each begins with the first h turns of the first conversation of its hundred, h from 0 to 5 by its id."""
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    heads = every.where("conv_id % 100 = 0").select(F.col("conv_id").alias("base"), F.slice("ids", 1, 5).alias("head_ids"), F.slice("sizes", 1, 5).alias("head_sizes"))
+    rows = every.withColumn("h", h).withColumn("base", F.expr("conv_id - conv_id % 100")).join(heads, "base", "left")
+
+    def column(name: str, kind: str):
+        head = F.coalesce(F.slice(f"head_{name}", F.lit(1), F.col("h")), F.array().cast(kind))
+        return F.concat(head, F.slice(name, F.col("h") + 1, F.size(name))).alias(name)
+
+    return rows.select("conv_id", column("ids", "array<binary>"), column("sizes", "array<int>"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, members = prefix_trie(rebuilt(stored(sequences(_table(spark, sf_dir, "conversations")))))
+    return with_ends(nodes, members).drop("turn")
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op2_decontamination": op2_decontamination,
@@ -103,6 +134,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_shortest_pack_first": op10_shortest_pack_first,
+    "op11_simhash_anchors": op11_simhash_anchors,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -138,4 +172,36 @@ ORACLES: dict[str, str] = {
         reach(x, y) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y)
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id
         FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)""",
+    "op12_filter_audit": rf"""
+        WITH words AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+        least AS (SELECT t, min(doc_id) AS d FROM words GROUP BY t),
+        fails AS (SELECT w.doc_id, part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * len(regexp_extract_all(w.t, '[A-Z]')) > 2 * length(w.t) AS c,
+            regexp_matches(w.t, '[#$%&*|]') AS d, coalesce(least.d < w.doc_id, false) AS e,
+            coalesce((SELECT max(quality) FROM labels l WHERE l.doc_id = w.doc_id AND quality = 1), 0) AS good, coalesce((SELECT max(toxic) FROM labels l WHERE l.doc_id = w.doc_id AND toxic = 1), 0) AS toxic
+            FROM words w JOIN least ON least.t = w.t),
+        masks AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY ALL),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (SELECT v.x || w.x || x.x || y.x || z.x AS filter_order FROM letters v, letters w, letters x, letters y, letters z WHERE len(list_distinct([v.x, w.x, x.x, y.x, z.x])) = 5),
+        steps AS (SELECT filter_order, step, list_sum(list_transform(range(1, step::BIGINT), lambda i: (1 << (ascii(filter_order[i]) - 65)))) AS before, 1 << (ascii(filter_order[step]) - 65) AS bit
+            FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+        counted AS (SELECT part, filter_order, step, any_value(bit) AS bit,
+            coalesce(sum(n) FILTER (mask & (coalesce(before, 0)::INT | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & coalesce(before, 0)::INT = 0 AND mask & bit > 0), 0) AS removed,
+            coalesce(sum(n) FILTER (mask & coalesce(before, 0)::INT > 0 AND mask & bit > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+            coalesce(sum(good) FILTER (mask & coalesce(before, 0)::INT = 0 AND mask & bit > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & coalesce(before, 0)::INT = 0 AND mask & bit > 0), 0) AS toxic_lost
+            FROM masks, steps GROUP BY ALL)
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+            toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted""",
+    "op13_prefix_trie": r"""
+        WITH own AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        heads AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, b:
+            list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))) % 6 AS h FROM own),
+        rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.ts, [])[1:c.h], c.ts[c.h + 1:]) AS ts FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+        starts AS (SELECT conv_id, len(ts) AS turns, d, ts[1:d] AS p FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM rebuilt)),
+        nodes AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = d), '') AS ends FROM starts GROUP BY p, d),
+        families AS (SELECT b.p, b.d, a.d AS ad, a.conv_id AS ac, a.p AS ap FROM nodes b JOIN nodes a ON a.d <= b.d AND a.p = b.p[1:a.d]),
+        kids AS (SELECT ap, ad, count(*) FILTER (d = ad + 1) AS n_children FROM families GROUP BY ALL),
+        sums AS (SELECT f.ap, f.ad, count(*) FILTER (k.n_children = 0) AS n_leaves, sum((x.n - 1) * CASE WHEN x.d = 0 THEN 0 ELSE length(x.p[x.d].t) END) AS saved
+            FROM families f JOIN kids k ON k.ap = f.p AND k.ad = f.d JOIN nodes x ON x.p = f.p AND x.d = f.d GROUP BY ALL)
+        SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n AS n_convs, n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM nodes n JOIN kids k ON k.ap = n.p AND k.ad = n.d JOIN sums s ON s.ap = n.p AND s.ad = n.d LEFT JOIN nodes up ON up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]""",
 }
