@@ -21,7 +21,8 @@ covers whose word sequence also starts in a document with a smaller doc_id, judg
 Words, segments and the windows of hot keys are compared by 64-bit hashes, not letter by letter.
 
 Null texts have no words; a text of fewer words than the window is kept whole. Windows that repeat
-within one document only are kept, so repeated rows of one doc_id are too. A row with a
+within one document only are kept, so repeated rows of one doc_id are too: equal rows are looked at once, however many there are, and each gets the
+spans found. A row with a
 null doc_id is kept and is no reference. Equal doc_ids count as one document: its different texts keep
 their own spans, by two 64-bit hashes of the text beside the doc_id. An empty table
 gives an empty result. Very long texts are read whole. Only the columns named are read; a carried column with the name of a
@@ -30,6 +31,8 @@ result column gives way to it.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -45,6 +48,10 @@ ANCHOR = 8
 HOT = 256
 #: Windows of hot keys in a block, about.
 BLOCK_WINDOWS = 500_000
+#: Windows of hot keys that one range of the hash space receives, about, if none is repeated.
+RANGE_WINDOWS = 1_000_000
+#: Keys of repeated rows that are broadcast at most (some 10 MB); beyond, the rows are shuffled to them.
+BROADCAST_ROWS = 250_000
 #: What tells a row, but for equal ones.
 ROW = ("doc_id", "t1", "t2")
 _ROW = "doc_id long, t1 long, t2 long"
@@ -309,9 +316,19 @@ def _rows(docs: DataFrame, *carry: str) -> DataFrame:
     return rows.withColumns({"t1": F.xxhash64("text", F.lit(1)), "t2": F.xxhash64("text", F.lit(2))})
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """One of each equal rows. Texts are shuffled of repeated rows only, one from each task."""
+    repeated = stored(rows.groupBy(*ROW).agg(F.count("*").alias("c")).where("c > 1").select(*ROW))
+    count = repeated.count()
+    if not count:
+        return rows
+    known = F.broadcast(repeated) if count <= BROADCAST_ROWS else repeated
+    return rows.join(known, [*ROW], "left_anti").union(rows.join(known, [*ROW], "left_semi").dropDuplicates([*ROW]))
+
+
 def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, t1, t2, spans): word spans to remove from the rows of this doc_id and these hashes of the text; they may overlap."""
-    docs = _rows(docs).where("doc_id is not null")
+    docs = _once(_rows(docs).where("doc_id is not null"))
     segments = stored(docs.mapInArrow(lean(_segments(window, anchor)), f"key long, content long, {_ROW}, begin int, last int"))
     common = segments.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     shared = stored(segments.join(common, "key"))
@@ -324,8 +341,10 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = ANCHOR) -> D
     cold = bodies.where("not hot").select("key", "doc_id", "content", "words").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
     found = cold.mapInArrow(lean(_stream(window)), _MARKED)
     hot = bodies.where("hot")
-    if not hot.isEmpty():
-        sent = hot.select("key", "content", "doc_id", "words").mapInArrow(lean(_send(window, parts)), "range int, block long, head boolean, blob binary")
+    windows = hot.agg(F.sum(F.length("words") / 8 - window + 1)).head()[0]
+    if windows:
+        ranges = max(parts, math.ceil(windows / RANGE_WINDOWS))
+        sent = hot.select("key", "content", "doc_id", "words").mapInArrow(lean(_send(window, ranges)), "range int, block long, head boolean, blob binary")
         answers = sent.groupBy("range").applyInArrow(lean_group(_first_docs), "block long, head boolean, blob binary")
         found = found.union(answers.groupBy("block").applyInArrow(lean_group(_hot_spans(window)), _MARKED))
     marks = contents.select("key", "content", F.col("own.doc_id").alias("owner")).join(stored(found), ["key", "content"], "left")
