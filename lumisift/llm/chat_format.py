@@ -9,7 +9,7 @@ Offsets come from sums within blocks of turns and sums of earlier blocks, so tha
 Roles other than ``system`` are participants. A null role speaks as ``unknown``, a null text is empty, a null turn comes first, and
 rows of a null conv_id form one conversation. Turns of equal number stand in order of role and text; repeated rows are
 turns each. Marks in names and texts are broken up, so that no text forges a turn. A conversation
-of system turns only has no rendering. An empty table gives an empty result.
+of system turns only has no rendering. Very long texts are read whole. Columns other than those named are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ the driver, which places them longest first, each on the shortest open packs tha
 updating counts of packing patterns rather than single packs. The patterns then go back to the pieces:
 pieces of one length are ranked, and a range of ranks fills one slot of one pattern.
 
-A null text is empty and has the end id alone. Repeated rows are packed each for itself. An
+A null text is empty and has the end id alone. Repeated rows are packed each for itself. Very long texts are encoded whole and cut into
+pieces; very long words are encoded each time they're met. An
 empty table gives an empty result. Other columns of the pieces pass through ``place``.
 """
 
@@ -28,6 +29,8 @@ from .tables import lean, small_batches, stored
 
 #: Words whose ids a worker remembers in each of two generations; those that are met again move on to the next.
 CACHED_WORDS = 150_000
+#: Longer words aren't remembered beyond the texts that are encoded together.
+REMEMBERED = 64
 #: Characters of text that are encoded together, about.
 TOGETHER = 4_000_000
 #: Pieces of one length that are ranked in one task, about.
@@ -87,8 +90,8 @@ class WordEncoder:
         body = ids.tobytes()
         return [body[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
 
-    def _learn(self, words: set[str]) -> None:
-        """Ids of these words; those of several parts get theirs from the ids of the parts."""
+    def _learn(self, words: set[str]) -> list[str]:
+        """Ids of these words; those of several parts get theirs from the ids of the parts. Returns the long ones among all that it has learnt."""
         if len(self.known) > CACHED_WORDS:
             self.before, self.known = self.known, {}
         known, before = self.known, self.before
@@ -108,6 +111,7 @@ class WordEncoder:
             known.update(zip(new[at : at + 20_000], self._encode_parts(new[at : at + 20_000])))
         get = known.__getitem__
         known.update([(w, b"".join(map(get, split))) for w, split in parts.items()])
+        return [w for w in (*new, *parts) if len(w) > REMEMBERED]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -118,10 +122,12 @@ class WordEncoder:
                 size += len(texts[to])
                 to += 1
             split = [text if "<|" in text or not self.plain(text) else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split() for text in texts[at:to]]
-            self._learn(set().union(*(words for words in split if not isinstance(words, str))))
+            long = self._learn(set().union(*(words for words in split if not isinstance(words, str))))
             get = self.known.__getitem__
             for words in split:
                 yield self.whole(words) if isinstance(words, str) else b"".join(map(get, words))
+            for word in long:
+                self.known.pop(word, None)
             at = to
 
 

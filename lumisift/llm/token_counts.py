@@ -6,7 +6,7 @@ the pieces that are certain there are popped, and its count is precomputed, so t
 read once, left to right, and its number of pieces is a sum: no piece is built.
 
 Characters that are no pieces themselves count as their UTF-8 bytes (byte fallback). A null or empty text has no words and no
-tokens. Repeated rows count each. An empty table gives an empty result.
+tokens. Repeated rows count each. Very long texts and words are read whole, in time linear in their length. Columns other than doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from .tables import lean, small_batches
 
 #: Words whose counts a worker remembers; beyond, it starts anew.
 CACHED_WORDS = 500_000
+#: Longer words aren't remembered.
+REMEMBERED = 64
 
 
 class LongestMatch:
@@ -90,9 +92,9 @@ class LongestMatch:
             if len(known) > CACHED_WORDS:
                 known.clear()
             for word in words:
-                if word not in known:
+                if word not in known and len(word) <= REMEMBERED:
                     known[word] = self.count(word)
-            return sum(map(known.__getitem__, words))
+            return sum(known[word] if len(word) <= REMEMBERED else self.count(word) for word in words)
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
