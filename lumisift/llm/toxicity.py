@@ -1,10 +1,11 @@
 """Toxicity by noisy-channel restoration of obfuscated words.
 
 1. *Character model.* Trigram counts of letters over the words of all documents; their number is
-   bounded by the alphabet, not by the corpus.
+   bounded by the alphabet (Latin, Greek and Cyrillic letters and one class for all other letters), not by the corpus.
 2. *Restoration.* Stretches with leetspeak between letters, letters repeated three
    times or more, or three single letters or more strung out by spaces or marks become character lattices, however long; a
    Viterbi search under the channel's costs and the character model finds the likeliest letters, which replace the stretch.
+   A letter stands for itself in every script, a run of it for one or two: no restored stretch loses a letter.
    All other stretches have one path through the lattice and stay as they are.
 3. *Lexicon.* Words and their beginnings of 4 and 5 letters in the restored texts of labelled
    documents; of those that stand in SUPPORT labelled documents the FEATURES whose presence tells most of the
@@ -23,7 +24,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +45,31 @@ SUPPORT = 3
 #: Rows of the fit that are laid out at a time.
 BLOCK = 2048
 
-#: What each character may stand for (fixed values).
-LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "6": "gb", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "£": "l"}
+#: What each character may stand for, in Latin, Cyrillic and Greek (fixed values).
+LEET = {"0": "oоο", "1": "il", "3": "eзеε", "4": "aчаα", "5": "s", "7": "tт", "8": "bвβ", "9": "g", "6": "gbб", "@": "aаα", "$": "s", "!": "i", "|": "li", "+": "tт", "€": "eеε", "£": "l"}
 #: Those that may as well end a word.
 STOPS = "!|+"
-#: Letters of the character model: a-z and the small letters of Latin-1 (fixed values).
-LETTERS = "abcdefghijklmnopqrstuvwxyz" + "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
-_SIZE = 64
+#: Letters of the character model: a-z, the small letters of Latin-1, Greek and Cyrillic (fixed values).
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ" + "αβγδεζηθικλμνξοπρςστυφχψωάέήίόύώ" + "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
+_SIZE = 128
 _CODE = {c: i for i, c in enumerate(LETTERS, 1)}
-_TABLE = np.zeros(256, dtype=np.int64)
-for _c, _i in _CODE.items():
-    _TABLE[ord(_c)] = _i
+#: All other letters.
+_OTHER = len(LETTERS) + 1
+
+
+@cache
+def _classes() -> np.ndarray:
+    """The class of each code point: a letter's own, that of all other letters, or 0."""
+    points = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    table = np.where(points, np.uint8(_OTHER), np.uint8(0))
+    for c, i in _CODE.items():
+        table[ord(c)] = i
+    return table
+
+
+def _class(char: str) -> int:
+    return _CODE.get(char) or (_OTHER if char.isalpha() else 0)
+
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = re.escape("".join(LEET))
@@ -75,7 +92,7 @@ def character_counts(docs: DataFrame) -> DataFrame:
                 text = "\n".join(t or "" for t in batch.column(0).slice(lo, 256).to_pylist()).lower()
                 for at in range(0, len(text), 1 << 21):  # a very long text in parts that overlap by a trigram's two letters
                     points = np.frombuffer(text[max(0, at - 2) : at + (1 << 21)].encode("utf-32-le", "replace"), np.uint32)
-                    codes = np.where(points < 256, _TABLE[np.minimum(points, 255)], 0)
+                    codes = _classes()[points].astype(np.int64)
                     codes = codes if at else np.concatenate([[0, 0], codes])
                     codes = codes if at + (1 << 21) < len(text) else np.concatenate([codes, [0, 0]])
                     counts += np.bincount(codes[:-2] * _SIZE * _SIZE + codes[1:-1] * _SIZE + codes[2:], minlength=_SIZE**3)
@@ -107,7 +124,7 @@ class Restorer:
             char, n = run[1], len(run[0])
             if char in LEET:
                 cells.append([(x * k, -1.0 - 1.5 * (n - k)) for x in LEET[char] for k in {1, min(n, 2)}] + [(" ", -1.5 if char in STOPS else -6.0)])
-            elif char in _CODE:
+            elif char.isalpha():
                 cells.append([(char * n, 0.0), (char, -2.0)] if n == 2 else [(char, 0.0)] if n == 1 else [(char, -0.5), (char * 2, -0.7)])
             elif strung:
                 cells.append([("", -0.5), (" ", -1.5)])
@@ -126,7 +143,7 @@ class Restorer:
                 for emitted, cost in cell:
                     total, x, y = score + cost, a, b
                     for char in emitted:
-                        z = _CODE.get(char, 0)
+                        z = _class(char)
                         if z or y:  # a second space costs nothing
                             total += log[x, y, z]
                         x, y = y, z
@@ -150,7 +167,7 @@ class Restorer:
         found = [m[0] for m in _STRUNG.finditer(token) if sum(c.isalpha() for c in m[0]) > 1]
         for stretch in _STRETCH.findall(token):
             core = stretch.rstrip(STOPS)
-            if _TRIPLE.search(core) or (not core.isalpha() and any(c in LEET for c in core) and any(c.isalpha() for c in core)):
+            if _TRIPLE.search(core) or (not core.isalpha() and any(c in LEET for c in core) and any(c in _CODE for c in core)):
                 found.append(stretch)
         return found
 
