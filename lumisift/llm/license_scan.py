@@ -3,6 +3,8 @@
 Candidates of every file are its lines, the sentences of its lines, its leading block (the lines before the first blank one, joined) and, of files named
 like licence files, the whole text. Their terms are lower-cased runs of letters, digits and dots, weighed by inverse document frequencies
 that are counted over all files. A file's own licence is the template of the highest cosine over its candidates, if that reaches ``threshold``.
+A candidate is no statement of a template where the words that tell licences of a family apart differ (AFFERO, NC ...), where it lacks a version number of the
+template, where it denies more often than the template, or where the template of another licence is as near (within MARGIN): it then has none rather than a neighbour's.
 Candidates without any of the seeds can't reach it (by the Cauchy-Schwarz bound on what is left of each template), so only files that
 hold a seed are cut up.
 
@@ -36,7 +38,7 @@ TEMPLATES = [
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3 of the License, or any later version."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("All-rights-reserved", "All rights reserved."),
     ("All-rights-reserved", "Copyright (c) 2000 Company. All rights reserved."),
@@ -49,12 +51,41 @@ TEMPLATES = [
     ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."),
 ]
 #: Names of licence files.
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.\-_].*)?$"
 
+#: Words that tell one licence of a family from another: those of a candidate must be those of its template (fixed values).
+QUALIFIERS = ["affero", "lesser", "noncommercial", "noderivatives", "noderivs", "sharealike", "endorse"]
+#: Those that do so right behind CC BY only (fixed values).
+CC_QUALIFIERS = r"(?:^| )cc by((?: nc)?(?: sa| nd)?)(?= |$)"
+#: Words that deny: a candidate has no more of them than its template (fixed values).
+DENIALS = ["not", "never", "isn", "cannot"]
+#: A version number, of a template or a candidate.
+VERSION = r"^v?[0-9]{1,2}([.][0-9]{1,2})*$"
+#: By how much the best licence's cosine must be over any other's for one candidate.
+MARGIN = 0.01
+
 _BREAK = r"[^\p{L}\p{N}.]+|\.+(?=\P{N}|$)"
 
 
@@ -63,6 +94,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _BREAK), lambda w: w != "")
 
 
+def _qualifiers(terms: Column) -> Column:
+    """The words that tell a licence from its neighbours, sorted; those of CC as one."""
+    return F.array_append(F.array_sort(F.array_distinct(F.filter(terms, lambda w: w.isin(QUALIFIERS)))), F.regexp_extract(F.array_join(terms, " "), CC_QUALIFIERS, 1))
+
+
 def parent(path: Column) -> Column:
     """The directory of a path; that of ``/a`` is ``/``, and ``/`` has none."""
     head = F.regexp_replace(path, "/[^/]*$", "")
@@ -89,6 +125,13 @@ def _vectors(frequencies: DataFrame, total: int, templates: list[tuple[str, str]
     return vectors, counts
 
 
+def _marks(spark, templates: list[tuple[str, str]]) -> list[tuple]:
+    """(template, license, versions, qualifiers, denials) of each template."""
+    rows = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(templates)], "template int, license string, text string").withColumn("w", words(F.col("text")))
+    told = rows.select("template", "license", F.array_distinct(F.filter("w", lambda x: x.rlike(VERSION))), _qualifiers(F.col("w")), F.size(F.filter("w", lambda x: x.isin(DENIALS))))
+    return [tuple(r) for r in told.collect()]  # templates only
+
+
 def _seeds(vectors: list[tuple[str, dict[str, float]]], counts: dict[str, int], threshold: float) -> list[str]:
     """Terms of which a candidate must have one to reach the threshold with any template: those of each that the fewest files have, until the rest can't."""
     seeds: set[str] = set()
@@ -129,14 +172,25 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     whole = F.when(F.col("named"), F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
     units = F.array_distinct(F.concat(of_lines, F.transform(F.concat(F.array(leading), whole), lambda y: F.struct(y.alias("body"), F.lit(True).alias("first")))))
     units = texts.select("t1", "t2", F.explode(units).alias("u")).select("t1", "t2", "u.first", words(F.col("u.body")).alias("terms")).where(F.arrays_overlap("terms", seeds))
-    units = units.select("t1", "t2", "first", F.array_sort("terms").alias("terms")).groupBy("t1", "t2", "terms").agg(F.max("first").alias("first"))
-    units = stored(units.select("t1", "t2", F.xxhash64("terms").alias("unit"), "first", "terms"))
+    units = units.select("t1", "t2", "first", _qualifiers(F.col("terms")).alias("own_qualifiers"), F.array_sort("terms").alias("terms")).groupBy("t1", "t2", "terms", "own_qualifiers").agg(F.max("first").alias("first"))
+    units = stored(units.select("t1", "t2", F.xxhash64("terms", "own_qualifiers").alias("unit"), "first", "terms", "own_qualifiers"))
+    # frequencies of the templates' terms, which all candidates share, go to the rows; the rows of other terms go to their frequencies
+    common = spark.createDataFrame([(w, n) for w, n in counts.items()], "term string, df long")
     counted = units.select("t1", "t2", "unit", "first", F.explode("terms").alias("term")).groupBy("t1", "t2", "unit", "first", "term").agg(F.count("*").alias("tf"))
-    weighed = counted.join(frequencies, "term").withColumn("w", F.col("tf") * (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1))
+    told = counted.join(F.broadcast(common), "term", "left")
+    weighed = told.where("df is not null").unionByName(told.where("df is null").drop("df").join(frequencies, "term")).withColumn("w", F.col("tf") * (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1))
     norms = weighed.groupBy("t1", "t2", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(F.broadcast(weights), "term").groupBy("t1", "t2", "unit", "first", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    best = dots.join(norms, ["t1", "t2", "unit"]).withColumn("cosine", cosine).where(F.col("cosine") >= threshold).groupBy("t1", "t2").agg(F.max(F.struct("cosine", -F.col("template"), "first")).alias("b"))
+    near = dots.join(norms, ["t1", "t2", "unit"]).withColumn("cosine", cosine).where(F.col("cosine") >= threshold)
+    # what tells licences apart must agree
+    kinds = spark.createDataFrame(_marks(spark, templates), "template int, license string, versions array<string>, qualifiers array<string>, denials int")
+    own = units.select("t1", "t2", "unit", "terms", "own_qualifiers")
+    fits = (F.col("own_qualifiers") == F.col("qualifiers")) & (F.size(F.array_except("versions", "terms")) == 0) & (F.size(F.filter("terms", lambda w: w.isin(DENIALS))) <= F.col("denials"))
+    stated = near.join(own, ["t1", "t2", "unit"]).join(F.broadcast(kinds), "template").where(fits)
+    each = stated.groupBy("t1", "t2", "unit", "license").agg(F.max(F.struct("cosine", -F.col("template"), "first")).alias("b"))
+    clear = each.groupBy("t1", "t2", "unit").agg(F.max("b").alias("b"), F.sort_array(F.collect_list("b.cosine"), asc=False).alias("cosines"))  # one for each licence
+    best = clear.where((F.size("cosines") < 2) | (F.get("cosines", F.lit(0)) - F.get("cosines", F.lit(1)) >= MARGIN)).groupBy("t1", "t2").agg(F.max("b").alias("b"))
     best = stored(best.select("t1", "t2", F.col("b.cosine").alias("own_cosine"), names[-F.col("b.col2")].alias("own_license"), F.col("b.first").alias("first")))
 
     held = [f"carried_{c}" for c in carry]
