@@ -1,13 +1,19 @@
 """Learned operators by held-out accuracy, and the pipeline against its stages' rules."""
 
 import random
+import re
+from collections import Counter
+from itertools import groupby, product
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
-from lumisift.llm.queries import held_out
 from lumisift.llm import quality as Q
+from lumisift.llm import toxicity as T
+from lumisift.llm.queries import held_out
 from lumisift.llm.quality import quality
 from lumisift.llm.toxicity import Restorer, character_counts, toxicity
 
@@ -170,3 +176,79 @@ def test_near_duplicates_leave_one_row(spark, tmp_path):
     one = [(g, t) for g, t in got if (g, t) not in sure]
     assert sorted(x for x in map(str, got) if x in map(str, sure)) == sorted(map(str, sure))
     assert len(one) == 2 and {(g, t.removesuffix(" more")) for g, t in one} == {("3", texts[1]), ("None", texts[2])}
+
+
+def model_of(texts):
+    counts = Counter()
+    for t in texts:
+        codes = [0, 0] + [T._class(c) for c in t.lower()] + [0, 0]
+        counts.update(zip(codes, codes[1:], codes[2:]))
+    return T.Restorer({(a * T._SIZE + b) * T._SIZE + c: n for (a, b, c), n in counts.items()})
+
+
+def test_restoration_in_every_script():
+    restorer = model_of(["ты дурак и болван, какой дурак", "głupi ten człowiek jest głupi", "ο ηλίθιος άνθρωπος είναι ηλίθιος", "you stupid idiot"] * 20)
+    for odd, want in [("дураааак", "дурак"), ("д.у.р.а.к", "дурак"), ("д у р а к", "дурак"), ("дур4к", "дурак"), ("głuuupi", "głupi"), ("g.ł.u.p.i", "głupi"), ("ηλίθιοοος", "ηλίθιος"), ("好好好好", "好"), ("日本4語", "日本4語"), ("م.ر.ح.ب.ا", "مرحبا"), ("stuuupid", "stupid"), ("1d1ot", "idiot")]:
+        assert restorer.restore(odd) == want, odd
+
+
+@given(st.text(alphabet="aдłω日.4 @é", max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_no_letter_is_lost(text):
+    """But for repeated ones: runs may become one or two."""
+    restorer = model_of(["дада", "łała", "ωωωω", "日日"])
+    letters = [c for c in restorer.restore(text) if c in "дłω日"]
+    runs = [k for k, _ in groupby(c for c in text if c in "дłω日")]
+    assert [k for k, _ in groupby(letters)] == runs
+
+
+@given(st.text(alphabet="abi1l40!.д", min_size=1, max_size=7))
+@settings(max_examples=200, deadline=None)
+def test_viterbi_against_all_paths(odd):
+    restorer = model_of(["abba bail lab ila", "дaд бабд", "alibi bilabial"] * 5)
+
+    def score(path):
+        total, x, y = 0.0, 0, 0
+        for emitted, cost in path:
+            total += cost
+            for char in emitted:
+                z = T._class(char)
+                if z or y:
+                    total += restorer.log[x, y, z]
+                x, y = y, z
+        return total
+
+    cells = [*restorer._lattice(odd), [(" ", 0.0)]]
+    best = max(score(p) for p in product(*cells))
+    found = restorer.words(odd)
+    assert any(abs(score(p) - best) < 1e-9 and "".join(e for e, _ in p).split() == found for p in product(*cells))
+
+
+def test_scores_against_a_plain_scorer(spark):
+    """What is restored, counted and weighed, worked out text by text."""
+    rng = random.Random(12)
+    clean, foul = [f"word{chr(97 + k)}{chr(97 + j)}" for k in range(8) for j in range(8)], ["stupid", "idiot", "дурак"]
+    texts = [" ".join(rng.choices(clean, k=12) + ([rng.choice(foul)] if k % 3 == 0 else [])) for k in range(120)] + ["stuuupid worda", "1d1ot", "д.у.р.а.к", "", "wordaa wordab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in T.toxicity(docs, labels).collect()}
+    restorer = model_of(texts)
+    sets = [T._features(set(re.findall(r"[^\W\d_]+", restorer.restore(t)))) for t in texts]
+    y = np.array([k % 3 == 0 for k in range(120)], dtype=float)
+    n = Counter(f for s in sets[:120] for f in s)
+    t = Counter(f for k, s in enumerate(sets[:120]) if y[k] for f in s)
+    base = y.mean()
+
+    def ratio(f):
+        parts = [(t[f], n[f] * base), (n[f] - t[f], n[f] * (1 - base))]
+        return sum(a * np.log(a / b) for a, b in parts if a)
+
+    names = sorted((f for f in n if n[f] >= T.SUPPORT and t[f] > n[f] * base), key=lambda f: (-ratio(f), f))[: T.FEATURES]
+    x = np.array([[f in s for f in names] + [True] for s in sets], dtype=float)
+    w, penalty = np.zeros(len(names) + 1), np.array([1.0] * len(names) + [1e-3])
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-x[:120] @ w))
+        w += np.linalg.solve(np.diag(penalty) + (x[:120] * (p * (1 - p))[:, None]).T @ x[:120], x[:120].T @ (y - p) - penalty * w)
+    want = 1 / (1 + np.exp(-x @ w))
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in range(len(texts)))
+    assert min(got[120], got[121], got[122]) > max(got[123], got[124])

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumisift.llm import hashing as H
+from lumisift.llm import license_scan as L
 from lumisift.llm import ngram_join as N
 from lumisift.llm import substring_dedup as S
 from lumisift.llm.chat_format import rotate_perspectives
@@ -431,11 +432,44 @@ def brute_cosines(texts, templates):
     for t in texts:
         lines = [x for x in re.split(r"\r?\n", t) if x.strip()]
         units = {*lines, *(y for x in lines for y in re.split(r"(?<=[.;!?])\s+", x)), re.split(r"\n[ \t]*\n", t.strip())[0]}
-        best = max((round(sum(x * v.get(w, 0) for w, x in vector(u).items()), 6), -i) for u in units for i, (_, v) in enumerate(known))
-        out.append(best if best[0] >= 0.6 else None)
+        found = []
+        for u in units:
+            each = {}
+            for i, (name, v) in enumerate(known):
+                cosine = round(sum(x * v.get(w, 0) for w, x in vector(u).items()), 6)
+                if cosine >= 0.6 and fits(words(u), words(templates[i][1])):
+                    each[name] = max(each.get(name, (0, 0)), (cosine, -i))
+            ranked = sorted(each.values(), reverse=True)
+            if ranked and (len(ranked) < 2 or ranked[0][0] - ranked[1][0] >= L.MARGIN):
+                found.append(ranked[0])
+        out.append(max(found) if found else None)
     return out
 
 
+def fits(own, of_template):
+    def telling(ws):
+        return {w for w in ws if w in L.QUALIFIERS}, re.findall(L.CC_QUALIFIERS, " ".join(ws))[:1] or [""]
+
+    versions = {w for w in of_template if re.fullmatch(r"v?[0-9]{1,2}([.][0-9]{1,2})*", w)}
+    return telling(own) == telling(of_template) and versions <= set(own) and sum(w in L.DENIALS for w in own) <= sum(w in L.DENIALS for w in of_template)
+
+
+def test_neighbouring_licences(spark):
+    """A licence of a family isn't taken for another of it, and what is denied or can't be told is none."""
+    gpl2 = next(t for k, t in TEMPLATES if k == "GPL-2.0" and "WITHOUT ANY" in t)
+    bsd2 = next(t for k, t in TEMPLATES if k == "BSD-2-Clause")
+    cases = [
+        (gpl2, "GPL-2.0"), (gpl2.replace("version 2", "version 3").replace("program;", "program:"), "GPL-3.0"), ("GNU General Public License, version 2.", "GPL-2.0"), ("GNU General Public License, version 1.", None), (bsd2, "BSD-2-Clause"),
+        (bsd2 + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-3-Clause"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"), ("Licensed under CC BY-NC 3.0.", None),
+        ("This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), ("Not licensed under the MIT License.", None), ("This is not released under the MIT License.", None), ("Licensed under the MIT License.", "MIT"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, version 3 of the License, or any later version.", "AGPL-3.0"), ("Il sa que Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Sa vie.\nReleased under the MIT License.", "MIT"),
+    ]
+    rows = [(f"/t/{k:02d}", "x y z\n\n" + t) for k, (t, _) in enumerate(cases)] + [(f"/u/{k}", " ".join(f"w{k * 37 % 50 + j}" for j in range(30)) + " under the license of software") for k in range(40)]
+    got = {r.path: r.own_license for r in scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[f"/t/{k:02d}"] for k in range(len(cases))] == [want for _, want in cases]
+
+
 def test_license_cosines(spark):
     rng = random.Random(31)
     plain = [f"word{i}" for i in range(50)] + ["the", "of", "license", "software", "under"]
@@ -523,3 +557,38 @@ def test_fingerprints_against_brute_force(spark):
             for a, b, x, y in zip(mine[0], mine[k], said[0], said[k]):
                 if isinstance(a, list) and isinstance(b, list) and a and b:
                     assert (a == b) == (x == y)
+
+
+@pytest.mark.parametrize("copies", [50, 20_000])
+def test_substring_dedup_of_repeated_rows(spark, copies):
+    """Equal rows of one doc_id are looked at once: the spans of each are those of one."""
+    rng = random.Random(8)
+    passage, other = ([f"{x}{rng.randrange(300)}" for _ in range(120)] for x in "pq")
+    one, two, three = " ".join(passage), " ".join(["a"] * 5 + passage[10:90] + other), " ".join(other[20:80] + ["z"])
+    few = [(1, one), (2, two), (2, two), (3, three), (3, one), (None, one), (None, one)]
+    rows = few + [(2, two)] * copies
+    got = S.substring_dedup(documents(spark, rows))
+    assert got.count() == len(rows)
+    want = {(d, t): x for d, t, *x in ((r.doc_id, r.text, r.kept, r.n_words, r.n_removed) for r in S.substring_dedup(documents(spark, few[:2] + few[3:6])).collect())}
+    assert {(r.doc_id, r.text): [r.kept, r.n_words, r.n_removed] for r in got.distinct().collect()} == want and want[2, two][2] == 80
+
+
+def test_substring_dedup_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 2)
+    monkeypatch.setattr(S, "RANGE_WINDOWS", 50)
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(70)]
+    rows = [(k, " ".join([f"l{k}{rng.randrange(9)}" for _ in range(20)] + passage + [f"r{k}{rng.randrange(9)}" for _ in range(20)])) for k in range(12)]
+    got = S.substring_dedup(documents(spark, rows)).select("doc_id", "n_removed").collect()
+    assert {tuple(r) for r in got} == {(0, 0)} | {(k, 70) for k in range(1, 12)}
+
+
+def test_long_words_are_not_remembered():
+    from lumisift.llm.packing import WordEncoder
+
+    counts, encoder = LongestMatch.of(piece_model()), WordEncoder(word_tokenizer())
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=5000)) for _ in range(20)]
+    assert counts.counts(words + words[:2] + ["short"]) == sum(map(counts.count, words + words[:2] + ["short"]))
+    assert [bytes(x) for x in encoder.encode([" ".join(words), words[0] + " it's", "short " + words[0] + ","])] == [encoder.whole(t) for t in (" ".join(words), words[0] + " it's", "short " + words[0] + ",")]
+    assert all(len(w) <= 64 for w in counts.known) and all(len(w) <= 64 for w in (*encoder.known, *encoder.before))
