@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel restoration of obfuscated words.
 
 1. *Character model.* Trigram counts of letters over the words of all documents; their number is
-   bounded by the alphabet (Latin, Greek and Cyrillic letters and one class for all other letters), not by the corpus.
+   bounded by the alphabet (Latin and Cyrillic letters and one class for all other letters), not by the corpus.
 2. *Restoration.* Stretches with leetspeak between letters, letters repeated three
    times or more, or three single letters or more strung out by spaces or marks become character lattices, however long; a
    Viterbi search under the channel's costs and the character model finds the likeliest letters, which replace the stretch.
@@ -45,13 +45,13 @@ SUPPORT = 3
 #: Rows of the fit that are laid out at a time.
 BLOCK = 2048
 
-#: What each character may stand for, in Latin, Cyrillic and Greek (fixed values).
-LEET = {"0": "oоο", "1": "il", "3": "eзеε", "4": "aчаα", "5": "s", "7": "tт", "8": "bвβ", "9": "g", "6": "gbб", "@": "aаα", "$": "s", "!": "i", "|": "li", "+": "tт", "€": "eеε", "£": "l"}
+#: What each character may stand for, in Latin and Cyrillic (fixed values).
+LEET = {"0": "oо", "1": "il", "3": "eзе", "4": "aча", "5": "s", "7": "tт", "8": "bв", "9": "g", "6": "gbб", "@": "aа", "$": "s", "!": "i", "|": "li", "+": "tт", "€": "eе", "£": "l"}
 #: Those that may as well end a word.
 STOPS = "!|+"
-#: Letters of the character model: a-z, the small letters of Latin-1, Greek and Cyrillic (fixed values).
-LETTERS = "abcdefghijklmnopqrstuvwxyz" + "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ" + "αβγδεζηθικλμνξοπρςστυφχψωάέήίόύώ" + "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
-_SIZE = 128
+#: Letters of the character model: a-z, the small letters of Latin-1 and Cyrillic (fixed values).
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ" + "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
+_SIZE = 96
 _CODE = {c: i for i, c in enumerate(LETTERS, 1)}
 #: All other letters.
 _OTHER = len(LETTERS) + 1
@@ -112,7 +112,8 @@ class Restorer:
         single = grams.sum((0, 1)) + 1
         pairs = grams.sum(0) + 2 * single / single.sum()
         pair = pairs / pairs.sum(1, keepdims=True)
-        self.log = np.log((grams + 4 * pair[None]) / (grams + 4 * pair[None]).sum(2, keepdims=True))
+        grams += 4 * pair[None]
+        self.log = np.log(grams / grams.sum(2, keepdims=True)).astype(np.float32)  # each worker has one
         self.known: dict[str, list[str]] = {}
         self.seen: dict[str, tuple[str, ...]] = {}
 
@@ -136,7 +137,7 @@ class Restorer:
         """The words of the likeliest path. Paths are chains of what they emit, so that time and memory follow the length."""
         if odd in self.known:
             return self.known[odd]
-        log, paths = self.log, {(0, 0): (0.0, None)}
+        log, paths = self.log.item, {(0, 0): (0.0, None)}
         for cell in [*self._lattice(odd), [(" ", 0.0)]]:
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, path) in paths.items():
@@ -145,7 +146,7 @@ class Restorer:
                     for char in emitted:
                         z = _class(char)
                         if z or y:  # a second space costs nothing
-                            total += log[x, y, z]
+                            total += log(x, y, z)
                         x, y = y, z
                     if (x, y) not in new or new[x, y][0] < total:
                         new[x, y] = (total, (path, emitted))
@@ -330,7 +331,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, ca
     """
     spark = docs.sparkSession
     small_batches(spark)
-    counts = character_counts(docs).toArrow()  # at most 64**3 rows
+    counts = character_counts(docs).toArrow()  # at most _SIZE**3 rows
     restorer = Restorer(dict(zip(counts.column("gram").to_pylist(), counts.column("n").to_pylist())))
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     if learn is not None:

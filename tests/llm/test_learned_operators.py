@@ -214,7 +214,7 @@ def test_viterbi_against_all_paths(odd):
             for char in emitted:
                 z = T._class(char)
                 if z or y:
-                    total += restorer.log[x, y, z]
+                    total += restorer.log.item(x, y, z)
                 x, y = y, z
         return total
 
