@@ -26,10 +26,11 @@ def _extension(path: Column) -> Column:
 
 
 def is_binary(head: Column) -> Column:
-    """A head (binary) with a NUL byte, or with more than BAD of its bytes neither valid UTF-8 nor printable or white space; a replacement character counts as bad."""
+    """A head (binary) with a NUL byte, or with more than BAD of its bytes neither valid UTF-8 nor printable or white space; a replacement character that the head itself holds is good."""
+    aligned = F.regexp_count(F.regexp_replace(F.hex(head), "(..)", "$1 "), F.lit("EF BF BD "))
     text = F.make_valid_utf8(head.cast("string"))
     good = F.regexp_replace(text, "[\\x01-\\x08\\x0e-\\x1f\ufffd]", "")
-    return (F.instr(text, F.lit("\0")) > 0) | (F.octet_length(head) - F.octet_length(good) > BAD * F.octet_length(head))
+    return (F.instr(text, F.lit("\0")) > 0) | (F.octet_length(head) - F.octet_length(good) - 3 * aligned > BAD * F.octet_length(head))
 
 
 def capped(content: Column, kilobytes: int) -> Column:

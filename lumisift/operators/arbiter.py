@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths as P
+from ..sources import logs
 from . import usage as U
 
 #: Bounds of the normalised ranks (fixed values), picks that training needs, its penalty, and the share that tests it.
@@ -146,10 +147,39 @@ def arbitrate(rows: DataFrame, files: DataFrame) -> DataFrame:
 def pick_records(shown: DataFrame, picks: DataFrame) -> DataFrame:
     """(imp, value): one JSON line for each pick: the impression's rows in order with their signals, and what was picked.
 
-    shown: (imp, ts, query, rank and signals); picks: (imp, path, action). A pick without an impression is a record without rows. Write the lines with
+    shown: (imp, ts, query, rank and signals); picks: (imp, path, action). A pick without an impression is a record without rows, and one of a path that wasn't shown has no rank. Write the lines with
     ``df.select("value").write.mode("append").text(folder)``; ``sources.logs`` reads them.
     """
     signals = [c for c in shown.columns if c not in ("imp", "ts", "query")]
     rows = shown.groupBy("imp").agg(F.min("ts").alias("ts"), F.min("query").alias("query"), F.array_sort(F.collect_list(F.struct("rank", *(c for c in signals if c != "rank")))).alias("shown"))
-    made = picks.join(rows, "imp", "left").withColumn("picked", F.struct(F.element_at(F.filter("shown", lambda r: r["path"] == F.col("path")), 1)["rank"].alias("rank"), "path", "action"))
+    made = picks.join(rows, "imp", "left").withColumn("picked", F.struct(F.get(F.filter("shown", lambda r: r["path"] == F.col("path")), F.lit(0))["rank"].alias("rank"), "path", "action"))
     return made.select("imp", F.to_json(F.struct(F.lit(1).alias("v"), "ts", "query", F.col("shown").isNotNull().alias("joined"), F.coalesce("shown", F.expr("array()").cast(rows.schema["shown"].dataType)).alias("shown"), "picked")).alias("value"))
+
+
+#: Signals of a shown file, as the log names them (fixed names).
+SIGNALS = {"class": "int", "effClass": "int", "align": "int", "boost": "double", "recency": "double", "cwd": "double", "penalty": "double", "isDir": "boolean"}
+
+
+def report_records(reports: DataFrame, impressions: DataFrame) -> DataFrame:
+    """(id, value): the log line of each report of a pick, its rows as reported and their signals from the impression only.
+
+    reports: (id, ts, query, shown array of (kind, path, plugin, score, title), picked (rank, action, revealed), imp), imp the impression that the pick is joined to or null;
+    impressions: (imp, blend, path and the columns of SIGNALS). Reports without a query and those that ``sources.logs.pick_error`` rejects make no line. A file that the impression doesn't know, or a report without
+    one, has signals of nought. ``sources.logs`` reads the lines back.
+    """
+    target = F.get("shown", F.col("picked.rank"))
+    bad = logs.pick_error(reports.select("id", F.trim("query").alias("query"), F.size("shown").alias("shown_rows"), F.col("picked.rank").alias("rank"), target["kind"].alias("kind"), target["path"].alias("path"), target["plugin"].alias("plugin"))).where("error is null")
+    good = reports.join(bad.select("id"), "id", "left_semi").where(F.trim("query") != "")
+    rows = good.select("id", "imp", F.posexplode("shown").alias("rank", "r")).select("id", "imp", "rank", "r.*")
+    known = impressions.select("imp", "path", *SIGNALS).dropDuplicates(["imp", "path"]).withColumn("known", F.lit(True))
+    told = rows.join(known, ["imp", "path"], "left")
+    file = F.col("kind") == "file"
+    fields = [F.col("rank"), F.col("kind"), F.when(file, F.col("path")).alias("path"), *(F.when(file, F.coalesce(c, F.lit(0).cast(k))).alias(c) for c, k in SIGNALS.items())]
+    fields += [F.when(file, F.size(P.components(F.col("path")))).alias("depth"), F.when(file, F.regexp_extract("path", r"(\.[^./]*)$", 1)).alias("ext"), *(F.when(~file, F.col(c)).alias(c) for c in ("plugin", "score", "title"))]
+    shown = told.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))  # a report's rows are few
+    blend = impressions.groupBy("imp").agg(F.max("blend").alias("blend"))
+    made = good.join(shown, "id").join(blend, "imp", "left")
+    target = F.get("rows", F.col("picked.rank"))
+    picked = F.struct("picked.rank", target["kind"].alias("kind"), target["path"].alias("path"), target["plugin"].alias("plugin"), "picked.action", F.coalesce("picked.revealed", F.lit(False)).alias("revealed"))
+    line = F.struct(F.lit(1).alias("v"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("ts"), F.trim("query").alias("query"), F.coalesce("blend", F.lit(False)).alias("blendActive"), F.col("blend").isNotNull().alias("joined"), F.lit(False).alias("refined"), F.col("rows").alias("shown"), picked.alias("picked"))
+    return made.select("id", F.to_json(line).alias("value"))

@@ -68,7 +68,11 @@ def counter_rates(samples: DataFrame, by: list[str], interval: float) -> DataFra
 
 
 def descendants(edges: DataFrame, root: int, most_depth: int = 32) -> DataFrame:
-    """(pid, depth, way) from a root down in (pid, ppid), by a recursive query; way: the processes on the way, which no process is on twice."""
+    """(pid, depth, way) from a root down in (pid, ppid), by a recursive query; way: the processes on the way, which no process is on twice.
+
+    Spark ends a recursive query of more than ``spark.sql.cteRecursionRowLimit`` rows with an error; the session's limit is lifted, as the depth bounds the query.
+    """
+    edges.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", -1)
     name = f"edges_{uuid.uuid4().hex}"
     edges.createOrReplaceTempView(name)
     found = edges.sparkSession.sql(

@@ -114,19 +114,32 @@ def icon_names(kind: Column, generic: dict[str, str]) -> Column:
     return F.when(kind != "", F.array_distinct(F.filter(F.array(F.replace(kind, F.lit("/"), F.lit("-")), own, by_class), lambda x: x.isNotNull())))
 
 
+#: Field codes of launchers (fixed values).
+_CODES = "fFuUdDnNickvm"
+
+
 def exec_arguments(line: Column) -> Column:
-    """The arguments of a launcher's command line: double quotes group, a backslash in them escapes, ``%%`` is a per cent sign, field codes go."""
-    pieces = F.regexp_extract_all(line, F.lit(r'(?:"(?:\\.|[^"\\])*"?|%[%fFuUdDnNickvm]|[^ \t"])+'), F.lit(0))
+    """The arguments of a launcher's command line: double quotes group, a backslash in them escapes, ``%%`` is a per cent sign, field codes go.
+
+    A fold over the line's tokens; no token's pattern repeats a group, so lines of any length are read without recursion.
+    """
+    tokens = F.regexp_extract_all(line, F.lit(rf'\\|"|[ \t]+|%[%{_CODES}]|[^"\\ \t%]+|%'), F.lit(0))
+    none = F.struct(F.array().cast("array<string>").alias("args"), F.lit("").alias("arg"), F.lit(False).alias("kept"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"))
+
+    def state(acc: Column, **changed: Column | bool | str) -> Column:
+        return F.struct(*(F.lit(changed[c]).alias(c) if c in changed and not isinstance(changed[c], Column) else changed.get(c, acc[c]).alias(c) for c in ("args", "arg", "kept", "quoted", "escaped")))
 
-    def parts(word: Column) -> Column:
-        return F.regexp_extract_all(word, F.lit(r'"(?:\\.|[^"\\])*"?|%[%fFuUdDnNickvm]|[^"]'), F.lit(0))
+    def ended(acc: Column) -> Column:
+        return F.when(acc["kept"], F.array_append(acc["args"], acc["arg"])).otherwise(acc["args"])
 
-    def value(part: Column) -> Column:
-        quoted = F.regexp_replace(F.regexp_replace(part, r'(?s)^"((?:\\.|[^"\\])*)\\?"?$', "$1"), r"(?s)\\(.)", "$1")
-        return F.when(part.startswith('"'), quoted).when(part == "%%", "%").when(part.rlike("^%[fFuUdDnNickvm]$"), "").otherwise(part)
+    def step(acc: Column, token: Column) -> Column:
+        text = state(acc, arg=F.concat(acc["arg"], token), kept=True, escaped=False)
+        quoted = F.when(acc["escaped"], text).when(token == "\\", state(acc, escaped=True)).when(token == '"', state(acc, quoted=False)).otherwise(text)
+        bare = F.when(token == '"', state(acc, quoted=True, kept=True)).when(token.rlike("^[ \\t]"), state(acc, args=ended(acc), arg="", kept=False))
+        bare = bare.when(token == "%%", state(acc, arg=F.concat(acc["arg"], F.lit("%")), kept=True)).when(token.rlike(f"^%[{_CODES}]$"), acc).otherwise(text)
+        return F.when(acc["quoted"], quoted).otherwise(bare)
 
-    kept = F.filter(pieces, lambda w: F.exists(parts(w), lambda p: ~p.rlike("^%[fFuUdDnNickvm]$")))
-    return F.transform(kept, lambda w: F.array_join(F.transform(parts(w), value), ""))
+    return F.aggregate(tokens, none, step, ended)
 
 
 def parse_command(query: Column, sigils: str = "!/@") -> Column:

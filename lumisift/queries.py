@@ -14,10 +14,12 @@ from .functions import matching as M
 from .functions import paths as P
 from .functions import values as V
 from .functions.positions import highlight
-from .operators import arbiter, providers, ranking, search, series, usage, web
+from .operators import arbiter, probe, providers, ranking, search, series, sessions, themes, usage, web
 from .plans import fixtures as X
-from .plans import store
-from .sources import system
+from .plans import reconcile, store, versions
+from .plans.shared import shared_dir
+from .sources import logs, system
+from .sources import manifests as loaders
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -665,3 +667,207 @@ def ranked_applications(spark, sf):
     apps = X.table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("run "), "s_name").alias("exec"))
     rows = providers.applications(apps, counts).withColumns({"hint": F.lit(0.0), "ord": F.col("s_suppkey").cast("int")})
     return ranking.rank_matched(rows, [F.col("display")], "supp", limit=50).select("s_suppkey", "tie_break", "rank")
+
+
+# --- stores, sweeps, sources ----------------------------------------------------------------------
+
+
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    return X.entries(spark, sf).select(P.entry_path(F.col("parent_dir"), F.col("name")).alias("path"), "is_dir")
+
+
+@query(f"""WITH {X.SQL_EVENTS}, c AS (SELECT 'v1' AS version, k, count(*) AS opens FROM ev WHERE event_id % 2 = 0 GROUP BY k UNION ALL SELECT 'v2', k, count(*) FROM ev GROUP BY k) SELECT version, k, opens FROM c""")
+def pinned_versions(spark, sf):
+    """A table that is replaced while an older version is being read."""
+    counts = X.events(spark, sf)
+    held = versions.Versions(spark, shared_dir(spark))
+    held.replace(counts.where("event_id % 2 = 0").groupBy("k").agg(F.count("*").alias("opens")))
+    old = held.read()
+    held.update(lambda rows: rows.union(counts.where("event_id % 2 <> 0").groupBy("k").agg(F.count("*").alias("opens"))).groupBy("k").agg(F.sum("opens").alias("opens")))
+    return old.select(F.lit("v1").alias("version"), "k", "opens").union(held.read().select(F.lit("v2"), "k", "opens"))
+
+
+def _truth(rows: DataFrame, without: str) -> DataFrame:
+    """Entries whose names lack a character; files under types whose name holds it stay only if their directory does."""
+    return rows.where(F.col("is_dir") | ~F.regexp_extract("path", "([^/]*)$", 1).contains(without))
+
+
+_TIMES = """times AS (SELECT '/catalog/' || p_brand || '/' || p_type AS path, max(l_shipdate) AS mtime FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), mark AS (SELECT max(mtime) - INTERVAL 3 DAY AS t FROM times)"""
+
+
+@query(f"""WITH {X.SQL_ENTRIES}, {_TIMES}, one AS (SELECT path, is_dir, parent_dir, name FROM entries WHERE path <> '/catalog' AND (is_dir OR NOT contains(name, '8'))), two AS (SELECT path, is_dir, parent_dir, name FROM entries WHERE path <> '/catalog' AND (is_dir OR NOT contains(name, '9'))),
+    hot AS (SELECT times.path FROM times, mark WHERE mtime >= t - INTERVAL 2 SECOND), kept AS (SELECT path, is_dir FROM one WHERE parent_dir NOT IN (SELECT path FROM hot) UNION SELECT path, is_dir FROM two WHERE parent_dir IN (SELECT path FROM hot)) SELECT path, is_dir FROM kept""")
+def sweep_passes(spark, sf):
+    """Two passes over the catalogue: the first looks at all, the second at what was touched since the first one's start."""
+    every = _paths(spark, sf).where("path <> '/catalog'")
+    at = shared_dir(spark)
+    table = reconcile.EntryTable(spark, f"{at}/entries")
+    table.load(_truth(every, "7"))
+    ship = X.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_shipdate").cast("timestamp").alias("mtime"))
+    types = X.table(spark, sf, "part").join(ship, "p_partkey").groupBy(F.concat(F.lit("/catalog/"), "p_brand", F.lit("/"), "p_type").alias("path")).agg(F.max("mtime").alias("mtime"))
+    old = F.lit("1970-01-02 00:00:00").cast("timestamp")
+    others = every.where(F.col("is_dir")).select("path").union(spark.createDataFrame([("/catalog",)], "path string")).join(types, "path", "left_anti").select("path", old.alias("mtime"))
+    dirs, roots, mounts = types.union(others), spark.createDataFrame([("/catalog",)], "path string"), spark.createDataFrame([], "path string")
+    sweeper = reconcile.Sweeper(table, f"{at}/state")
+    started = types.agg(F.max("mtime") - F.expr("INTERVAL 3 DAYS")).head()[0]
+    sweeper.run(started, dirs, _truth(every, "8"), roots, mounts, pages=2)
+    sweeper.run(started, dirs, _truth(every, "9"), roots, mounts)
+    return table.read().select("path", "is_dir")
+
+
+@query(f"""WITH {X.SQL_ENTRIES}, a AS (SELECT path, is_dir, parent_dir FROM entries WHERE NOT contains(name, '7')), b AS (SELECT path, CASE WHEN contains(name, '55') THEN NOT is_dir ELSE is_dir END AS is_dir, parent_dir FROM entries WHERE NOT contains(name, '8')),
+    dirty AS (SELECT path FROM entries WHERE is_dir AND path LIKE '/catalog/Brand#%/%' AND (path LIKE '%#1%' OR path LIKE '%#2%/S%')),
+    kept AS (SELECT path, is_dir FROM a WHERE parent_dir NOT IN (SELECT path FROM dirty) UNION SELECT path, is_dir FROM b WHERE parent_dir IN (SELECT path FROM dirty)) SELECT path, is_dir FROM kept""")
+def reconciled_paths(spark, sf):
+    """The index after dirty directories have been held against the truth; only their shards are read."""
+    rows = X.entries(spark, sf)
+    path = P.entry_path(F.col("parent_dir"), F.col("name"))
+    indexed = rows.where(~F.col("name").contains("7")).select(path.alias("path"), "is_dir")
+    truth = rows.where(~F.col("name").contains("8")).select(path.alias("path"), F.when(F.col("name").contains("55"), ~F.col("is_dir")).otherwise(F.col("is_dir")).alias("is_dir"))
+    dirty = rows.where("is_dir").select(path.alias("path")).where("path like '/catalog/Brand#%/%' and (path like '%#1%' or path like '%#2%/S%')")
+    at = shared_dir(spark)
+    for name, table in (("indexed", reconcile.sharded(indexed)), ("truth", reconcile.sharded(truth)), ("dirty", dirty)):
+        held = versions.Versions(spark, f"{at}/{name}")
+        held.replace(table, partition_by=("shard",) if name != "dirty" else ())
+    indexed, truth, dirty = (versions.Versions(spark, f"{at}/{name}").read() for name in ("indexed", "truth", "dirty"))
+    made = reconcile.changes(reconcile.pruned(indexed, dirty), reconcile.pruned(truth, dirty), dirty)
+    return reconcile.applied(indexed, made)
+
+
+@query(f"""WITH {_LOG} SELECT path FROM snap WHERE NOT tombstone""")
+def rescanned_entries(spark, sf):
+    """A scan whose directories are listed one after the other while the log goes on, merged with it: the same as all of the log replayed."""
+    log = _log(spark, sf)
+    last = log.agg(F.max("seq")).head()[0] or 0
+    dirs = log.select(reconcile.parent(F.col("path")).alias("dir")).distinct().where("crc32(cast(dir as binary)) % 4 <> 0").select("dir", F.pmod(F.xxhash64("dir"), F.lit(last + 1)).alias("seq"))
+    # what a listing shows: the log up to its own time
+    due = log.where("op = 'add'").withColumn("dir", reconcile.parent(F.col("path"))).join(dirs.select("dir", F.col("seq").alias("at")), "dir").where("seq <= at")
+    gone = log.where("op = 'remove'").select(F.col("path").alias("top"), F.col("seq").alias("gone"))
+    added = due.groupBy("path", "at").agg(F.max("seq").alias("seq"), F.max_by("is_dir", "seq").alias("is_dir"))
+    hit = added.select("path", "seq", "at", F.explode(reconcile.above(F.col("path"))).alias("top")).join(gone, "top").where("gone > seq and gone <= at").select("path").distinct()
+    return reconcile.rescanned(dirs, added.join(hit, "path", "left_anti").select("path", "is_dir"), log).select("path")
+
+
+# --- themes, sessions, manifests, probes ----------------------------------------------------------
+
+
+def _theme_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Index files of themes named like brands: each inherits from two others, and has a folder for each type and size in it."""
+    part = X.table(spark, sf, "part")
+    number = F.substring_index("p_brand", "#", -1).cast("int")
+    heads = part.select("p_brand", number.alias("b")).distinct().select("p_brand", F.array(F.lit("[Icon Theme]"), F.concat(F.lit("Inherits = Brand#"), F.col("b") % 25 + 1, F.lit(" ,, Brand#"), F.col("b") * 7 % 25 + 1)).alias("ls"))
+    kind = F.element_at(F.array(F.lit("Fixed"), F.lit("Scalable"), F.lit("Threshold"), F.lit("odd")), F.col("p_size") % 4 + 1)
+    body = part.select("p_brand", "p_type", "p_size").distinct().select("p_brand", F.array(F.concat(F.lit("[ "), F.concat_ws("/", F.col("p_size"), F.col("p_type")), F.lit(" ]")), F.lit("# a remark"), F.concat(F.lit("Size="), F.col("p_size")), F.concat(F.lit("Type="), kind), F.concat(F.lit("MinSize="), F.col("p_size") - 2), F.concat(F.lit("MaxSize="), F.col("p_size") + 3), F.concat(F.lit("Scale="), F.col("p_size") % 3)).alias("ls"))
+    placed = heads.union(body).withColumn("at", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.col("ls")[0] != "[Icon Theme]", F.col("ls")[0])))
+    return placed.select(F.col("p_brand").alias("theme"), F.posexplode("ls").alias("i", "value"), "at").select("theme", (F.col("at") * 10 + F.col("i")).alias("n"), "value")
+
+
+@query("""WITH RECURSIVE b AS (SELECT DISTINCT p_brand AS theme, split_part(p_brand, '#', 2)::INT AS n FROM part), e AS (SELECT theme, 'Brand#' || (n % 25 + 1) AS x, 'Brand#' || (n * 7 % 25 + 1) AS y FROM b),
+    walk(start, stack, depths, seen) AS (SELECT theme, [theme], [0], []::VARCHAR[] FROM b UNION ALL
+        SELECT start, CASE WHEN done THEN stack[2:] ELSE list_concat(coalesce(kids, []), stack[2:]) END, CASE WHEN done THEN depths[2:] ELSE list_concat(coalesce(list_transform(kids, lambda k: depths[1] + 1), []), depths[2:]) END, CASE WHEN done THEN seen ELSE list_append(seen, stack[1]) END
+        FROM (SELECT w.*, list_contains(seen, stack[1]) OR depths[1] > 8 AS done, CASE WHEN e.theme IS NOT NULL THEN [x, y] END AS kids FROM walk w LEFT JOIN e ON e.theme = stack[1] WHERE len(stack) > 0)),
+    ended AS (SELECT start, list_concat(seen, ['Adwaita', 'hicolor']) AS seen FROM walk WHERE len(stack) = 0)
+    SELECT start, (generate_subscripts(seen, 1) - 1)::INT AS ord, unnest(seen) AS theme FROM ended""")
+def theme_chains(spark, sf):
+    """The themes that are looked at for each theme, in turn."""
+    sections = themes.index_sections(_theme_lines(spark, sf))
+    return themes.chains(X.table(spark, sf, "part").select(F.col("p_brand").alias("start")).distinct(), themes.inherits(sections))
+
+
+@query("""WITH f AS (SELECT DISTINCT p_brand AS theme, p_size || '/' || p_type AS dir, p_size AS size, CASE WHEN p_size % 3 = 0 THEN 1 ELSE p_size % 3 END AS scale, CASE WHEN p_size > 2 THEN p_size - 2 ELSE p_size END AS least, p_size + 3 AS most, p_size % 4 AS kind FROM part),
+    d AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY '[ ' || dir || ' ]') AS place FROM f), files AS (SELECT DISTINCT p_brand AS theme, p_size || '/' || p_type AS dir, p_name AS name, min(p_partkey) AS k, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS e FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL),
+    asked AS (SELECT DISTINCT p_brand AS start, p_name AS name, (p_size * 2)::INT AS pixels FROM part WHERE p_partkey % 4 = 0),
+    r AS (SELECT a.start, a.name, a.pixels, k, e, place, CASE WHEN kind = 0 THEN size * scale = pixels WHEN kind = 1 THEN least * scale <= pixels AND pixels <= most * scale ELSE abs(pixels - size * scale) <= 2 * scale END AS exact,
+        CASE WHEN kind = 0 THEN abs(size * scale - pixels) WHEN kind = 1 THEN CASE WHEN pixels < least * scale THEN least * scale - pixels WHEN pixels > most * scale THEN pixels - most * scale ELSE 0 END
+            ELSE CASE WHEN pixels < (size - 2) * scale THEN least * scale - pixels WHEN pixels > (size + 2) * scale THEN pixels - most * scale ELSE 0 END END AS far
+        FROM asked a JOIN files f ON f.name = a.name AND f.theme = a.start JOIN d ON d.theme = f.theme AND d.dir = f.dir),
+    best AS (SELECT *, row_number() OVER (PARTITION BY start, name, pixels ORDER BY (NOT exact)::INT, CASE WHEN exact THEN 0 ELSE far END, place, e, k) AS o FROM r)
+    SELECT start, name, pixels, '/icons/' || k AS path FROM best WHERE o = 1""")
+def themed_icons(spark, sf):
+    """The icon that serves each name at a size, in its own theme."""
+    sections = themes.index_sections(_theme_lines(spark, sf))
+    part = X.table(spark, sf, "part")
+    ext = F.when(F.col("p_partkey") % 3 == 0, ".svg").otherwise(".png")
+    files = part.where("p_partkey % 5 <> 0").groupBy(F.col("p_brand").alias("theme"), F.concat_ws("/", F.col("p_size"), F.col("p_type")).alias("dir"), F.col("p_name").alias("name"), ext.alias("ext")).agg(F.min("p_partkey").alias("k"))
+    files = files.select(F.lit(0).alias("base"), "theme", "dir", "name", "ext", F.lit(100).alias("bytes"), F.concat(F.lit("/icons/"), "k").alias("path"))
+    asked = part.where("p_partkey % 4 = 0").select(F.col("p_brand").alias("start"), F.col("p_name").alias("name"), (F.col("p_size") * 2).alias("pixels"))
+    own = part.select(F.col("p_brand").alias("start"), F.lit(0).alias("ord"), F.col("p_brand").alias("theme")).distinct()
+    return themes.lookup(asked, own, themes.theme_dirs(sections), files)
+
+
+@query(f"""WITH {X.SQL_EVENTS}, m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS o FROM ev), live AS (SELECT * FROM m WHERE o = 1 AND event_type <> 'signup')
+    SELECT user_id AS conn, pos::INT AS pos, (k + pos - 3)::BIGINT AS id, 'https://s' || k || '.org/' || pos AS url, pos = 0 AS pinned FROM live, (SELECT unnest(range(0, 5)) AS pos) WHERE pos < k % 5 AND k + pos - 3 >= 0""")
+def live_sessions(spark, sf):
+    """The tabs of connections that aren't closed: each one's last list as a whole."""
+    row = "concat('{\"id\":', k + p - 3, ',\"url\":\"https://s', k, '.org/', p, '\",\"pinned\":', p = 0, '}')"
+    tabs = F.expr(f"concat('[', array_join(transform(slice(array(0, 1, 2, 3, 4), 1, k % 5), p -> {row}), ','), ']')")
+    messages = X.events(spark, sf).select(F.col("user_id").alias("conn"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.when(F.col("event_type") == "signup", "close").otherwise("tabs").alias("kind"), tabs.alias("tabs"))
+    return sessions.merged(sessions.latest(messages)).select("conn", "pos", "id", "url", "pinned")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, 'd' || lpad(c_custkey::VARCHAR, 9, '0') AS dir, c_custkey % 11 AS m FROM customer),
+    e AS (SELECT *, CASE m WHEN 1 THEN 'not readable' WHEN 2 THEN 'version' WHEN 3 THEN 'id' WHEN 4 THEN 'no command' WHEN 5 THEN 'address' WHEN 6 THEN 'not reachable' WHEN 7 THEN 'context' WHEN 8 THEN 'type' END AS error, CASE WHEN m = 3 THEN 'Bad Id' ELSE 'p' || k % 700 END AS id FROM c),
+    f AS (SELECT *, min(dir) FILTER (error IS NULL) OVER (PARTITION BY id) AS first FROM e)
+    SELECT dir, coalesce(error, CASE WHEN dir > first THEN 'id taken by ' || first END) AS error, CASE WHEN m <> 1 THEN greatest(100, least(10000, CASE WHEN k % 40 = 0 THEN 1500 ELSE k % 40 * 400 END)) ELSE 1500 END::INT AS timeout_ms FROM f""")
+def loaded_manifests(spark, sf):
+    """Manifests as text, one for each customer, of which many are broken in some way."""
+    k, m = F.col("c_custkey"), F.col("c_custkey") % 11
+    body = F.struct(
+        F.when(m == 2, 3).otherwise(1).alias("v"), F.when(m == 3, "Bad Id").otherwise(F.concat(F.lit("p"), k % 700)).alias("id"), F.when(m == 8, "shell").when(m == 5, "http").otherwise("command").alias("type"),
+        F.struct(F.when(m == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("run"), F.col("c_name"))).alias("argv")).alias("command"), F.struct(F.lit("ftp://x").alias("url")).alias("http"),
+        (k % 40 * 400).alias("timeout_ms"), F.when(m == 6, F.array().cast("array<string>")).otherwise(F.array(F.lit("B1"), F.lit("b1"))).alias("bangs"), F.array(F.when(m == 7, "odd").otherwise("running")).alias("context"),
+    )
+    text = F.when(m == 1, F.lit('{"v": 1, "id"')).otherwise(F.to_json(body))
+    files = X.table(spark, sf, "customer").select(F.concat(F.lit("d"), F.lpad(k.cast("string"), 9, "0")).alias("dir"), text.alias("value"))
+    return loaders.checked(files).select("dir", "error", "timeout_ms")
+
+
+@query(f"""WITH {X.SQL_OPENS}, t AS (SELECT max(ts) AS now FROM opens), mem AS (SELECT path, CASE WHEN event_id % 3 <> 0 THEN event_id END AS recent, ts AS checked FROM opens QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, CASE WHEN event_id % 3 <> 0 THEN event_id END DESC NULLS LAST) = 1),
+    ask AS (SELECT DISTINCT path FROM opens WHERE user_id % 2 = 0), s AS (SELECT path, recent, checked, now - checked < INTERVAL 1 HOUR AS fresh FROM ask LEFT JOIN mem USING (path), t), o AS (SELECT path, row_number() OVER (ORDER BY checked NULLS FIRST, path) AS n FROM s WHERE NOT coalesce(fresh, false))
+    SELECT path, recent FROM s WHERE fresh UNION ALL SELECT path, CASE WHEN n <= 40 AND strlen(path) % 2 = 0 THEN strlen(path)::BIGINT END FROM o""")
+def probed_paths(spark, sf):
+    """Recency of paths asked for: from the memory where it's fresh, asked anew within a budget, else none."""
+    opens = X.opens(spark, sf)
+    now = F.lit(opens.agg(F.max("ts")).head()[0])
+    memory = opens.select("path", F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("recent"), F.col("ts").alias("checked"))
+    known, open_ = probe.split(opens.where("user_id % 2 = 0"), memory, now, 3600.0)
+    asked = probe.budgeted(open_, 40)
+    answers = asked.where("length(path) % 2 = 0").select("path", F.length("path").cast("long").alias("recent"))
+    return probe.answered(known, open_, answers)
+
+
+@query(f"""WITH {X.SQL_EVENTS}, shown AS (SELECT user_id, event_id, k, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rank FROM ev QUALIFY rank < 4), n AS (SELECT user_id, count(*) AS n FROM shown GROUP BY 1)
+    SELECT user_id AS id, rank::INT AS rank, CASE WHEN k % 3 = 0 THEN 'plugin' ELSE 'file' END AS kind, CASE WHEN k % 3 <> 0 THEN CASE WHEN user_id % 2 = 0 AND k % 4 <> 0 THEN value ELSE 0 END END AS boost, CASE WHEN k % 3 <> 0 THEN 2 END AS depth, user_id % 2 = 0 AS joined, rank = user_id % 4 AS picked FROM shown JOIN n USING (user_id) WHERE user_id % 4 < n""")
+def written_records(spark, sf):
+    """Reports of picks written as log lines and read back as impressions."""
+    ev = X.events(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).where("rank < 4")
+    kind = F.when(F.col("k") % 3 == 0, "plugin").otherwise("file")
+    path = F.concat(F.lit("/d/f"), "event_id")
+    row = F.struct(F.col("rank"), kind.alias("kind"), F.when(kind == "file", path).alias("path"), F.when(kind == "plugin", "calc").alias("plugin"), F.lit(7).alias("score"), F.lit("t").alias("title"))
+    reports = ev.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r.dropFields("rank")).alias("shown"), F.min("ts").alias("ts"))
+    picked = F.struct((F.col("user_id") % 4).cast("int").alias("rank"), F.lit("open").alias("action"), F.lit(False).alias("revealed"))
+    reports = reports.select(F.col("user_id").alias("id"), "ts", F.concat(F.lit("q"), "user_id").alias("query"), "shown", picked.alias("picked"), F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("imp"))
+    signals = {c: F.lit(0).cast(k) for c, k in arbiter.SIGNALS.items()} | {"boost": F.col("value")}
+    known = ev.where("k % 4 <> 0 or rank = 0").select(F.col("user_id").alias("imp"), F.lit(True).alias("blend"), F.when(F.col("k") % 4 != 0, path).alias("path"), *(v.alias(c) for c, v in signals.items()))
+    lines = arbiter.report_records(reports, known)
+    log = lines.select("id", F.from_json("value", logs.LOG_SCHEMA).alias("r")).select("id", "r.*")
+    rows = log.where("v = 1 and picked.rank between 0 and size(shown) - 1").select("id", "joined", F.col("picked.rank").alias("p"), F.posexplode("shown").alias("rank", "s"))
+    return rows.select("id", "rank", "s.kind", "s.boost", "s.depth", "joined", (F.col("rank") == F.col("p")).alias("picked"))
+
+
+@query("""WITH s AS (SELECT 'apps-search' AS source, s_name AS display, s_suppkey AS k, 'run ' || s_name AS command FROM supplier WHERE s_suppkey % 3 = 0), t AS (SELECT 'firefox-tabs' AS source, c_name AS display, c_custkey AS k, 'tab ' || c_nationkey || ' ' || c_custkey AS command FROM customer WHERE c_custkey % 5 = 0),
+    f AS (SELECT 'firefox-frequent' AS source, n_name AS display, n_nationkey AS k, NULL AS command FROM nation), u AS (SELECT *, 6 AS most FROM s UNION ALL SELECT *, 20 FROM t UNION ALL SELECT *, 20 FROM f),
+    w AS (SELECT source, display, command, most, CASE WHEN lower(display) = 'er' THEN 0 WHEN starts_with(lower(display), 'er') THEN 1 WHEN regexp_matches(display, '(^|[^A-Za-z])[Ee][Rr]') THEN 2 ELSE 3 END AS tier, CASE WHEN source = 'firefox-tabs' THEN k ELSE 0 END AS tie,
+        CASE source WHEN 'apps-search' THEN command WHEN 'firefox-tabs' THEN 'https://c' || k || '.zz/' ELSE 'https://n' || k || '.zz/' END AS sort_key FROM u WHERE contains(lower(display), 'er')),
+    p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY tier, tie DESC, lower(display), display, sort_key) AS row_rank FROM w)
+    SELECT source, display, command, row_rank::BIGINT AS row_rank, (min(tier) OVER (PARTITION BY source) <= 2)::INT AS priority FROM p WHERE row_rank <= most""")
+def dispatched_sources(spark, sf):
+    """One query answered by the engine's own sources together."""
+    apps = X.table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("run "), "s_name").alias("exec"))
+    tabs = X.table(spark, sf, "customer").where("c_custkey % 5 = 0").select(F.concat(F.lit("https://c"), "c_custkey", F.lit(".zz/")).alias("url"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("conn"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("last_accessed"))
+    frequent = X.table(spark, sf, "nation").select(F.concat(F.lit("https://n"), "n_nationkey", F.lit(".zz/")).alias("url"), F.col("n_name").alias("title"), F.lit("h").alias("host"), F.lit(0).alias("c30"))
+    registry = providers.Registry(providers.built_in(frequent, tabs, apps), suggest=True)
+    found = registry.dispatch(spark, "er", fuzzy=False)
+    if registry.errors:
+        raise RuntimeError("; ".join(registry.errors))
+    return found.select("source", "display", "command", "row_rank", "priority")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: Built-in sources that stand above the files (fixed names).
+ABOVE = ["apps-search", "firefox-frequent", "firefox-tabs"]
 _ROW = "rank int, kind string, path string, class int, effClass int, align int, boost double, recency double, cwd double, penalty double, isDir boolean, depth int, ext string, plugin string, title string, score int"
 LOG_SCHEMA = f"v int, ts string, query string, blendActive boolean, joined boolean, refined boolean, shown array<struct<{', '.join(c.replace(' ', ':', 1) for c in _ROW.split(', '))}>>, picked struct<rank:int,kind:string,path:string,plugin:string,action:string,revealed:boolean>"
 
@@ -28,13 +30,22 @@ def pick_records(log: DataFrame) -> DataFrame:
 
 
 def impressions(log: DataFrame) -> DataFrame:
-    """(imp, ts, query, joined, pos, picked, row) of valid records: the picked rank lies in the list and every row is a file or a plugin row."""
-    rows = log.withColumn("imp", F.monotonically_increasing_id())
+    """(imp, ts, query, joined, pos, picked, row) of valid records: the picked rank lies in the list and every row is a file or a plugin row.
+
+    imp is a hash of the record, so it's the same whenever the log is read; equal records are one impression.
+    """
+    rows = log.dropDuplicates(["ts", "query", "shown", "picked"]).withColumn("imp", F.xxhash64("ts", "query", "shown", "picked"))
     known = F.forall("shown", lambda r: r["kind"].isin("file", "plugin"))
     rows = rows.where(F.col("picked.rank").between(0, F.size("shown") - 1) & known)
     return rows.select("imp", "ts", "query", "joined", "picked.rank", F.posexplode("shown").alias("pos", "row")).select("imp", "ts", "query", "joined", "pos", (F.col("pos") == F.col("rank")).alias("picked"), "row")
 
 
+def with_hours(rows: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Impressions with the hour of their day in a time zone, and the priority of the built-in sources: 1 for those that stand above the files, else 0."""
+    hour = F.hour(F.from_utc_timestamp(F.to_utc_timestamp("ts", F.current_timezone()), F.lit(zone)))
+    return rows.withColumns({"hour": hour, "priority": F.when(F.col("row.plugin").isin(ABOVE), 1).otherwise(0)})
+
+
 def pick_error(report: DataFrame) -> DataFrame:
     """Reports (query, shown_rows, rank, kind, path, plugin) with error, the first reason to reject one, null if none."""
     error = (

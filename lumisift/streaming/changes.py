@@ -5,13 +5,14 @@ State is kept per key; a key is a root (or another part of the tree), so that ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans import reconcile as R
 from ..plans import store
 
 QUIET_MS, OLDEST_MS, MOST_PENDING = 250, 1000, 4096
@@ -142,10 +143,27 @@ def reconciled(indexed: DataFrame, truth: DataFrame, dirty: DataFrame) -> DataFr
 
 
 def watch(events: DataFrame, read_index, read_truth, write_index, checkpoint: str):
-    """A streaming query that reconciles the index for each micro-batch of events (path). The tables come and go through the callables, so a snapshot is swapped whole."""
+    """A streaming query that reconciles the index for each micro-batch of events (path). The tables come and go through the callables, so a snapshot is swapped whole; ``watch_table`` writes what changes only."""
 
     def apply(batch: DataFrame, _: int) -> None:
         dirty = batch.select("path").distinct()
         write_index(reconciled(read_index(), read_truth(), dirty))
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def watch_table(events: DataFrame, table: R.EntryTable, read_truth: Callable[[], DataFrame], checkpoint: str, roots: DataFrame | None = None):
+    """A streaming query that holds the dirty paths of each micro-batch of events (path) against the truth (path, is_dir) and appends what changes to the table's log.
+
+    Only dirty shards are read. A micro-batch that runs again after a failure writes the same batch of the log again.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        dirty = batch.select("path").distinct().persist()
+        try:
+            made = R.changes(R.pruned(table.read(number), dirty), R.pruned(R.sharded(read_truth()), dirty), dirty, roots)
+            table.append(number, made)
+        finally:
+            dirty.unpersist()
+
+    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
