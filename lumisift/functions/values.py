@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import paths as P
+
 KB, MB, GB = 1 << 10, 1 << 20, 1 << 30
 
 #: First bytes of image files (fixed values).
@@ -70,3 +72,30 @@ def app_key(desktop_id: Column, argv: Column) -> Column:
     """The usage key of an application: its id, else its command line; empty without either."""
     has_id, has_argv = F.coalesce(desktop_id, F.lit("")) != "", F.coalesce(F.size(argv), F.lit(0)) > 0
     return F.when(has_id, F.concat(F.lit("app:"), desktop_id)).when(has_argv, F.concat(F.lit("app:"), F.array_join(argv, " "))).otherwise("")
+
+
+#: Bytes of an icon that isn't a name, at most (a fixed value).
+ICON_BYTES = 32
+#: Sources of the engine's own applications (fixed names).
+APPLICATIONS = ["apps", "apps-search"]
+
+
+def safe_icon(icon: Column) -> Column:
+    """An icon that is a name or a short sign; anything else is none."""
+    name = icon.rlike("^[a-z0-9_-]+$")
+    return F.when(name, icon).when((F.octet_length(icon) > ICON_BYTES) | icon.rlike(r"\p{Cc}"), "").otherwise(F.coalesce(icon, F.lit("")))
+
+
+def page_icon_key(url: Column) -> Column:
+    return F.when(F.coalesce(url, F.lit("")) == "", "").otherwise(F.concat(F.lit("favicon:"), url))
+
+
+def picked_app_key(source: Column, action: Column, desktop_id: Column, arguments: Column) -> Column:
+    """The key that a launch counts under: of a command that one of the engine's own sources of applications has run; else none."""
+    return F.when(source.isin(APPLICATIONS) & (action == "run_command"), app_key(desktop_id, arguments)).otherwise("")
+
+
+def meta_rows(path: Column, size: Column, modified: Column, mode: Column, kind: Column) -> Column:
+    """What a card tells of a file: an array of (label, value)."""
+    rows = [("Size", P.human_size(size)), ("Modified", F.date_format(modified, "yyyy-MM-dd HH:mm")), ("Mode", mode), ("Kind", kind), ("Path", path)]
+    return F.array(*(F.struct(F.lit(k).alias("label"), v.alias("value")) for k, v in rows))

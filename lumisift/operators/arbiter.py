@@ -6,6 +6,7 @@ the other kind may be null. Training sees differences between an impression's pi
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -117,7 +118,14 @@ def train(rows: DataFrame, least: int = LEAST_PICKS) -> Outcome:
     found = U.pair_accuracy(U.pairs(scored(parts.where("holdout"), first))).head()
     if found["model"] <= found["baseline"]:
         return Outcome(picks, found["model"], found["baseline"], None, "inactive: the model is no better than the shown order")
-    return Outcome(picks, found["model"], found["baseline"], fit(rows), "active")
+    last = fit(rows)
+    if not finite(last):
+        return Outcome(picks, found["model"], found["baseline"], None, "inactive: the weights aren't finite")
+    return Outcome(picks, found["model"], found["baseline"], last, "active")
+
+
+def finite(weights: list[float]) -> bool:
+    return all(math.isfinite(w) for w in weights)
 
 
 def impressions_of_picks(log: DataFrame, by: list[str], last: int = 8) -> DataFrame:

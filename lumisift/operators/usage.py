@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import matching as M
 from ..functions import paths as P
+from ..plans.versions import Versions
 
 #: Bounds of the remembered tables (fixed values).
 OPEN_KEYS, QUERIES, ROWS_PER_QUERY, EXTENSIONS, DIRECTORIES, EXACT_BYTES = 4096, 2048, 4, 512, 2048, 512 << 10
@@ -164,3 +165,33 @@ def cache_budget(items: DataFrame, budget: int, overhead: int = 256, most: int =
     newest = items.where(F.col("size") + overhead <= budget).orderBy(F.desc("used"), "key").limit(most)
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("used"), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return newest.withColumn("upto", F.sum(F.col("size") + overhead).over(w)).where(F.col("upto") <= budget).select("key", "size", "used", "upto")
+
+
+def merged_counts(stored: DataFrame | None, opens: DataFrame, now: Column, most: int = OPEN_KEYS) -> DataFrame:
+    """(path, count, touched) after opens (path, ts): what is stored and each open, halved for each half-life up to the last open; the ``most`` opened are kept.
+
+    stored: (path, count, touched), rows that can't be used are left out; None if there is nothing yet.
+    """
+    rows = opens.where(F.col("path").isNotNull() & (F.col("path") != "") & F.col("ts").isNotNull()).select("path", F.lit(1.0).alias("w"), F.col("ts").alias("t"))
+    if stored is not None:
+        rows = rows.union(valid_counts(stored).select("path", F.col("count").alias("w"), F.col("touched").alias("t")))
+    sums = rows.groupBy("path").agg(F.sum(P.decayed(F.col("w"), seconds(now) - seconds(F.col("t")))).alias("boost"), F.max("t").alias("touched"))
+    return keep_most_opened(sums, most).select("path", (F.col("boost") / P.decayed(F.lit(1.0), seconds(now) - seconds(F.col("touched")))).alias("count"), "touched")
+
+
+def record_opens(table: Versions, opens: DataFrame, now: Column, most: int = OPEN_KEYS) -> int:
+    """Makes the counts after these opens the table's next version; one that another writer has made meanwhile is built upon."""
+    return table.update(lambda stored: merged_counts(stored, opens, now, most))
+
+
+def record_queries(table: Versions, entries: DataFrame, most: int = 100) -> int:
+    """Makes the history (place, entry) after entries (ord, entry) the table's next version."""
+    new = entries.select((F.col("ord") + (1 << 40)).alias("ord"), "entry")
+    return table.update(lambda stored: history(new if stored is None else stored.select(F.col("place").alias("ord"), "entry").union(new), most))
+
+
+def table_sizes(exact: DataFrame, extensions: DataFrame, directories: DataFrame) -> DataFrame:
+    """One row (queries, extensions, directories): how many keys each table of priors has."""
+    parts = [t.select(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, (t, c) in enumerate(((exact, "query"), (extensions, "key"), (directories, "key")))]
+    every = parts[0].union(parts[1]).union(parts[2])
+    return every.agg(*(F.count_distinct(F.when(F.col("kind") == k, F.col("key"))).alias(name) for k, name in enumerate(("queries", "extensions", "directories"))))

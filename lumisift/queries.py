@@ -871,3 +871,139 @@ def dispatched_sources(spark, sf):
     if registry.errors:
         raise RuntimeError("; ".join(registry.errors))
     return found.select("source", "display", "command", "row_rank", "priority")
+
+
+@query(f"""WITH {X.SQL_OPENS}, c AS (SELECT path, max(ts) AS touched FROM opens GROUP BY 1) SELECT o.path, round(sum(pow(2.0, -(epoch_us(touched) - epoch_us(ts)) / 1e6 / (14 * 86400.0))), 6) AS count, any_value(touched) AS touched FROM opens o JOIN c USING (path) GROUP BY o.path""")
+def stored_counts(spark, sf):
+    """Counts of opens that are recorded in three rounds, each a version of the table."""
+    opens = X.opens(spark, sf)
+    table, now = versions.Versions(spark, shared_dir(spark)), F.lit(opens.agg(F.max("ts")).head()[0])
+    for part in range(3):
+        usage.record_opens(table, opens.where(F.col("event_id") % 3 == part), now)
+    return table.read().select("path", F.round("count", 6).alias("count"), "touched")
+
+
+@query("""WITH e AS (SELECT event_id AS ord, trim(CASE WHEN event_id % 9 = 0 THEN '  ' ELSE ' ' || event_type || ' ' || user_id END) AS entry FROM events), l AS (SELECT entry, max(ord) AS ord FROM e WHERE entry <> '' GROUP BY 1 ORDER BY 2 DESC LIMIT 40)
+    SELECT row_number() OVER (ORDER BY ord) AS place, entry FROM l""")
+def stored_history(spark, sf):
+    """A history that is written in two rounds."""
+    ev = X.table(spark, sf, "events")
+    entries = ev.select(F.col("event_id").alias("ord"), F.when(F.col("event_id") % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), "event_type", F.lit(" "), "user_id", F.lit("\n"))).alias("entry"))
+    table, half = versions.Versions(spark, shared_dir(spark)), ev.agg(F.max("event_id")).head()[0] // 2
+    usage.record_queries(table, entries.where(F.col("ord") <= half), 40)
+    usage.record_queries(table, entries.where(F.col("ord") > half), 40)
+    return table.read()
+
+
+_FOLDED = {"accents": "ÉLÉ", "ends": "ción", "umlaut": "Ü", "plain": "The"}
+
+
+def _folded_sql() -> str:
+    cases = []
+    for name, pattern in _FOLDED.items():
+        folded = pattern.lower()
+        word = "ascii_low" if pattern.isascii() else "low"
+        inner = ".*".join(folded)
+        cases.append(f"SELECT '{name}' AS pattern, w AS word, starts_with({word}, '{folded}') AS begins, ends_with({word}, '{folded}') AS ends, contains({word}, '{folded}') AS holds, {word} = '{folded}' AS same, (instr({word}, '{folded}') - 1)::INT AS at, (CASE WHEN starts_with({word}, '{folded}') THEN strlen(w[1:{len(folded)}]) ELSE -1 END)::INT AS covered, regexp_matches({word}, '(?s){inner}') AS in_order FROM words")
+    return "WITH words AS (SELECT *, lower(w) AS low, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ascii_low FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\s.,;:!?\"()]+')) AS w FROM documents WHERE lang IS NOT NULL)), " + f"found AS ({' UNION ALL '.join(cases)}) SELECT * FROM found WHERE begins OR ends OR holds OR in_order"
+
+
+@query(_folded_sql())
+def folded_words(spark, sf):
+    """Words of all documents under patterns of several alphabets: where they stand, and what they cover."""
+    words = X.table(spark, sf, "documents").where("lang is not null").select(F.explode(F.regexp_extract_all("text", F.lit(r'[^\s.,;:!?"()]+'), F.lit(0))).alias("word")).distinct()
+    parts = []
+    for name, pattern in _FOLDED.items():
+        t, w = M.term(pattern), F.col("word")
+        parts.append(words.select(F.lit(name).alias("pattern"), "word", M.is_prefix(w, t).alias("begins"), M.is_suffix(w, t).alias("ends"), M.contains(w, t).alias("holds"), M.equals(w, t).alias("same"), M.index_of(w, t).alias("at"), M.prefix_bytes(w, t).alias("covered"), M.is_subsequence(w, t).alias("in_order")))
+    return reduce(DataFrame.union, parts).where("begins or ends or holds or in_order")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS host, s_nationkey AS n FROM supplier) SELECT host, 1024 * (1000 + host)::BIGINT AS total, CASE WHEN n % 3 <> 0 THEN 1024 * n::BIGINT END AS available, CASE WHEN n % 5 <> 0 THEN 1024 * (7 * n)::BIGINT END AS swap_total, NULL::BIGINT AS swap_free FROM s""")
+def memory_tables(spark, sf):
+    n, host = F.col("s_nationkey"), F.col("s_suppkey")
+    lines = F.array(F.concat(F.lit("MemTotal:     "), 1000 + host, F.lit(" kB")), F.when(n % 3 != 0, F.concat(F.lit("MemAvailable: "), n, F.lit(" kB"))).otherwise("MemAvailable: none kB"), F.when(n % 5 != 0, F.concat(F.lit("SwapTotal: "), 7 * n, F.lit(" kB"))).otherwise("Swap: 5 kB"), F.lit("SwapFree: -3 kB"))
+    return system.memory_info(X.table(spark, sf, "supplier").select(host.alias("host"), F.explode(lines).alias("value")), ["host"])
+
+
+@query("""SELECT c_custkey AS host, (c_custkey + c_nationkey * 2 + 5 + 7 + 1)::BIGINT AS total, (c_custkey + c_nationkey * 2 + 1)::BIGINT AS busy FROM customer WHERE c_custkey % 6 <> 0""")
+def cpu_tables(spark, sf):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    lines = F.array(F.concat_ws(" ", F.when(k % 6 != 0, "cpu ").otherwise("cpux"), k, n, n, F.lit(5), F.lit(7), F.lit(1)), F.concat_ws(" ", F.lit("cpu0"), k, k, k, k, k), F.lit("intr 5 5 5 5 5"))
+    return system.cpu_counters(X.table(spark, sf, "customer").select(k.alias("host"), F.explode(lines).alias("value")), ["host"])
+
+
+@query("""SELECT c_custkey AS pid, (c_custkey // 3)::BIGINT AS ppid, (CASE WHEN c_custkey % 4 = 0 THEN -1 ELSE c_custkey * 2 END)::BIGINT AS tpgid FROM customer WHERE c_custkey % 7 <> 0""")
+def process_tables(spark, sf):
+    k = F.col("c_custkey")
+    line = F.concat(F.when(k % 7 == 0, "x").otherwise(""), k.cast("string"), F.lit(" ("), "c_name", F.when(k % 2 == 0, ") (b)").otherwise(" a b)"), F.lit(" S "), F.floor(k / 3).cast("string"), F.lit(" 9 9 34816 "), F.when(k % 4 == 0, F.lit("-1")).otherwise((k * 2).cast("string")), F.lit(" 4194304 77"))
+    return system.process_stats(X.table(spark, sf, "customer").select(line.alias("value")))
+
+
+@query("""WITH g AS (SELECT CASE p_size % 3 WHEN 0 THEN '*.' || lower(p_type) WHEN 1 THEN 'name-' || p_size ELSE 'a?[' || p_size || ']*' END AS "glob", p_size * 2 AS weight, 'x/' || lower(p_brand) AS type, p_size % 2 AS dir FROM part WHERE p_size % 11 <> 0),
+    b AS (SELECT *, row_number() OVER (PARTITION BY "glob" ORDER BY dir, weight DESC, type) AS o FROM g) SELECT "glob", type, weight, CASE WHEN "glob" LIKE 'name%' THEN 'literal' WHEN starts_with("glob", '*.') THEN 'suffix' ELSE 'complex' END AS form FROM b WHERE o = 1""")
+def glob_tables(spark, sf):
+    size = F.col("p_size")
+    glob = F.when(size % 3 == 0, F.concat(F.lit("*."), F.lower("p_type"))).when(size % 3 == 1, F.concat(F.lit("name-"), size)).otherwise(F.concat(F.lit("a?["), size, F.lit("]*")))
+    line = F.concat(F.when(size % 11 == 0, "#").otherwise(""), (size * 2).cast("string"), F.lit(":x/"), F.lower("p_brand"), F.lit(":"), glob, F.when(size % 4 == 0, ":cs").otherwise(""))
+    return system.type_globs(X.table(spark, sf, "part").select((size % 2).alias("dir"), line.alias("value")))
+
+
+_INI = """lines AS (SELECT n_regionkey AS file, n_nationkey AS k, n_name FROM nation)"""
+
+
+@query(f"""WITH {_INI} SELECT file, 'S' || k AS section, x.key, x.value FROM (SELECT file, k, unnest([{{'key': 'Name', 'value': n_name}}, {{'key': 'Path', 'value': 'p' || k || '=q'}}, {{'key': 'Twice', 'value': 'b'}}]) AS x FROM lines WHERE k % 4 <> 0)""")
+def ini_tables(spark, sf):
+    """Sections of INI files, one for each region, with remarks, blanks, keys that come twice and lines before any section."""
+    k = F.col("n_nationkey")
+    body = F.array(F.when(k % 4 != 0, F.concat(F.lit(" [S"), k.cast("string"), F.lit("] "))).otherwise("; nothing"), F.when(k % 4 != 0, F.concat(F.lit("Name = "), "n_name")).otherwise("# Name=x"), F.when(k % 4 != 0, F.concat(F.lit("Path=p"), k.cast("string"), F.lit("=q"))).otherwise("  "), F.when(k % 4 != 0, F.lit("Twice=a")).otherwise("no value"), F.when(k % 4 != 0, F.lit(" Twice = b ")).otherwise(""))
+    return logs.ini_sections(X.table(spark, sf, "nation").select(F.col("n_regionkey").alias("file"), k, F.posexplode(body).alias("i", "value")).select("file", (k * 10 + F.col("i")).alias("n"), "value"))
+
+
+@query("""WITH f AS (SELECT c_custkey AS file, c_custkey % 3 AS dir, 'app' || c_nationkey || '_' || c_custkey % 50 AS id, c_name, c_custkey % 8 AS m FROM customer), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dir, file) AS o FROM f)
+    SELECT id, c_name AS name, 'run ' || c_name || ' %U' AS exec FROM b WHERE o = 1 AND m NOT IN (1, 2, 3, 4)""")
+def desktop_tables(spark, sf):
+    """Application entries of many files in three folders: the first folder's file of an id counts, usable or not."""
+    k, m = F.col("c_custkey"), F.col("c_custkey") % 8
+    lines = F.array(F.lit("[Desktop Entry]"), F.when(m == 1, "Type=Link").otherwise("Type=Application"), F.when(m == 2, F.lit("Name=")).otherwise(F.concat(F.lit("Name="), "c_name")), F.concat(F.lit("Exec=run "), "c_name", F.lit(" %U")), F.when(m == 3, "NoDisplay=True").otherwise("Icon=x"), F.when(m == 4, "Terminal=true").otherwise("Terminal=false"), F.lit("[Desktop Action new]"), F.lit("Name=Other"))
+    rows = X.table(spark, sf, "customer").select(k.alias("file"), (k * 4 + k % 3).alias("order"), (k % 3).alias("dir"), F.concat(F.lit("app"), "c_nationkey", F.lit("_"), k % 50).alias("id"), F.posexplode(lines).alias("n", "value"))
+    return logs.desktop_apps(rows.withColumn("dir", F.struct("dir", "file")))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN lower(p_type) WHEN p_size % 4 = 1 THEN p_name WHEN p_size % 4 = 2 THEN '' ELSE '' END AS icon, 'favicon:https://x/' || p_partkey AS page, CASE WHEN p_size % 2 = 0 THEN 'app:a' || p_size ELSE '' END AS picked,
+    CASE WHEN p_partkey * 40 < 1024 THEN p_partkey * 40 || ' B' ELSE regexp_replace(printf('%.1f', p_partkey * 40 / 1024.0), '\\.0$', '') || ' KB' END AS size FROM part WHERE p_partkey < 20000""")
+def shown_keys(spark, sf):
+    size = F.col("p_size")
+    icon = F.when(size % 4 == 0, F.lower("p_type")).when(size % 4 == 1, F.col("p_name")).when(size % 4 == 2, F.concat("p_name", F.lit("\u0007"))).otherwise(F.repeat(F.lit("É"), 20))
+    rows = X.table(spark, sf, "part").where("p_partkey < 20000")
+    meta = V.meta_rows(F.col("p_name"), F.col("p_partkey") * 40, F.lit("2024-01-02 03:04:05").cast("timestamp"), F.lit("-rw-r--r--"), F.lit("file"))
+    return rows.select("p_partkey", V.safe_icon(icon).alias("icon"), V.page_icon_key(F.concat(F.lit("https://x/"), "p_partkey")).alias("page"), V.picked_app_key(F.when(size % 2 == 0, "apps").otherwise("calc"), F.lit("run_command"), F.concat(F.lit("a"), size), F.array(F.lit("run"))).alias("picked"), meta[0]["value"].alias("size"))
+
+
+@query("""WITH p AS (SELECT c_nationkey AS n, c_custkey AS base, 'p' || c_custkey AS path, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal::INT // 500 END AS m FROM customer), b AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY greatest(coalesce(m, -1000000), -1000000) DESC, base, path DESC) AS o FROM p WHERE coalesce(m, 0) >= 0) SELECT n, base, path FROM b WHERE o = 1""")
+def active_profiles(spark, sf):
+    """The profile in use of each owner: the one whose history was written last."""
+    when = F.when(F.col("c_custkey") % 5 != 0, F.timestamp_seconds(F.lit(1_000_000) + F.floor(F.round("c_acctbal") / 500)))
+    rows = X.table(spark, sf, "customer").where("c_custkey % 5 = 0 or round(c_acctbal) >= 0").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("base"), F.concat(F.lit("p"), "c_custkey").alias("path"), when.alias("mtime"))
+    return system.active_profile(rows, ["n"])
+
+
+@query("""WITH p AS (SELECT page_id, 'https://h' || page_id % 40 || '.org/x' || page_id AS page_url FROM pages), i AS (SELECT page_id AS icon_id, 'https://i/' || page_id AS icon_url, 16 * (page_id % 5 + 1) AS width FROM pages WHERE page_id % 3 = 0),
+    own AS (SELECT page_url, icon_url, row_number() OVER (PARTITION BY page_url ORDER BY width >= 32 DESC, CASE WHEN width >= 32 THEN width ELSE -width END, icon_id) AS o FROM p JOIN i ON i.icon_id IN (p.page_id, p.page_id + 1)),
+    SELECT_ROOT AS (SELECT DISTINCT 'https://h' || page_id % 40 || '.org/favicon.ico' AS root FROM pages WHERE page_id % 40 < 20)
+    SELECT p.page_url, coalesce(own.icon_url, root) AS icon_url FROM p LEFT JOIN own ON own.page_url = p.page_url AND o = 1 LEFT JOIN SELECT_ROOT ON root = regexp_replace(p.page_url, '/x.*', '/favicon.ico')""")
+def icons_of_pages(spark, sf):
+    """The icon of each page: its own of the best width, else its site's."""
+    pages = X.table(spark, sf, "pages").select("page_id", F.concat(F.lit("https://h"), F.col("page_id") % 40, F.lit(".org/x"), "page_id").alias("page_url"))
+    own = pages.where("page_id % 3 = 0").select(F.col("page_id").alias("id"), F.concat(F.lit("https://i/"), "page_id").alias("icon_url"), (16 * (F.col("page_id") % 5 + 1)).cast("int").alias("width"), F.lit(False).alias("root"), F.col("page_id").cast("int").alias("ord"), F.lit(9).alias("size"))
+    roots = pages.where("page_id % 40 < 20").select((-F.col("page_id") % 40 - 1).alias("id"), F.concat(F.lit("https://h"), F.col("page_id") % 40, F.lit(".org/favicon.ico")).alias("icon_url")).distinct().select("id", "icon_url", F.lit(16).alias("width"), F.lit(True).alias("root"), F.lit(0).alias("ord"), F.lit(9).alias("size"))
+    bridge = pages.select("page_id", F.explode(F.array("page_id", F.col("page_id") + 1)).alias("icon_id"))
+    return web.page_icons(pages, bridge, own.union(roots), 32)
+
+
+@query(f"""WITH {X.SQL_EVENTS} SELECT user_id AS key, count(*) AS n, max(event_id) AS last FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY event_id DESC) AS o FROM ev) WHERE o = 1 GROUP BY 1""")
+def newest_answers(spark, sf):
+    """A memory of answers keeps the newest of each path."""
+    memory = X.events(spark, sf).select(F.concat("user_id", F.lit("/"), "k").alias("path"), F.col("event_id").alias("recent"), F.timestamp_seconds("event_id").alias("checked"))
+    kept = probe.newest_answers(memory)
+    return kept.groupBy(F.substring_index("path", "/", 1).cast("long").alias("key")).agg(F.count("*").alias("n"), F.max("recent").alias("last"))

@@ -77,3 +77,9 @@ def listing(entries: DataFrame, most: int) -> DataFrame:
 def live_or_stored(live: DataFrame, stored: DataFrame, connected: DataFrame, by: list[str]) -> DataFrame:
     """Live rows of sources that are connected (by), even if they have none, and the stored rows of all others."""
     return live.join(connected, by, "left_semi").unionByName(stored.join(connected, by, "left_anti"))
+
+
+def active_profile(profiles: DataFrame, by: list[str]) -> DataFrame:
+    """The profile (by, base, path) in use: that whose history was written last; the earlier base on ties. profiles: (by, base, path, mtime), mtime null if there is no history."""
+    best = profiles.groupBy(*by).agg(F.max(F.struct(F.coalesce("mtime", F.lit(0).cast("timestamp")).alias("mtime"), (-F.col("base")).alias("turn"), "path")).alias("b"))
+    return best.select(*by, (-F.col("b.turn")).alias("base"), "b.path")
