@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import matching as M
+from . import paths as P
 from .matching import BEST_UNITS, BOUNDARY, CAMEL, CONSECUTIVE, GAP_CAP, GAP_EXTEND, GAP_OPEN, MATCH, START, TRANSITION, Term
 
 
@@ -101,3 +103,15 @@ def highlight(display: Column, wanted: list[Term], fuzzy: bool = True) -> Column
         return texts.map(lambda x: ranges({i for t in wanted for i in term_positions(x or "", t, fuzzy)}))
 
     return run(display)
+
+
+def substring_ranges(display: Column, wanted: list[Term]) -> Column:
+    """The same where terms count as substrings only, as a Column that stays in the JVM."""
+
+    def range_(t: Term) -> Column:
+        folded = t.fold(display)
+        inner = F.regexp_instr(folded, F.lit(r"[^\p{L}\p{Nd}]" + M._literal(t.text)))
+        at = F.when(folded.startswith(t.text), 0).when(inner > 0, inner).otherwise(F.instr(folded, F.lit(t.text)) - 1)
+        return F.when(at >= 0, F.array(at, at + t.units))
+
+    return P.merge_ranges(F.filter(F.array(*(range_(t) for t in wanted)), lambda r: r.isNotNull()), F.length(display), 1 << 20)

@@ -13,7 +13,7 @@ from .functions import heads
 from .functions import matching as M
 from .functions import paths as P
 from .functions import values as V
-from .functions.positions import highlight
+from .functions.positions import highlight, substring_ranges
 from .operators import arbiter, probe, providers, ranking, search, series, sessions, themes, usage, web
 from .plans import fixtures as X
 from .plans import reconcile, store, versions
@@ -672,7 +672,7 @@ def ranked_applications(spark, sf):
 # --- stores, sweeps, sources ----------------------------------------------------------------------
 
 
-def _paths(spark: SparkSession, sf: str) -> DataFrame:
+def _entry_paths(spark: SparkSession, sf: str) -> DataFrame:
     return X.entries(spark, sf).select(P.entry_path(F.col("parent_dir"), F.col("name")).alias("path"), "is_dir")
 
 
@@ -699,7 +699,7 @@ _TIMES = """times AS (SELECT '/catalog/' || p_brand || '/' || p_type AS path, ma
     hot AS (SELECT times.path FROM times, mark WHERE mtime >= t - INTERVAL 2 SECOND), kept AS (SELECT path, is_dir FROM one WHERE parent_dir NOT IN (SELECT path FROM hot) UNION SELECT path, is_dir FROM two WHERE parent_dir IN (SELECT path FROM hot)) SELECT path, is_dir FROM kept""")
 def sweep_passes(spark, sf):
     """Two passes over the catalogue: the first looks at all, the second at what was touched since the first one's start."""
-    every = _paths(spark, sf).where("path <> '/catalog'")
+    every = _entry_paths(spark, sf).where("path <> '/catalog'")
     at = shared_dir(spark)
     table = reconcile.EntryTable(spark, f"{at}/entries")
     table.load(_truth(every, "7"))
@@ -1007,3 +1007,30 @@ def newest_answers(spark, sf):
     memory = X.events(spark, sf).select(F.concat("user_id", F.lit("/"), "k").alias("path"), F.col("event_id").alias("recent"), F.timestamp_seconds("event_id").alias("checked"))
     kept = probe.newest_answers(memory)
     return kept.groupBy(F.substring_index("path", "/", 1).cast("long").alias("key")).agg(F.count("*").alias("n"), F.max("recent").alias("last"))
+
+
+@query("""WITH t AS (SELECT p_partkey, lower(p_name) AS low, unnest(['ear', 'gea', 'bl']) AS t FROM part), a AS (SELECT p_partkey, CASE WHEN starts_with(low, t) THEN 0 WHEN contains(low, ' ' || t) THEN instr(low, ' ' || t) ELSE instr(low, t) - 1 END AS b, length(t) AS n FROM t WHERE contains(low, t)),
+    o AS (SELECT *, max(b + n) OVER (PARTITION BY p_partkey ORDER BY b, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM a), g AS (SELECT *, sum((upto IS NULL OR b > upto)::INT) OVER (PARTITION BY p_partkey ORDER BY b, n ROWS UNBOUNDED PRECEDING) AS run FROM o),
+    m AS (SELECT p_partkey, run, min(b)::INT AS b, max(b + n)::INT AS e FROM g GROUP BY ALL)
+    SELECT p_partkey, coalesce((SELECT string_agg(b || '-' || e, ' ' ORDER BY b) FROM m WHERE m.p_partkey = p.p_partkey), '') AS ranges FROM part p""")
+def highlighted_names(spark, sf):
+    """The ranges that several terms cover, in every name."""
+    found = substring_ranges(F.col("p_name"), M.terms("EAR gea bl"))
+    return X.table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(found, lambda r: F.concat_ws("-", r[0], r[1])), " ").alias("ranges"))
+
+
+_ICONS = {"dir/cheap": "money", "text/nine": "nine", "bolt/red": "red-bolt"}
+
+
+@query(f"""WITH {X.SQL_ENTRIES}, n AS (SELECT DISTINCT name, name_fold FROM entries), g AS (SELECT * FROM (VALUES {', '.join(f"('{g}', '{t}', {w}, {str(cs).lower()}, {i})" for i, (g, t, w, cs) in enumerate(_GLOBS))}) AS v(pat, type, weight, cs, ord)),
+    kinds AS (SELECT *, CASE WHEN NOT regexp_matches(pat, '[*?\\[]') THEN 0 WHEN regexp_matches(pat, '^[*][^*?\\[]+$') THEN 1 ELSE 2 END AS form FROM g),
+    met AS (SELECT name, type, weight, form, cs, ord, length(pat) AS len FROM n JOIN kinds ON CASE WHEN form = 0 THEN CASE WHEN cs THEN name = pat ELSE name_fold = lower(pat) END WHEN form = 1 THEN ends_with(CASE WHEN cs THEN name ELSE name_fold END, CASE WHEN cs THEN pat[2:] ELSE lower(pat[2:]) END) ELSE pat <> 'bad[' AND CASE WHEN cs THEN name ELSE name_fold END GLOB CASE WHEN cs THEN pat ELSE lower(pat) END END),
+    best AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY form, (form = 0 AND NOT cs)::INT, CASE WHEN form = 1 THEN -len ELSE 0 END, CASE WHEN form = 1 THEN 0 ELSE 0 END, weight DESC, ord) AS o FROM met),
+    icons AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _ICONS.items())}) AS v(kind, icon))
+    SELECT name, b.type, CASE WHEN b.type IS NOT NULL THEN array_to_string(list_filter([replace(b.type, '/', '-'), icon, CASE WHEN split_part(b.type, '/', 1) IN ('text', 'image', 'audio', 'video', 'font') THEN split_part(b.type, '/', 1) ELSE 'application' END || '-x-generic'], lambda x: x IS NOT NULL), ' ') END AS icons
+    FROM n LEFT JOIN (SELECT * FROM best WHERE o = 1) b USING (name) LEFT JOIN icons ON kind = b.type""")
+def typed_names(spark, sf):
+    """Each name's type by the globs, and the icons that stand for it."""
+    globs = spark.createDataFrame([(*g, i) for i, g in enumerate(_GLOBS)], "glob string, type string, weight int, cs boolean, ord int")
+    names = X.entries(spark, sf).select("name").distinct()
+    return web.types_of_globs(names, globs).select("name", "type", F.array_join(web.icon_names(F.col("type"), _ICONS), " ").alias("icons"))
