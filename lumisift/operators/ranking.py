@@ -31,6 +31,8 @@ def band_score(tier: Column, score: Column, units: Column, hint: Column) -> Colu
 
 def _capped(rows: DataFrame, by: list[str], keys: list[Column], limit: int) -> DataFrame:
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*keys)
+    if limit > 0 and not by:
+        rows = rows.orderBy(*keys).limit(limit)  # each task keeps its best, and the window sees no more than the limit
     out = rows.withColumn("rank", F.row_number().over(w).cast("long"))
     return out.where(F.col("rank") <= limit) if limit > 0 else out
 

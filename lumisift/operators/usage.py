@@ -101,13 +101,14 @@ def pair_accuracy(paired: DataFrame) -> DataFrame:
 
 def holdout(impressions: DataFrame, fraction: float = 0.2) -> DataFrame:
     """Impressions (imp, ts) with holdout: the newest fraction, rounded up. The cut is found by counts per day, then within one day."""
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
     days = impressions.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    later = days.select(F.col("day"), (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("day"))) - F.col("n")).alias("later"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
-    del n
-    w = Window.partitionBy("day").orderBy(F.desc("ts"), F.desc("imp"))
-    rows = impressions.withColumn("day", F.to_date("ts")).join(F.broadcast(later), "day")  # a row for each day
-    return rows.withColumn("holdout", F.row_number().over(w) + F.col("later") <= F.ceil(F.col("total") * fraction)).drop("day", "later", "total")
+    every, newer = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy(F.desc("day"))  # a row for each day
+    told = days.select("day", "n", (F.sum("n").over(newer) - F.col("n")).alias("later"), F.ceil(F.sum("n").over(every) * fraction).alias("need"))
+    rows = impressions.withColumn("day", F.to_date("ts")).join(F.broadcast(told), "day")
+    cut = (F.col("later") < F.col("need")) & (F.col("later") + F.col("n") > F.col("need"))
+    place = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("ts"), F.desc("imp")))
+    within = rows.where(cut).withColumn("holdout", place + F.col("later") <= F.col("need"))
+    return within.unionByName(rows.where(~cut).withColumn("holdout", F.col("later") < F.col("need"))).drop("day", "n", "later", "need")
 
 
 #: Places of the feature vector (fixed values): sizes of the one-hot groups and sources with a feature of their own.

@@ -1034,3 +1034,20 @@ def typed_names(spark, sf):
     globs = spark.createDataFrame([(*g, i) for i, g in enumerate(_GLOBS)], "glob string, type string, weight int, cs boolean, ord int")
     names = X.entries(spark, sf).select("name").distinct()
     return web.types_of_globs(names, globs).select("name", "type", F.array_join(web.icon_names(F.col("type"), _ICONS), " ").alias("icons"))
+
+
+@query(f"""WITH {X.SQL_ENTRIES}, signals AS (SELECT '/catalog/' || p_brand || '/' || p_type || '/' || replace(p_name, ' ', '_') || '_' || p_partkey || (['.txt', '.log', '.csv', '.md'])[p_size % 4 + 1] AS path, p_size, p_partkey FROM part),
+    hits AS (SELECT *, CASE WHEN starts_with(name_fold, 'bolt') THEN 1 ELSE 2 END AS class FROM ready WHERE contains(name_fold, 'bolt')),
+    top AS (SELECT * FROM hits ORDER BY class, is_dir DESC, path_len, numkey, path LIMIT 150),
+    joined AS (SELECT top.*, CASE WHEN p_size % 3 = 0 THEN p_size % 6 ELSE 0 END::DOUBLE AS boost, CASE WHEN p_size % 2 = 0 THEN p_partkey % 7 / 10.0 ELSE 0 END AS prior, CASE WHEN p_size % 5 = 0 THEN (0 - p_partkey % 11) / 20.0 ELSE 0 END AS model FROM top LEFT JOIN signals USING (path)),
+    scored AS (SELECT *, CASE WHEN boost > 3.0 AND class > 0 THEN class - 1 ELSE class END AS eff_class, 0.5 * boost + prior + model - 0.25 * {_PENALTY} AS blended FROM joined)
+    SELECT (row_number() OVER (ORDER BY eff_class, round(blended, 9) DESC, class, is_dir DESC, path_len, numkey, path))::BIGINT AS rank, path, eff_class::INT AS eff_class, round(prior, 6) AS prior, round(model, 6) AS model, round(blended, 6) AS blended FROM scored QUALIFY rank <= 50""")
+def search_blended_widely(spark, sf):
+    """Opens, priors and a model's scores reorder the best 150 matches, of which 50 are shown."""
+    part = X.table(spark, sf, "part")
+    ext = F.element_at(F.array(*(F.lit(x) for x in (".txt", ".log", ".csv", ".md"))), F.col("p_size") % 4 + 1)
+    rows = part.withColumn("path", F.concat(F.lit("/catalog/"), "p_brand", F.lit("/"), "p_type", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), "p_partkey", ext))
+    table = lambda where, value: rows.where(where).select("path", value.alias("value"))
+    blend = search.Blend(boost=table("p_size % 3 = 0", F.col("p_size") % 6), prior=table("p_size % 2 = 0", F.col("p_partkey") % 7 / 10), model=table("p_size % 5 = 0", (0 - F.col("p_partkey") % 11) / 20), frecency_weight=0.5, noise_weight=0.25)
+    out = search.search(X.entries(spark, sf), "bolt", 50, False, blend, widen=3)
+    return out.select("rank", "path", "eff_class", F.round("prior", 6).alias("prior"), F.round("model", 6).alias("model"), F.round("blended", 6).alias("blended"))
