@@ -91,10 +91,12 @@ class LongestMatch:
         except KeyError:
             if len(known) > CACHED_WORDS:
                 known.clear()
-            for word in words:
-                if word not in known and len(word) <= REMEMBERED:
-                    known[word] = self.count(word)
-            return sum(known[word] if len(word) <= REMEMBERED else self.count(word) for word in words)
+            long: dict[str, int] = {}
+            for word in set(words).difference(known):
+                (known if len(word) <= REMEMBERED else long)[word] = self.count(word)
+            if long:
+                return sum(long[word] if word in long else known[word] for word in words)
+            return sum(map(known.__getitem__, words))
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
