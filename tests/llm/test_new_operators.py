@@ -206,13 +206,18 @@ def brute_trie(convs):
     for c, ts in convs.items():
         for d in range(len(ts) + 1):
             nodes.setdefault(tuple(ts[:d]), []).append(c)
+    leaves, saved, children = dict.fromkeys(nodes, 0), dict.fromkeys(nodes, 0), dict.fromkeys(nodes, 0)
+    for p in nodes:
+        if p:
+            children[p[:-1]] += 1
+    for q, members in nodes.items():
+        for d in range(len(q) + 1):
+            leaves[q[:d]] += not children[q]
+            saved[q[:d]] += (len(members) - 1) * len(q[-1][1]) if q else 0
     found = []
     for p, members in nodes.items():
-        below = [q for q in nodes if q[: len(p)] == p]
-        leaves = sum(not any(r[:-1] == q and r for r in nodes) for q in below)
-        saved = sum((len(nodes[q]) - 1) * len(q[-1][1]) for q in below if q)
-        ends = ",".join(map(str, sorted(c for c in members if tuple(convs[c]) == p)))
-        found.append((min(members), len(p), min(nodes[p[:-1]]) if p else None, len(members), sum(len(q) == len(p) + 1 for q in below), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+        ends = ",".join(map(str, sorted(c for c in members if len(convs[c]) == len(p))))
+        found.append((min(members), len(p), min(nodes[p[:-1]]) if p else None, len(members), children[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
     return sorted(found, key=str)
 
 
@@ -224,7 +229,7 @@ def talk(seed, convs=60):
             rows.append((c, turn * 3 - 2, rng.choice(["user", "assistant", "user", None]), rng.choice(texts) if turn < 3 else rng.choice(texts + [f"x{rng.randrange(40)}"])))
     rows += [(200, 1, "user", "hi"), (200, 1, "user", "ho"), (200, None, "user", "é"), (200, 1, "user", "hi"), (None, 0, "user", "lost"), (300, 0, None, None)]
     rows += [(c, t, "user", f"same{t}") for c in range(400, 430) for t in range(12)] + [(c, t, "user", f"same{t}" if t < 10 else f"own{c}") for c in range(430, 450) for t in range(12)]
-    rows += [(450, t, "user", f"same{t}") for t in range(500)]
+    rows += [(450, t, "user", f"same{t}") for t in range(150)]
     rng.shuffle(rows)
     return rows
 
