@@ -592,3 +592,45 @@ def test_long_words_are_not_remembered():
     assert counts.counts(words + words[:2] + ["short"]) == sum(map(counts.count, words + words[:2] + ["short"]))
     assert [bytes(x) for x in encoder.encode([" ".join(words), words[0] + " it's", "short " + words[0] + ","])] == [encoder.whole(t) for t in (" ".join(words), words[0] + " it's", "short " + words[0] + ",")]
     assert all(len(w) <= 64 for w in counts.known) and all(len(w) <= 64 for w in (*encoder.known, *encoder.before))
+
+
+def test_fingerprints_of_hot_ids(spark, monkeypatch):
+    from lumisift.llm import fingerprints as P
+
+    rng = random.Random(34)
+    words = [f"t{i}" for i in range(90)]
+
+    def text():
+        return " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40)))
+
+    same = text()
+    rows = [(None, text()) for _ in range(30)] + [(7, text()) for _ in range(30)] + [(7, same)] * 25 + [(None, None)] * 9 + [(7, "")] * 6 + [(i * 97, text()) for i in range(-20, 20)] + [(9, same), (9, same), (10**14, same)]
+    rng.shuffle(rows)
+
+    def found():
+        return sorted(map(str, fingerprints(documents(spark, rows)).collect()))
+
+    plain = found()
+    monkeypatch.setattr(P, "HOT", 4)
+    monkeypatch.setattr(P, "REPEATS", 4)
+    assert found() == plain
+    monkeypatch.setattr(P, "BROADCAST_BUCKETS", 0)
+    monkeypatch.setattr(P, "BROADCAST_TERMS", 0)
+    assert found() == plain
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    texts = [t or "" for _, t in ordered]
+    want = []
+    for k, (doc, _) in enumerate(ordered):
+        a, b = texts[k], texts[(k + 1) % len(texts)]
+        half = len(a) // 2
+        want.append((doc, hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.edited_sha256)) for r in fingerprints(documents(spark, rows)).collect())
+
+
+def test_fingerprints_of_many_rows_of_one_id(spark):
+    numbered = spark.range(24_000).selectExpr("cast(null as long) AS doc_id", "concat('text number ', id, ' of no document') AS text")
+    repeated = spark.range(24_000).selectExpr("5L AS doc_id", "'always the same few words' AS text")
+    got = fingerprints(numbered.union(repeated)).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("edited_sha256").alias("edits"), F.countDistinct("fingerprint").alias("prints"), F.sum(F.expr("int(near_next = 1)")).alias("same")).collect()
+    by = {r.doc_id: r for r in got}
+    assert by[None].n == by[5].n == 24_000 and by[5].edits == 2 and by[5].prints == 1 and by[5].same >= 23_999
+    assert by[None].edits > 12_000
