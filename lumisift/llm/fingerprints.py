@@ -51,7 +51,7 @@ _NONE = 0
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct lower-cased words."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), _SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.array_remove(F.split(F.lower(text), _SPACE), ""), lambda w: F.xxhash64(w)))
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -68,8 +68,8 @@ def _low(x: Column) -> Column:
     return (F.pmod(x, F.lit(1 << 32)) - (1 << 31)).cast("int")
 
 
-def _in_subset(k: int):
-    return lambda x: x["subsets"].bitwiseAND(F.lit(1 << k).cast("long")) != 0
+def _in_any(bits: int):
+    return lambda x: x["subsets"].bitwiseAND(F.lit(bits).cast("long")) != 0
 
 
 def fingerprint_rows(rows: DataFrame, words: DataFrame, keys: list[str], small: bool = True) -> DataFrame:
@@ -85,7 +85,10 @@ def fingerprint_rows(rows: DataFrame, words: DataFrame, keys: list[str], small:
     known = words.where(F.col("term") != _NONE).select(F.col("term").alias("word"), "subsets").union(none)
     met = spread.join(F.broadcast(known) if small else known, F.col("term") == F.col("word"))
     held = met.groupBy(*keys, "every").agg(F.sort_array(F.collect_list(F.when(F.col("subsets") != 0, F.struct("word", "subsets")))).alias("met"))
-    hashes = F.array(*(F.xxhash64(F.filter("met", _in_subset(k))) for k in range(len(SUBSETS))))
+    # terms of the subsets of one size first, few where subsets are sparse; each subset picks from those
+    sizes = {m: sum(1 << k for k, other in enumerate(SUBSETS) if other == m) for m in SUBSETS}
+    held = held.select("*", *(F.filter("met", _in_any(bits)).alias(f"met_{m}") for m, bits in sizes.items()))
+    hashes = F.array(*(F.xxhash64(F.filter(f"met_{m}", _in_any(1 << k))) for k, m in enumerate(SUBSETS)))
     subsets = F.when(F.size("met") == 0, F.array_repeat(_low(F.col("every")), len(SUBSETS))).otherwise(F.transform(hashes, lambda h: F.when(h != F.xxhash64(F.array().cast("array<long>")), _low(h))))
     return held.select(*keys, subsets.alias("subsets"))
 
