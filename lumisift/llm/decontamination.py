@@ -4,13 +4,13 @@ Texts and benchmark items become lower-cased words without marks. Documents meet
 ``least`` words. For each such pair running Karp-Rabin tiling marks the longest matching
 runs, none overlapping another, until none of ``least`` words is left; tiles may stand in any order, so reordered passages are
 caught. The share of an item's words under tiles is its coverage; a document leaks an item if that
-reaches ``threshold``.
+reaches ``threshold``. An item of fewer than ``least`` words holds no seed: it's leaked by a document that is this item and nothing else.
 
 The benchmark is broadcast in blocks of at most BLOCK_WORDS words, whatever its size; each block
 is one more pass over the documents without a shuffle. Where there are several, the rows are stored after each block and its broadcast is given up.
 
-Null and empty texts leak nothing; null and empty items, and items of fewer than ``least`` words, are never leaked. Repeated items
-count each for itself, as do repeated rows. Very long texts are read whole. Other columns than those of ``carry`` are ignored; a carried column with the name of
+Null and empty texts leak nothing; null and empty items are never leaked. Repeated items
+count each for itself, as do repeated rows; a block holds an item of one text once, with its number. Very long texts are read whole. Other columns than those of ``carry`` are ignored; a carried column with the name of
 a result column gives way to it. An empty table gives an empty result. Where tiles are of equal length, the first in the item goes first, then the first in the text.
 """
 
@@ -101,8 +101,12 @@ def tile(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int,
 class _Block:
     """Seeds and words of some benchmark items."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], least: int):
-        self.ids, self.words, self.least = ids, words, least
+    def __init__(self, ids: list[int], copies: list[int], words: list[np.ndarray], least: int):
+        self.ids, self.copies, self.words, self.least = ids, copies, words, least
+        self.short: dict[bytes, list[int]] = defaultdict(list)
+        for k, w in enumerate(words):
+            if 0 < len(w) < least:
+                self.short[w.tobytes()].append(k)
         seeds = [_rolling(w, least) if len(w) >= least else np.zeros(0, np.uint64) for w in words]
         owner, hashes = np.repeat(np.arange(len(ids)), [len(s) for s in seeds]), np.concatenate([np.zeros(0, np.uint64), *seeds])
         order = np.argsort(hashes, kind="stable")
@@ -112,6 +116,11 @@ class _Block:
 
     def leaks(self, words: H.Words, threshold: float) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(words.first) - 1)]
+        if self.short:
+            for doc in np.flatnonzero(np.diff(words.first) < self.least).tolist():
+                text = words.hashes[words.first[doc] : words.first[doc + 1]]
+                for k in self.short.get(text.tobytes(), ()):
+                    out[doc] += [{"item_id": self.ids[k], "coverage": 1.0, "tiles": 1, "longest": len(text)}] * self.copies[k]
         if len(words.hashes) < self.least or not len(self.hashes):
             return out
         grams = _rolling(words.hashes, self.least)
@@ -134,7 +143,7 @@ class _Block:
                 tiles = tile(item, text, self.least)
                 coverage = sum(n for _, _, n in tiles) / len(item)
                 if coverage >= threshold:
-                    out[doc].append({"item_id": self.ids[k], "coverage": coverage, "tiles": len(tiles), "longest": max(n for _, _, n in tiles)})
+                    out[doc] += [{"item_id": self.ids[k], "coverage": coverage, "tiles": len(tiles), "longest": max(n for _, _, n in tiles)}] * self.copies[k]
         return out
 
 
@@ -150,6 +159,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 4, thresho
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = stored(items.groupBy("item_id", "text").agg(F.count("*").alias("copies")))
     size = items.agg(F.sum(F.length("text"))).head()[0] or 0
     blocks = max(1, -(-size // (2 * BLOCK_WORDS)))  # a word and its separator are two characters or more
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c for c in carry if c not in ("doc_id", "text", "leaks")), F.col("text").cast("string").alias("text"))
@@ -157,7 +167,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 4, thresho
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         words = _words(pa.array([r["text"] for r in part], pa.string()))
-        block = spark.sparkContext.broadcast(_Block([r["item_id"] for r in part], [words.hashes[a:b] for a, b in zip(words.first, words.first[1:])], least))
+        block = spark.sparkContext.broadcast(_Block([r["item_id"] for r in part], [r["copies"] for r in part], [words.hashes[a:b] for a, b in zip(words.first, words.first[1:])], least))
 
         def run(batches, block=block):
             for batch in batches:

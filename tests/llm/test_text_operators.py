@@ -255,6 +255,25 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate(documents(spark, rows), benchmark.where("item_id > 9")).where("size(leaks) > 0").count() == 0
 
 
+def test_decontamination_of_short_and_repeated_items(spark, monkeypatch):
+    import lumisift.llm.decontamination as D
+
+    item = "one two three four five six"
+    items = [(1, item)] * 3 + [(2, item), (7, "Why not?"), (7, "Why not?"), (8, "why"), (None, "why not"), (9, "..."), (10, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, item), (1, item), (2, "why NOT"), (3, "why not me"), (4, "Why"), (5, "..."), (6, ""), (None, None), (None, "why, not")]
+    docs = documents(spark, rows).withColumn("leaks", F.lit("mine")).withColumn("item_id", F.lit(5))
+    want = sorted(str((doc, sorted(ids, key=str))) for doc, ids in [(1, [1, 1, 1, 2])] * 2 + [(2, [7, 7, None]), (3, []), (4, [8]), (5, []), (6, []), (None, []), (None, [7, 7, None])])
+    for block in (2_000_000, 3):
+        monkeypatch.setattr(D, "BLOCK_WORDS", block)
+        found = decontaminate(docs, benchmark, carry=("leaks", "item_id"))
+        assert found.columns == ["doc_id", "item_id", "text", "leaks"]
+        got = found.collect()
+        assert sorted(str((r.doc_id, sorted((x.item_id for x in r.leaks), key=str))) for r in got) == want
+        assert all(r.item_id == 5 for r in got) and all(x.coverage == 1.0 and x.tiles == 1 for r in got for x in r.leaks)
+        assert decontaminate(documents(spark, []), benchmark).count() == 0
+
+
 def test_token_counts(spark):
     vocabulary = ["▁a", "▁ab", "ab", "abc", "c", "cd", "▁", "bcde"]
     automaton = LongestMatch(vocabulary)
