@@ -140,12 +140,14 @@ def merge_ranges(ranges: Column, length: Column, most: int = 32) -> Column:
     return F.slice(F.aggregate(F.array_sort(clamped), empty, add), 1, most)
 
 
-def human_size(n: Column) -> Column:
-    """Bytes in units of 1024, one decimal unless it is 0."""
+def human_size(n: Column, largest: str = "PB") -> Column:
+    """Bytes in units of 1024 up to the largest one, one decimal unless it is 0."""
+    units = ("KB", "MB", "GB", "TB", "PB")
+    last = units.index(largest) + 1
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
+    for k, unit in enumerate(units[:last], 1):
         value = F.regexp_replace(F.format_string("%.1f", F.bround(n / float(1024**k), 1)), r"\.0$", "")
-        out = out.when(n < 1024 ** (k + 1), F.concat(value, F.lit(f" {unit}"))) if k < 5 else out.otherwise(F.concat(value, F.lit(f" {unit}")))
+        out = out.when(n < 1024 ** (k + 1), F.concat(value, F.lit(f" {unit}"))) if k < last else out.otherwise(F.concat(value, F.lit(f" {unit}")))
     return out
 
 
