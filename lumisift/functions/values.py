@@ -23,10 +23,15 @@ def percent(v: Column) -> Column:
     return F.concat(F.floor(v + 0.5).cast("string"), F.lit("%"))
 
 
-def rate_text(v: Column) -> Column:
-    """Bytes per second in binary units."""
-    out = F.when(v >= GB, F.concat(short_number(v / float(GB)), F.lit("G"))).when(v >= MB, F.concat(short_number(v / float(MB)), F.lit("M")))
-    return out.when(v >= KB, F.concat(short_number(v / float(KB)), F.lit("K"))).otherwise(F.concat(F.floor(v + 0.5).cast("string"), F.lit("B")))
+def rate_text(v: Column, largest: str = "G") -> Column:
+    """Bytes per second in binary units up to the largest one, K, M or G."""
+    out = F.when(v < KB, F.concat(F.floor(v + 0.5).cast("string"), F.lit("B")))
+    for unit, size in (("K", KB), ("M", MB), ("G", GB)):
+        text = F.concat(short_number(v / float(size)), F.lit(unit))
+        if unit == largest:
+            return out.otherwise(text)
+        out = out.when(v < size * 1024, text)
+    raise ValueError(f"no unit {largest}")
 
 
 def used_of_total(used: Column, total: Column) -> Column:
