@@ -26,7 +26,7 @@ SLACK = 2.0
 
 def parent(path: Column) -> Column:
     """The directory of a path; that of ``/a`` is ``/``."""
-    head = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    head = F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
     return F.when(head == "", "/").otherwise(head)
 
 
