@@ -3,6 +3,7 @@
 import zlib
 
 from lumisift import queries as Q
+from lumisift.operators import series
 from lumisift.plans import reconcile as R
 from tests.test_stores import rows_of
 
@@ -39,3 +40,16 @@ def test_parents(spark):
     paths = {"/a": "/", "/a/b": "/a", "a": "/", "/a\nb/c": "/a\nb", "/ä/ö/": "/ä/ö", "/": "/", "": "/", None: None}
     rows = spark.createDataFrame([(p,) for p in paths], "path string")
     assert {r.path: r.up for r in rows.select("path", R.parent(rows.path).alias("up")).collect()} == paths
+
+
+def test_process_trees_send_no_edges_to_the_driver(spark):
+    # two trees, a cycle below one of them, a process of two parents
+    rows = [(1, 0, -1, "/"), (2, 1, -1, "/b"), (3, 1, -1, "/c"), (4, 2, 9, "/d"), (4, 3, 9, "/d"), (5, 3, 3, "/"), (1, 5, -1, "/"), (6, 6, -1, "/f"), (7, 6, -1, None), (8, 7, -1, "/home/u"), (9, 0, -1, "/n")]
+    processes = spark.createDataFrame(rows, "pid long, ppid long, tpgid long, cwd string")
+    tree = series.descendants(processes.select("pid", "ppid"), 1)
+    assert "strategy=merge" in tree._jdf.queryExecution().optimizedPlan().toString()
+    assert rows_of(tree.select("pid", "depth")) == {(1, 0), (2, 1), (3, 1), (4, 2), (5, 2)}
+    assert rows_of(series.foregrounds(processes, [1, 6, 3, 3])) == {(1, 9), (3, 9)}
+    assert rows_of(series.foreground(processes, 3)) == {(9,)} and series.foreground(processes, 6).isEmpty()
+    assert rows_of(series.working_directories(processes, [1, 6, 8], "/home/u")) == {(1, "/n"), (6, "/f")}
+    assert rows_of(series.working_directory(processes.where("pid <> 9"), 1, "/home/u")) == {("/d",)}
