@@ -7,8 +7,12 @@ the other kind may be null. Training sees differences between an impression's pi
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths as P
+from ..plans.shared import shared_dir
 from ..sources import logs
 from . import usage as U
 
@@ -29,6 +34,8 @@ _SPACE = _LENGTH + 2 * U.LENGTHS
 _TIME = _SPACE + 4
 #: Length of the weight vector.
 DIM = _TIME + 2 * U.TIMES
+#: Pairs whose differences are made at once.
+BATCH = 4096
 
 
 def _at(place: Column | int, value: Column | float) -> Column:
@@ -75,12 +82,28 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.join(good.select("imp"), "imp", "left_semi")
 
 
+def _both_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Feature arrays (a, b) of pairs -> (label, d): a - b as DIM values, and b - a."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            part = batch.slice(at, BATCH)
+            n = part.num_rows
+            d = np.zeros(n * DIM)
+            for name, sign in (("a", 1.0), ("b", -1.0)):
+                x = part.column(name)
+                idx, value = (pc.struct_field(x.flatten(), k).to_numpy(zero_copy_only=False) for k in ("idx", "value"))
+                place = np.repeat(np.arange(n) * DIM, pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False))
+                known = (idx >= 0) & (idx < DIM)
+                d += np.bincount(place[known] + idx[known], sign * value[known], minlength=n * DIM)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n * DIM + 1, DIM), pa.int32()), pa.array(np.concatenate([d, 0.0 - d])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([1.0, 0.0], n)), values], ["label", "d"])
+
+
 def differences(rows: DataFrame) -> DataFrame:
     """(label, features): the picked row less each other, and the same the other way round."""
-    good = rows.where("picked").select("imp", dense(F.col("x")).alias("a"))
-    pairs = rows.where("not picked").select("imp", dense(F.col("x")).alias("b")).join(good, "imp")
-    signs = F.array(F.struct(F.lit(1.0).alias("label"), F.zip_with("a", "b", lambda a, b: a - b).alias("d")), F.struct(F.lit(0.0).alias("label"), F.zip_with("a", "b", lambda a, b: b - a).alias("d")))
-    return pairs.select(F.inline(signs)).select("label", array_to_vector("d").alias("features"))
+    good = rows.where("picked").select("imp", F.col("x").alias("a"))
+    pairs = rows.where("not picked").select("imp", F.col("x").alias("b")).join(good, "imp")
+    return pairs.select("a", "b").mapInArrow(_both_ways, "label double, d array<double>").select("label", array_to_vector("d").alias("features"))
 
 
 def fit(rows: DataFrame, rounds: int = 50) -> list[float]:
@@ -113,12 +136,15 @@ def train(rows: DataFrame, least: int = LEAST_PICKS) -> Outcome:
     picks = rows.where("picked").count()
     if picks < least:
         return Outcome(picks, 0.0, 0.0, None, f"inactive: {picks} picks, {least} needed")
-    parts = rows.join(U.holdout(rows.where("picked").select("imp", "ts"), HOLDOUT).select("imp", "holdout"), "imp")
+    # every fit and score reads these rows, so they are stored: their features are made once
+    at = f"{shared_dir(rows.sparkSession)}/training"
+    rows.select("imp", "pos", "picked", "x").join(U.holdout(rows.where("picked").select("imp", "ts"), HOLDOUT).select("imp", "holdout"), "imp", "left").write.parquet(at)
+    parts = rows.sparkSession.read.parquet(at)
     first = fit(parts.where("not holdout"))
     found = U.pair_accuracy(U.pairs(scored(parts.where("holdout"), first))).head()
     if found["model"] <= found["baseline"]:
         return Outcome(picks, found["model"], found["baseline"], None, "inactive: the model is no better than the shown order")
-    last = fit(rows)
+    last = fit(parts)
     if not finite(last):
         return Outcome(picks, found["model"], found["baseline"], None, "inactive: the weights aren't finite")
     return Outcome(picks, found["model"], found["baseline"], last, "active")

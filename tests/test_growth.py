@@ -2,8 +2,10 @@
 
 import zlib
 
+from pyspark.ml.functions import vector_to_array
+
 from lumisift import queries as Q
-from lumisift.operators import series
+from lumisift.operators import arbiter, series
 from lumisift.plans import reconcile as R
 from tests.test_stores import rows_of
 
@@ -53,3 +55,14 @@ def test_process_trees_send_no_edges_to_the_driver(spark):
     assert rows_of(series.foreground(processes, 3)) == {(9,)} and series.foreground(processes, 6).isEmpty()
     assert rows_of(series.working_directories(processes, [1, 6, 8], "/home/u")) == {(1, "/n"), (6, "/f")}
     assert rows_of(series.working_directory(processes.where("pid <> 9"), 1, "/home/u")) == {("/d",)}
+
+
+def test_differences_are_made_by_block(spark):
+    at = "array<struct<idx:int,value:double>>"
+    rows = [(1, True, [(0, 1.0), (5, 0.5), (5, 0.25)]), (1, False, [(0, 1.0), (7, 2.0)]), (1, False, []), (2, True, [(68, 1.0), (69, 9.0), (-1, 9.0)]), (2, False, [(68, 0.25)]), (3, True, [(1, 1.0)]), (4, True, None), (4, False, [(2, 3.0)])]
+    rows = spark.createDataFrame(rows, f"imp long, picked boolean, x {at}")
+    made = arbiter.differences(rows)
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+    told = [(r.label, tuple((k, v) for k, v in enumerate(r.d) if v), len(r.d)) for r in made.select("label", vector_to_array("features").alias("d")).collect()]
+    one = [((5, 0.75), (7, -2.0)), ((0, 1.0), (5, 0.75)), ((68, 0.75),), ((2, -3.0),)]
+    assert sorted(told) == sorted((label, tuple((k, v if label else -v) for k, v in d), arbiter.DIM) for d in one for label in (1.0, 0.0))
