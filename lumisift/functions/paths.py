@@ -40,6 +40,17 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.when(k == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, k), "/")))
 
 
+def holder(path: Column) -> Column:
+    """The last of a path's ``ancestors``; its own ancestors and itself are those of the path, so one of them stands for all that it holds."""
+    head = F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
+    return F.when(~F.contains(path, F.lit("/")), "").when(~F.contains(head, F.lit("/")), "/").otherwise(head)
+
+
+def above(path: Column) -> Column:
+    """A path with all directories above it."""
+    return F.array_distinct(F.array_append(ancestors(path), path))
+
+
 def path_penalty(path: Column) -> Column:
     """How noisy a path's directories are, 0 to 1; the last part never counts but for the depth."""
     parts = components(path)

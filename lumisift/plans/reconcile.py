@@ -22,6 +22,8 @@ from .versions import Versions
 DEPTH = 2
 #: What a sweep allows for times that come late, in seconds.
 SLACK = 2.0
+#: The most dirty paths that a sweep broadcasts.
+FEW = 20_000
 
 
 def parent(path: Column) -> Column:
@@ -30,9 +32,7 @@ def parent(path: Column) -> Column:
     return F.when(head == "", "/").otherwise(head)
 
 
-def above(path: Column) -> Column:
-    """A path with all directories above it."""
-    return F.array_distinct(F.array_append(P.ancestors(path), path))
+above = P.above
 
 
 def shard(path: Column, depth: int = DEPTH) -> Column:
@@ -56,32 +56,37 @@ def pruned(table: DataFrame, dirty: DataFrame) -> DataFrame:
     return table.join(F.broadcast(dirty_shards(table.select("shard"), dirty)), "shard", "left_semi")
 
 
-def changes(indexed: DataFrame, truth: DataFrame, dirty: DataFrame, roots: DataFrame | None = None, small: bool = False) -> DataFrame:
+def changes(indexed: DataFrame, truth: DataFrame, dirty: DataFrame, roots: DataFrame | None = None, small: bool = False, stored: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(path, op, is_dir, step) that bring the index to the truth at dirty paths (path): removals of subtrees (step 0), then additions (step 1).
 
     indexed, truth: (path, is_dir), all entries below an entry that isn't there are missing, too. roots (path) have no entry of their own, so only what lies in them changes.
-    small: the dirty paths are few enough to be broadcast.
+    small: the dirty paths are few enough to be broadcast. stored: stores what differs between both, so that it's sought once rather than by each step, and gives it back.
     """
     marks = F.broadcast(dirty.select(F.col("path").alias("mark")).distinct()) if small else dirty.select(F.col("path").alias("mark")).distinct()
-    both = indexed.select("path", F.col("is_dir").alias("was")).join(truth.select("path", F.col("is_dir").alias("now")), "path", "full_outer")
+    both = indexed.select("path", F.col("is_dir").alias("was")).join(truth.select("path", F.col("is_dir").alias("now")), "path", "full_outer").where("not (was <=> now)")
+    both = both if stored is None else stored(both)
     # at or directly in a dirty path: what is deeper and known stays as it is, and goes with what is above it
-    near = both.select("path", "was", "now", F.explode(F.array_distinct(F.array(F.col("path"), parent(F.col("path"))))).alias("mark")).join(marks, "mark").where("not (was <=> now)")
+    near = both.select("path", "was", "now", F.explode(F.array_distinct(F.array(F.col("path"), parent(F.col("path"))))).alias("mark")).join(marks, "mark")
     if roots is not None:
         near = near.join(F.broadcast(roots.select("path").distinct()), "path", "left_anti")
     gone, come = F.struct(F.lit("remove").alias("op"), F.lit(None).cast("boolean").alias("is_dir"), F.lit(0).alias("step")), F.struct(F.lit("add").alias("op"), F.col("now").alias("is_dir"), F.lit(1).alias("step"))
     ops = F.filter(F.array(F.when(F.col("was").isNotNull(), gone), F.when(F.col("now").isNotNull(), come)), lambda x: x.isNotNull())
     told = near.select("path", F.inline(ops))
     tops = near.where("now").select(F.col("path").alias("top")).distinct()
-    new = both.where("now is not null and was is null").select("path", F.explode(P.ancestors(F.col("path"))).alias("top"), F.col("now").alias("is_dir")).join(tops, "top", "left_semi")
+    # what lies below a new directory: its holders are sought, not each entry
+    new = both.where("now is not null and was is null").select("path", P.holder(F.col("path")).alias("dir"), F.col("now").alias("is_dir"))
+    inside = new.select("dir").distinct().select("dir", F.explode(above(F.col("dir"))).alias("top")).join(tops, "top", "left_semi").select("dir").distinct()
+    new = new.join(inside, "dir", "left_semi")
     return told.union(new.select("path", F.lit("add"), "is_dir", F.lit(1))).distinct()
 
 
 def applied(indexed: DataFrame, made: DataFrame) -> DataFrame:
     """The index (path, is_dir) after changes (path, op, is_dir)."""
     gone = made.where("op = 'remove'").select(F.col("path").alias("top")).distinct()
-    hit = indexed.select("path", F.explode(above(F.col("path"))).alias("top")).join(gone, "top", "left_semi").select("path").distinct()
+    over = indexed.select(P.holder(F.col("path")).alias("dir")).distinct().select("dir", F.explode(above(F.col("dir"))).alias("top")).join(gone, "top", "left_semi").select("dir").distinct()
     come = made.where("op = 'add'").groupBy("path").agg(F.max("is_dir").alias("is_dir"))
-    return indexed.select("path", "is_dir").join(hit, "path", "left_anti").join(come, "path", "left_anti").union(come.select("path", "is_dir"))
+    still = indexed.select("path", "is_dir", P.holder(F.col("path")).alias("dir")).join(over, "dir", "left_anti").select("path", "is_dir")
+    return still.join(gone.withColumnRenamed("top", "path"), "path", "left_anti").join(come, "path", "left_anti").union(come.select("path", "is_dir"))
 
 
 class EntryTable:
@@ -118,14 +123,19 @@ class EntryTable:
         found = self.base.read().agg(F.max("upto")).head()[0]
         return -1 if found is None else found
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """(path, is_dir, shard) as of the last batch, or of the last one before this number."""
+    def read(self, before: int | None = None, dirty: DataFrame | None = None) -> DataFrame:
+        """(path, is_dir, shard) as of the last batch, or of the last one before this number; with dirty paths (path) only the shards that these concern are read and replayed."""
         base, log = self.base.read(), self._log()
         entries = base.select("path", "is_dir", "shard")
         if log is None:
-            return entries
+            return entries if dirty is None else pruned(entries, dirty)
         since = log.where((F.col("batch") > self._upto()) & (F.lit(True) if before is None else F.col("batch") < before))
-        touched = dirty_shards(entries.select("shard").union(since.select(shard(F.col("path")))), since)
+        shards = entries.select("shard").union(since.select(shard(F.col("path")))).distinct()
+        touched = dirty_shards(shards, since)
+        if dirty is not None:
+            only = F.broadcast(dirty_shards(shards, dirty))
+            adds = since.where("op = 'add'").withColumn("shard", shard(F.col("path"))).join(only, "shard", "left_semi").drop("shard")
+            entries, since = entries.join(only, "shard", "left_semi"), adds.unionByName(since.where("op = 'remove'"))
         still = entries.join(F.broadcast(touched), "shard", "left_anti")
         old = entries.join(F.broadcast(touched), "shard", "left_semi").select(F.lit(-1).cast("long").alias("seq"), F.lit("add").alias("op"), "path", "is_dir")
         replay = old.union(since.select((F.col("batch") * 2 + F.col("step")).alias("seq"), "op", "path", "is_dir"))
@@ -184,21 +194,27 @@ class Sweeper:
         return self.state.read() if self.state.latest() else self.table.spark.createDataFrame([], schema)
 
     def run(self, started: datetime, dirs: DataFrame, truth: DataFrame, roots: DataFrame, mounts: DataFrame, pages: int = 1, after_page: Callable[[int], None] | None = None) -> int:
-        """One pass over (path, mtime) and (path, is_dir); the number of directories that it held against the truth. after_page is called with each page's number."""
+        """One pass over (path, mtime) and (path, is_dir); the number of directories that it held against the truth. after_page is called with each page's number.
+
+        A truth that is stored by shard (shard) is read in dirty shards only.
+        """
+        truth = truth if "shard" in truth.columns else sharded(truth)
         before = self._before()
         watermarks = before.where("mount is null").select("root", "started")
         paths = sweep_paths(dirs, self.table.read(), roots, watermarks, before.where("mount is not null").select(F.col("mount").alias("path")), mounts)
         chosen = Versions(self.table.spark, f"{self.state.path}-paths")
         at = chosen.replace(paths)  # what a pass looks at doesn't move under it
         dirty = chosen.read(at)
+        swept = dirty.select("path").distinct().count()
+        found = Versions(self.table.spark, f"{self.state.path}-differences")
         for page in range(pages):
             own = dirty.where(F.pmod(F.xxhash64("path"), F.lit(pages)) == page)
-            made = changes(pruned(self.table.read(), own), pruned(sharded(truth), own), own, roots)
+            made = changes(self.table.read(dirty=own), pruned(truth, own), own, roots, swept <= FEW, lambda rows: found.read(found.replace(rows)))
             self.table.append(self.table.next_batch(), made)
             if after_page:
                 after_page(page)
         marks = roots.select(F.col("path").alias("root"), F.lit(started).cast("timestamp").alias("started"), F.lit(None).cast("string").alias("mount"))
         self.state.replace(marks.union(mounts.select(F.lit(None).cast("string"), F.lit(started).cast("timestamp"), F.col("path"))), self.state.latest())
-        swept = dirty.select("path").distinct().count()
-        chosen.vacuum(keep=1)
+        for held in (chosen, found):
+            held.vacuum(keep=1)
         return swept

@@ -16,15 +16,17 @@ def valid_name(name: Column) -> Column:
 def snapshot(log: DataFrame) -> DataFrame:
     """Entries (id, parent_dir, name, is_dir, tombstone) of a log (seq, op, path, is_dir), op ``add`` or ``remove``.
 
-    The last operation that concerns a path decides: its own, or a removal of a directory above it. Removals
-    meet paths through each path's few ancestors, an equi-join, and only the latest of each path counts. id is the first seq that added the path.
+    The last operation that concerns a path decides: its own, or a removal of a directory above it. Only the latest removal of each path counts;
+    those above are sought through the few ancestors of each directory, once for all that it holds. id is the first seq that added the path.
     """
-    parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    name = F.substring_index("path", "/", -1)
+    parent = F.substring("path", F.lit(1), F.length("path") - F.length(name) - 1)
     adds = log.where("op = 'add'").groupBy("path").agg(F.min("seq").alias("id"), F.max("seq").alias("seq"), F.max_by("is_dir", "seq").alias("is_dir"))
-    gone = log.where("op = 'remove'").groupBy("path").agg(F.max("seq").alias("gone")).withColumnRenamed("path", "above")
-    over = adds.select("path", F.explode(F.array_append(P.ancestors(F.col("path")), F.col("path"))).alias("above")).join(gone, "above").groupBy("path").agg(F.max("gone").alias("gone"))
-    rows = adds.join(over, "path", "left").withColumn("tombstone", F.coalesce(F.col("gone") > F.col("seq"), F.lit(False)))
-    return rows.select("id", F.when(parent == "", "/").otherwise(parent).alias("parent_dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "is_dir", "tombstone").where(valid_name(F.col("name")))
+    gone = log.where("op = 'remove'").groupBy("path").agg(F.max("seq").alias("gone"))
+    dirs = log.where("op = 'add'").select(P.holder(F.col("path")).alias("dir")).distinct()
+    over = dirs.select("dir", F.explode(P.above(F.col("dir"))).alias("path")).join(gone, "path").groupBy("dir").agg(F.max("gone").alias("over"))
+    rows = adds.join(gone, "path", "left").withColumn("dir", P.holder(F.col("path"))).join(over, "dir", "left").withColumn("tombstone", F.coalesce(F.greatest("gone", "over") > F.col("seq"), F.lit(False)))
+    return rows.select("id", F.when(parent == "", "/").otherwise(parent).alias("parent_dir"), name.alias("name"), "is_dir", "tombstone").where(valid_name(F.col("name")))
 
 
 def remove_subtrees(entries: DataFrame, roots: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ import zlib
 from pyspark.ml.functions import vector_to_array
 
 from lumisift import queries as Q
+from lumisift.functions import paths as P
 from lumisift.operators import arbiter, series
 from lumisift.plans import reconcile as R
+from lumisift.plans import store
 from tests.test_stores import rows_of
 
 
@@ -44,6 +46,58 @@ def test_parents(spark):
     assert {r.path: r.up for r in rows.select("path", R.parent(rows.path).alias("up")).collect()} == paths
 
 
+def test_holders_stand_for_paths(spark):
+    paths = ["/a", "/a/b", "/a/b/c", "a", "a/b", "a/b/c", "/a\nb/c", "/ä/ö/", "//a", "/a//b", "/", ""]
+    rows = spark.createDataFrame([(p,) for p in [*paths, None]], "path string")
+    told = rows.select("path", P.ancestors(rows.path).alias("own"), P.above(P.holder(rows.path)).alias("held")).collect()
+    assert all(r.own is None and r.held is None if r.path is None else set(r.own) == set(r.held) for r in told)
+
+
+def test_removals_above_are_sought_once_for_a_directory(spark, tmp_path):
+    rows = [(k, "add", f"/r/a/b/c/d{k % 5}/f{k}", False) for k in range(2000)] + [(2000, "remove", "/r/a/b/c/d1", None), (2001, "remove", "/r/a/b/c/d2/f2", None), (2002, "add", "/r/a/b/c/d1/f1", False), (2003, "add", "/r/x\ny/z", False)]
+    spark.createDataFrame(rows, "seq long, op string, path string, is_dir boolean").write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    got = store.snapshot(log)
+    live = {p for _, op, p, _ in rows if op == "add" and (p == "/r/a/b/c/d1/f1" or not p.startswith("/r/a/b/c/d1/") and p != "/r/a/b/c/d2/f2")}
+    assert {f"{r.parent_dir}/{r.name}" for r in got.where("not tombstone").collect()} == live
+    assert most_rows(got) <= len(rows)
+    adds = log.where("op = 'add'").select("path", "is_dir")
+    left = R.applied(adds, log.where("op = 'remove'"))
+    assert rows_of(left) == {(p, False) for _, op, p, _ in rows if op == "add" and not p.startswith("/r/a/b/c/d1/") and p != "/r/a/b/c/d2/f2"}
+    assert most_rows(left) <= len(rows)
+
+
+def test_new_entries_meet_new_directories_by_their_holders(spark, tmp_path):
+    names = [("/r/a/b/c", True), ("/r/a", True), ("/r/a/b", True)] + [(f"/r/a/b/c/f{k}", False) for k in range(2000)] + [(f"/r/o/f{k}", False) for k in range(100)]
+    spark.createDataFrame(names, "path string, is_dir boolean").write.parquet(str(tmp_path / "truth"))
+    truth, dirty = spark.read.parquet(str(tmp_path / "truth")), spark.createDataFrame([("/r",)], "path string")
+    made = R.changes(truth.limit(0), truth, dirty)
+    assert rows_of(made) == {(p, "add", is_dir, 1) for p, is_dir in names if not p.startswith("/r/o/")}
+    assert most_rows(made) <= 2 * len(names)
+
+
+def test_passes_store_what_differs(spark, tmp_path, monkeypatch):
+    plans, real = [], R.EntryTable.append
+    monkeypatch.setattr(R.EntryTable, "append", lambda table, batch, made: (plans.append(made._jdf.queryExecution().optimizedPlan().toString()), real(table, batch, made)))
+    table = R.EntryTable(spark, str(tmp_path / "index"))
+    table.load(spark.createDataFrame([("/r/a", False), ("/r/d", True), ("/r/d/x", False), ("/r/e", True)], "path string, is_dir boolean"))
+    truth = spark.createDataFrame([("/r/b", False), ("/r/d", True), ("/r/d/y", False), ("/r/n", True), ("/r/n/z", False)], "path string, is_dir boolean")
+    dirs = spark.sql("SELECT path, timestamp'2024-01-01' AS mtime FROM VALUES ('/r'), ('/r/d'), ('/r/n') AS t(path)")
+    roots, none = spark.createDataFrame([("/r",)], "path string"), spark.createDataFrame([], "path string")
+    sweeper = R.Sweeper(table, str(tmp_path / "state"))
+    sweeper.run(dirs.head().mtime, dirs, truth, roots, none, pages=2)
+    assert rows_of(table.read().select("path", "is_dir")) == rows_of(truth)
+    assert rows_of(table.read(dirty=dirs.where("path = '/r/n'")).select("path", "is_dir")) == {("/r/n", True), ("/r/n/z", False)}
+    assert len(plans) == 2 and not any("FullOuter" in p for p in plans)  # neither table is read anew by the steps
+
+
+def test_sweeps_without_times(spark, tmp_path):
+    for name in ("part", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(60 if name == "part" else 0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    sf = str(tmp_path)
+    assert rows_of(Q.QUERIES["sweep_passes"](spark, sf)) == rows_of(Q._truth(Q._entry_paths(spark, sf).where("path <> '/catalog'"), "8"))
+
+
 def test_process_trees_send_no_edges_to_the_driver(spark):
     # two trees, a cycle below one of them, a process of two parents
     rows = [(1, 0, -1, "/"), (2, 1, -1, "/b"), (3, 1, -1, "/c"), (4, 2, 9, "/d"), (4, 3, 9, "/d"), (5, 3, 3, "/"), (1, 5, -1, "/"), (6, 6, -1, "/f"), (7, 6, -1, None), (8, 7, -1, "/home/u"), (9, 0, -1, "/n")]
