@@ -161,7 +161,7 @@ def watch_table(events: DataFrame, table: R.EntryTable, read_truth: Callable[[],
     def apply(batch: DataFrame, number: int) -> None:
         dirty = batch.select("path").distinct().persist()
         try:
-            made = R.changes(R.pruned(table.read(number), dirty), R.pruned(R.sharded(read_truth()), dirty), dirty, roots)
+            made = R.changes(table.read(number, dirty), R.pruned(R.sharded(read_truth()), dirty), dirty, roots)
             table.append(number, made)
         finally:
             dirty.unpersist()
